@@ -1,10 +1,13 @@
 """Queries of the ten operators and the SQL of those that SQL can express."""
 
-from . import mixing, packing, repair
+from . import lbl, mixing, packing, repair, secret_scan, simhash
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.query,
     "op2_token_files": repair.query,
     "op6_best_fit_packing": packing.query,
+    "op7_secret_scan": secret_scan.query,
+    "op8_lm_scoring": lbl.query,
     "op9_source_mixing": mixing.query,
 }
-ORACLE = {"op9_source_mixing": mixing.SQL}
+ORACLE = {"op7_secret_scan": secret_scan.SQL, "op9_source_mixing": mixing.SQL}
