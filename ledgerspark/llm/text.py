@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8_000_000
 
 
-def word_blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+def word_blocks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
     """Runs of texts as words: first text's index, distinct words, a code per word, words per text.
 
-    Words are what lies between ASCII white space, with A-Z lower-cased; null counts as empty.
+    Words are what lies between ASCII white space, with A-Z lower-cased if asked; null counts as empty.
     """
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_BYTES, "right")))
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, end - at), "")))
+        part = pc.fill_null(texts.slice(at, end - at), "")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(part) if lower else part)
         owner = np.repeat(np.arange(end - at), np.diff(split.offsets.to_numpy()))
         flat = split.flatten()
         whole = pc.not_equal(flat, "")
@@ -32,7 +33,7 @@ def word_blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np
         at = end
 
 
-def total(rows: DataFrame, fan_in: int = 32) -> np.ndarray | None:
+def total(rows: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     """Sum of the equally long float64 arrays in column ``blob``; tasks add up in a tree, so that the
     driver gets at most ``fan_in`` of them however many tasks there were.  None if there is no row."""
 
@@ -46,10 +47,12 @@ def total(rows: DataFrame, fan_in: int = 32) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], ["blob"])
 
     n = rows.rdd.getNumPartitions()
-    while n > fan_in:
+    while True:  # one level at least: the arrays are made by all tasks at once
         n = -(-n // fan_in)
         rows = rows.repartition(n).mapInArrow(task, "blob binary")
-    got = [np.frombuffer(r.blob) for r in rows.toLocalIterator()]
+        if n <= fan_in:
+            break
+    got = [np.frombuffer(r.blob) for r in rows.collect()]
     return np.sum(got, axis=0) if got else None
 
 
