@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.exprs import all_zero, valid
+from ledgerspark.functions.frames import frame
 from ledgerspark.schema import ACCOUNTING_VERSION, TOKEN_FIELDS
 
 
@@ -301,9 +302,4 @@ def _fold_group(part: pd.DataFrame) -> pd.DataFrame:
             streams.setdefault(r["generation_id"], []).append(r)
     done = SessionLedger(session, answers, list(streams.values()))
     out = [{"kind": "fact", **f} for f in done.facts.values()] + [{"kind": "gap", **g} for g in [*gaps, *done.gaps.values()]]
-    names = [c.strip().split(" ")[0] for c in FACTS.split(", ")]
-    frame = pd.DataFrame(out, columns=names)
-    frame["refs"] = [r.get("refs") for r in out]
-    for c in (*TOKEN_FIELDS, "record_id"):
-        frame[c] = frame[c].astype("Int64")
-    return frame
+    return frame(out, FACTS)

@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerspark.functions.frames import frame
 from ledgerspark.operators.graph import related
 from ledgerspark.operators.records import EVENTS, Fold
 from ledgerspark.sources import jsonl
 
-EVENT_NAMES = [c.split(" ")[0] for c in EVENTS.split(", ")]
-
 
 def tail(spark: SparkSession, path: str, verify: str = "quick") -> DataFrame:
     """Raw records of all logs below a path, as they are appended."""
@@ -35,7 +34,7 @@ def normalize_stream(raw: DataFrame, salt: str = "") -> DataFrame:
             place = {k: r[k] for k in ("generation", "byte_start", "byte_end", "ordinal", "digest")}
             out.append({"source_id": r["path"]} | place | (event or {}) | {"error": error})
         state.update((json.dumps(fold.s),))
-        yield pd.DataFrame(out, columns=EVENT_NAMES)
+        yield frame(out, EVENTS)
 
     return raw.groupBy("path", "generation").applyInPandasWithState(step, EVENTS, "context string", "append", GroupStateTimeout.NoTimeout)
 
