@@ -50,7 +50,7 @@ class _Memo(dict):
 #: A space before a non-space starts a pretoken for sure.
 SAFE_SPLIT = re.compile(r" (?=\S)").split
 #: Texts are encoded together up to this many characters; longer ones alone.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
 
 
 class Encoder:
@@ -118,23 +118,29 @@ class Encoder:
         split = pc.split_pattern(texts, " ")
         begin = split.offsets.to_numpy().astype(np.int64)
         begin, flat = begin[:-1] - begin[0], split.flatten().dictionary_encode()
-        codes, known = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
-        odd = np.array([not k or k[0].isspace() or any(s in k for s in self.special) for k in known])
-        blobs = [b"" if o else self.parts[k] for k, o in zip(known, odd, strict=True)]
+        codes, known = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+        odd = np.fromiter(map(str.isspace, [k[:1] or " " for k in known]), bool, len(known))
+        get = self.parts.__getitem__
+        blobs = [b"" if o else get(k) for k, o in zip(known, odd.tolist(), strict=True)]
         alone = np.logical_or.reduceat(odd[codes], begin)  # texts that can't be cut at every space
+        for s in self.special:
+            alone |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False).astype(bool)
         nothing = len(blobs) + len(texts)
         for i, (k, whole) in enumerate(zip(codes[begin].tolist(), alone.tolist(), strict=True)):
             blobs.append(self.encode(texts[i].as_py()).astype(self.dtype).tobytes() if whole else self._pieces(known[k]))
         blobs.append(b"")
         parts = np.diff(np.append(begin, len(codes)))
-        codes = np.where(np.repeat(alone, parts), nothing, codes)
+        if alone.any():
+            codes = np.where(np.repeat(alone, parts), nothing, codes)
+        else:
+            codes = codes.copy()
         codes[begin] = len(known) + np.arange(len(texts))
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
         pool, start = np.frombuffer(b"".join(blobs), self.dtype), np.cumsum(size) - size
         size, start = size[codes], start[codes]
         ends = np.cumsum(size)
-        ids = pool[np.repeat(start - ends + size, size) + np.arange(ends[-1])].astype(np.uint32)
-        return ids, np.add.reduceat(size, begin)
+        ids = pool[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
+        return ids.astype(np.uint32), np.add.reduceat(size, begin)
 
 
 _encoders: dict[str, Encoder] = {}
