@@ -62,16 +62,17 @@ def climb(nodes: DataFrame, sums: list[str]) -> tuple[DataFrame, list[DataFrame]
     left out.
     """
     there = nodes.select(F.col("node").alias("_p"))
-    state = nodes.join(there, nodes.parent == F.col("_p"), "left").select("node", F.col("_p").alias("up"), F.coalesce("_p", "node").alias("top"), *sums)
-    state, jumps = cut(state, "climb"), []
-    most = nodes.count().bit_length() + 1
-    while state.where("up is not null").limit(1).count() and len(jumps) < most:
-        jumps.append(state.where("up is not null").select("node", "up"))
-        above = state.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("top").alias("_t"), *[F.col(s).alias(f"_{s}") for s in sums])
-        step = state.join(above, state.up == above._n, "left")
-        step = step.select("node", F.col("_u").alias("up"), F.coalesce("_t", "top").alias("top"), *[(F.col(s) + F.coalesce(f"_{s}", F.lit(0))).alias(s) for s in sums])
-        state = cut(step, "climb")
-    return state.where("up is null").drop("up"), jumps
+    state = cut(nodes.join(there, nodes.parent == F.col("_p"), "left").select("node", F.col("_p").alias("up"), F.coalesce("_p", "node").alias("top"), *sums), "climb")
+    done, jumps, most = state.where("up is null"), [], nodes.count().bit_length() + 1
+    moving = state.where("up is not null")
+    while moving.limit(1).count() and len(jumps) < most:
+        jumps.append(moving.select("node", "up"))
+        # only replies that aren't at their root yet move on; those that are were written before
+        above = done.unionByName(moving).select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("top").alias("_t"), *[F.col(s).alias(f"_{s}") for s in sums])
+        step = moving.join(above, moving.up == above._n).select("node", F.col("_u").alias("up"), F.col("_t").alias("top"), *[(F.col(s) + F.col(f"_{s}")).alias(s) for s in sums])
+        step = cut(step, "climb")
+        done, moving = done.unionByName(step.where("up is null")), step.where("up is not null")
+    return done.drop("up"), jumps
 
 
 def paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
