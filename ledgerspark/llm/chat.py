@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import cut, parts, running_totals
 
 #: Control strings of this template and of common ones.
-CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
+CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]")
 END = "<|end|>\n"
 #: Roles whose texts are learned.
 LEARNED = "assistant"
