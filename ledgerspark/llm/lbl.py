@@ -39,7 +39,17 @@ class Counts:
         self.table = table
         n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.tokens, self.distinct = int(n), int(v)
-        rows = table.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(head).collect()
+        # words are taken by classes of counts, the most frequent first, as long as all of a class fit, so
+        # that tasks send no more than the head between them
+        level = F.floor(F.log2("c") * 16)
+        size, least = 0, None
+        for r in sorted(table.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+            size += r["count"]
+            if size > head:
+                break
+            least = r.level
+        rows = [] if least is None else table.where((level >= least) & (F.col("word") != END)).collect()
+        rows.sort(key=lambda r: (-r.c, r.word))
         end = table.where(F.col("word") == END).first()
         self.words = [END, *(r.word for r in rows)]
         self.c = np.array([end.c if end else 0, *(r.c for r in rows)], np.int64)

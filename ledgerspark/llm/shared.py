@@ -70,6 +70,15 @@ def running_totals(df: DataFrame, group: str | None, value: str, order: list[str
     return joined.withColumn(out, (F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long")).drop("_before", "_group", "_part")
 
 
+def share(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows (all, if there are no more), chosen by a hash of a key.
+
+    Unlike an ordered limit, no task sends more than its part to the driver.
+    """
+    part = min(1.0, most / max(1, df.count()))
+    return df if part == 1 else df.where(F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1_000_000)) < int(part * 1_000_000))
+
+
 def words(text: Column) -> Column:
     """The words of a text, natively."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
