@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, share
 
 #: Vectors that centroids and codebooks are fitted on.
 SAMPLE = 20_000
@@ -104,12 +104,14 @@ def search(vectors: DataFrame, is_query: F.Column, top: int = TOP, sample: int =
         return empty
     dim = sizes[0]["dim"]
     rows = rows.where(F.size("v") == dim)
-    rows = rows.groupBy("vec_id", "v").agg(F.max("ask").alias("ask"))
+    rows = cut(rows.groupBy("vec_id", "v").agg(F.max("ask").alias("ask")), "vectors")
     # equal vectors share an entry; a result holds at most top of them besides the query itself
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = rows.withColumn("place", place).where(F.col("place") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(sample).toArrow()["v"].combine_chunks()
-    index = Index(matrix(fitted if isinstance(fitted, pa.Array) else fitted.chunk(0)), lists)
+    fitted = np.array([r.v for r in share(rows, "vec_id", sample).select("vec_id", "v").orderBy("vec_id").collect()])
+    if not len(fitted):
+        return empty
+    index = Index(fitted, lists)
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
