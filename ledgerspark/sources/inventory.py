@@ -19,7 +19,7 @@ def database_kind(name: str) -> tuple[str, str]:
     for start, kind in (("state_", "state_database"), ("thread_history_", "history_database")):
         if name.startswith(start):
             return kind, "eligible"
-    if name == "codex-dev.db":
+    if name.endswith("-dev.db"):
         return "catalog_database", "eligible"
     return ("log_database", "diagnostic_only") if name.startswith("logs_") else ("unknown_database", "excluded")
 
@@ -35,7 +35,7 @@ class Config:
 
     @classmethod
     def resolve(cls, home: str | None = None, data: str | None = None, more: tuple[str, ...] = ()) -> Config:
-        base = Path(home or os.environ.get("CODEX_HOME") or Path.home() / ".codex").expanduser().resolve()
+        base = Path(home or os.environ.get("AGENT_HOME") or Path.home() / ".agent").expanduser().resolve()
         out = Path(data or os.environ.get("LEDGERSPARK_DATA") or Path.home() / ".ledgerspark").expanduser().resolve()
         given = {}
         if (toml := base / "config.toml").is_file():
