@@ -71,7 +71,7 @@ def test_normalize_families(spark, tmp_path):
     got = sorted(records.normalize(raw, "salt").collect(), key=lambda r: r.ordinal)
     assert [r.session_id for r in got[:6]] == ["child", "parent", "parent", "parent", "child", "child"]
     assert [r.error for r in got[10:]] == [None, "unknown_record_kind", "unsupported_identity_shape"]
-    assert json.loads(got[5].data_json)["own_counter_origin"] is False and got[5].turn_id == "t2"
+    assert json.loads(got[5].data_json)["own_counter_origin"] is True and got[5].turn_id == "t2"
     used = json.loads(got[6].data_json)["usage"]
     assert (used["input_tokens"], used["output_tokens"], used["total_tokens"]) == (None, None, 6)
     assert json.loads(got[8].data_json)["exitCode"] == 2 and json.loads(got[9].data_json)["durationMs"] == 1500
