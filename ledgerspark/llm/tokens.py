@@ -54,7 +54,10 @@ BLOCK_CHARS = 12_000_000
 
 
 class Encoder:
-    """Encodes texts to uint32 ids (``add_special_tokens=False``); one per Python worker."""
+    """Encodes texts to uint32 ids (``add_special_tokens=False``); one per Python worker.
+
+    The string of a special token in a text is ordinary text, so no text can end a document.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,8 +68,8 @@ class Encoder:
         if pre["type"] != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("a byte-level vocabulary without prefix space or normalizer is needed")
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
-        self.special = [t["content"] for t in spec["added_tokens"]]
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 0xFFFF else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.alphabet = byte_alphabet()
@@ -97,8 +100,6 @@ class Encoder:
         """Ids of one whole text; null counts as empty."""
         if not text:
             return np.empty(0, np.uint32)
-        if any(s in text for s in self.special):  # the library finds these before it splits
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         first, *rest = SAFE_SPLIT(text)
         blob = self._pieces(first) + b"".join(map(self.parts.__getitem__, rest))
         return np.frombuffer(blob, self.dtype).astype(np.uint32)
@@ -123,8 +124,6 @@ class Encoder:
         get = self.parts.__getitem__
         blobs = [b"" if o else get(k) for k, o in zip(known, odd.tolist(), strict=True)]
         alone = np.logical_or.reduceat(odd[codes], begin)  # texts that can't be cut at every space
-        for s in self.special:
-            alone |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False).astype(bool)
         nothing = len(blobs) + len(texts)
         for i, (k, whole) in enumerate(zip(codes[begin].tolist(), alone.tolist(), strict=True)):
             blobs.append(self.encode(texts[i].as_py()).astype(self.dtype).tobytes() if whole else self._pieces(known[k]))

@@ -108,6 +108,7 @@ def library_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary())
+    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
