@@ -119,9 +119,10 @@ def trigram_query(pattern: str) -> Query:
 
 def postings(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The inverted index of these trigrams: ``trigram, doc_id`` rows."""
-    low = F.lower(F.col(text))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(held).alias("trigram"))
+    # a projection of its own, or each of the tests would lower-case the text again
+    low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("_low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    return low.select("doc_id", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
