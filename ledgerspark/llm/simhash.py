@@ -28,7 +28,7 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Blocks that the bits are cut into; RADIUS of them may differ, so all choices of the rest are shards.
 BLOCKS = 5
 #: Fingerprints that a tree holds.
-SHARD_ROWS = 1000
+SHARD_ROWS = 4000
 #: Pairs that one step of a search looks at.
 STEP_PAIRS = 2_000_000
 

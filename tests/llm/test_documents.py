@@ -62,7 +62,7 @@ def test_simhash_empty(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("rows,radius,blocks", [(10, 3, 5), (1000, 3, 5), (50, 7, 9)])
+@pytest.mark.parametrize("rows,radius,blocks", [(10, 3, 5), (4000, 3, 5), (50, 7, 9)])
 def test_forest_finds_all_links(spark, rows, radius, blocks):
     g = np.random.default_rng(4)
     near = g.integers(0, 2**63, 6, dtype=np.uint64)
