@@ -44,12 +44,12 @@ def _has(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
 
 
-def _facts(t: Tables, f: Filters) -> DataFrame:
-    return where(t.usage_facts, f, t.edges, t.projects)
+def _facts(t: Tables, f: Filters, keyed: bool = False) -> DataFrame:
+    return where(t.usage_facts, f, t.edges, t.projects, keyed)
 
 
-def _tools(t: Tables, f: Filters) -> DataFrame:
-    return where(t.tool_calls, f, t.edges, t.projects)
+def _tools(t: Tables, f: Filters, keyed: bool = False) -> DataFrame:
+    return where(t.tool_calls, f, t.edges, t.projects, keyed)
 
 
 def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
@@ -73,14 +73,14 @@ def response_metrics() -> list[Column]:
 
 
 def usage(t: Tables, f: Filters = NONE, limit: int | None = 100, offset: int = 0) -> DataFrame:
-    rows = _ids(_facts(t, f), t.fact_sources, "fact_id")
+    rows = _ids(_facts(t, f, True), t.fact_sources, "fact_id")
     rows = rows.select("id", "session_id", _has(rows, "turn_id"), "timestamp", _has(rows, "interval_start", "timestamp_ntz"), _has(rows, "interval_end", "timestamp_ntz"),
         model_key().alias("model"), F.col("project_key").alias("project"), *TOKEN_FIELDS, "method", _has(rows, "coverage"), noncached().alias("noncached_input_tokens"), "provenance_ids")
     return page(rows.orderBy(F.desc_nulls_last("timestamp"), "id"), limit, offset)
 
 
 def tools(t: Tables, f: Filters = NONE, limit: int | None = 100, offset: int = 0, largest: bool = False) -> DataFrame:
-    rows = _ids(_tools(t, f), t.tool_sources, "tool_id")
+    rows = _ids(_tools(t, f, True), t.tool_sources, "tool_id")
     big = ("argument_bytes", "result_bytes", "argument_tokens", "result_tokens")
     rough = lambda name: (rough_tokens(f"{name}_characters") if f"{name}_characters" in rows.columns else F.lit(None).cast("bigint")).alias(f"rough_{name}_tokens")
     rows = rows.select("id", "session_id", _has(rows, "native_id"), "name", "timestamp", _has(rows, "completed_at", "timestamp_ntz"), "status", "duration_ms", _has(rows, "wall_ms", "double"),

@@ -91,8 +91,9 @@ def with_project(df: DataFrame, projects: DataFrame) -> DataFrame:
     return df.join(keys, df.project == keys.path, "left").drop("path").withColumn("project_key", F.coalesce("project_key", F.lit("unknown")))
 
 
-def where(df: DataFrame, filters: Filters, edges: DataFrame, projects: DataFrame) -> DataFrame:
-    """Rows that pass, with ``project_key``.  Rows without time don't pass a date filter."""
+def where(df: DataFrame, filters: Filters, edges: DataFrame, projects: DataFrame, keyed: bool = False) -> DataFrame:
+    """Rows that pass, with ``project_key`` if it is asked for or filtered by.  Rows without time don't
+    pass a date filter."""
     first, last = filters.bounds()
     if first is not None:
         df = df.where(F.col("timestamp") >= F.lit(first.isoformat(" ")).cast("timestamp_ntz"))
@@ -102,5 +103,7 @@ def where(df: DataFrame, filters: Filters, edges: DataFrame, projects: DataFrame
         df = df.where(model_key() == filters.model)
     if filters.session:
         df = df.where(F.col("session_id") == filters.session) if filters.scope == "own" else df.join(scope_of(edges, filters), "session_id", "left_semi")
+    if not (keyed or filters.project):
+        return df
     df = with_project(df, projects)
     return df.where(F.col("project_key") == filters.project) if filters.project else df
