@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import usable
-from .shared import components, cut
-from .simhash import spanning
+from .shared import components, cut, spanning
 
 COSINE = 0.98
 #: Vectors of a graph; queries of a task.

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +87,51 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest one of its component."""
+    ids, k = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = k[: len(a)], k[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    far = root != np.arange(len(ids))
+    return ids[far], ids[root[far]]
+
+
+#: Links that a task contracts.
+TASK_LINKS = 200_000
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """Fewer links ``(a, b)`` with the same components: each task keeps a spanning forest of its part.
+
+    Tasks that saw the same group of nodes give much the same links; meeting in fewer tasks, those
+    become one forest.  It ends when one task holds all links or a round no longer helps.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            a, b = spanning(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    edges = cut(edges.select("a", "b"), "links")
+    n = edges.count()
+    while n > 1:
+        tasks = -(-n // TASK_LINKS)
+        edges = cut(edges.repartition(tasks).mapInArrow(task, "a long, b long"), "links")
+        before, n = n, edges.count()
+        if tasks == 1 or n > 0.7 * before:
+            break
+    return edges
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
     """The smallest node id that each node reaches over undirected edges ``(a, b)`` (longs).
 
@@ -92,6 +140,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 6
     Every step is a join or a minimum with partial aggregation: a hub of any degree is summed before
     it is shuffled, and skewed joins can be split.  Each round is written to the shared folder.
     """
+    edges = contract(edges)
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "label")
     for _ in range(rounds):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, parts
+from .shared import components, cut, parts, spanning
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Blocks that the bits are cut into; RADIUS of them may differ, so all choices of the rest are shards.
@@ -109,23 +109,6 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node to the smallest one of its component."""
-    ids, k = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = k[: len(a)], k[len(a) :]
-    root = np.arange(len(ids))
-    while True:
-        low = root.copy()
-        np.minimum.at(low, x, root[y])
-        np.minimum.at(low, y, root[x])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    far = root != np.arange(len(ids))
-    return ids[far], ids[root[far]]
-
-
 def links_of(shard: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of whole shards.  side: 1 in the tree, 2 searched for, 3 both."""
     order = np.argsort(shard, kind="stable")
