@@ -188,11 +188,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 7, seed: int = SEED, blocks: int = 9) -> DataFrame:
     """The rows of ``docs`` with one document of each component left, the one with the smallest id.
 
-    Two texts of which a share J of all five-word shingles is common differ in about
-    64 / pi * acos(2J / (1 + J)) bits: 7 bits stand for a similarity of 0.89, and 0.8 for 10.  Rows that
-    repeat a doc_id count as one document; rows without an id stay.
+    Components are of texts of which 0.8 or more of all five-word shingles are common (see ``similar``);
+    fingerprints up to ``radius`` bits apart are only the first place to look.  Rows that repeat a doc_id
+    count as one document; rows without an id stay.
     """
-    found = near_duplicates(docs, shingle, radius, seed, blocks=blocks)
+    from .similar import similar_documents
+
+    found = similar_documents(docs, shingle, radius, seed, blocks)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
     twice = cut(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("_twice")), "twice")
