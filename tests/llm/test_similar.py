@@ -46,3 +46,8 @@ def kept(spark, sf):
 def test_every_similar_pair_is_found(kept):
     got, want = kept
     assert not got - want
+
+
+def test_only_similar_documents_go(kept):
+    got, want = kept
+    assert got == want
