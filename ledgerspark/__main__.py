@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from ledgerspark.engine import DATASETS, Engine
-from ledgerspark.sources.inventory import Config, discover
+from ledgerspark.sources.inventory import Config, discover, eligible
 from ledgerspark.streaming import worker
 
 
@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(found, indent=1))
         return int(any(s["disposition"] == "failed" for s in found))
     spark = SparkSession.builder.appName("ledgerspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    engine, logs = Engine(spark), a.logs or str(config.logs[0])
+    engine, logs = Engine(spark), a.logs or eligible(config)
     if a.command == "run":
         target = str(config.data / "events")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from dataclasses import dataclass, field
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sqlite
 
+#: Begins a path of logs that stands for all eligible rollouts of a configuration.
+DISCOVER = "discover:"
 COLUMNS = "canonical_path string, original_path string, kind string, disposition string, reason string, error string, size bigint, mtime_ns bigint, file_id string, schema_signature string"
 
 
@@ -95,6 +98,18 @@ def discover(config: Config) -> list[dict]:
     return list(rows.values())
 
 
+def eligible(config: Config) -> str:
+    """A path for the log source: what is discovered whenever the source looks for files."""
+    return DISCOVER + json.dumps({"home": str(config.home), "data": str(config.data), "logs": [*map(str, config.logs)], "databases": [*map(str, config.databases)]})
+
+
+def rollouts(where: str) -> list[str]:
+    """Canonical paths of the eligible rollouts that such a path stands for, each once."""
+    c = json.loads(where.removeprefix(DISCOVER))
+    config = Config(Path(c["home"]), Path(c["data"]), [*map(Path, c["logs"])], [*map(Path, c["databases"])])
+    return sorted(s["canonical_path"] for s in discover(config) if s["kind"] == "rollout" and s["disposition"] == "eligible")
+
+
 def rollout_paths(state: str) -> list[str]:
     has = sqlite.reflect(state).get("threads", {})
     if "rollout_path" not in has:

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from . import inventory
+
 SCHEMA = "path string, generation int, byte_start bigint, byte_end bigint, ordinal bigint, digest string, raw string, error string"
 #: Longer records are recorded but not parsed; bytes hashed at either end of what was read.
 MAX_RECORD, EDGE = 32 << 20, 4096
@@ -188,7 +190,9 @@ class JsonlStream(DataSourceStreamReader):
 
 
 def listed(where: str) -> list[str]:
-    """Files of a path, a folder (recursively) or a pattern."""
+    """Files of a path, a folder (recursively), a pattern or all that are discovered."""
+    if where.startswith(inventory.DISCOVER):
+        return inventory.rollouts(where)
     if os.path.isdir(where):
         where = os.path.join(where, "**", "*.jsonl")
     return sorted(p for p in glob.glob(where, recursive=True) if os.path.isfile(p))
