@@ -1,44 +1,43 @@
 """Queries that write logs or a database of their own and read them back through the sources.
 
-They show the sources at work; the files lie on the driver, so they are for one machine.
+They show the sources at work; tasks write the logs and the streams' results to the shared folder, the
+database lies on the driver.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import sqlite3
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import records
+from ledgerspark.operators.storage import shared_dir
 from ledgerspark.sources import jsonl, sqlite
 
 from .fixtures import load
 
 
-def _lines(spark: SparkSession, d: str) -> list[str]:
-    """A log per session: a header, then counters."""
-    rows = load(spark, d, "fx_observations").where("record_id % 20 = 0 and input_tokens is not null").orderBy("session_id", "ordinal").toLocalIterator()
-    out, last = [], None
-    for r in rows:
-        time = r["timestamp"].isoformat() + "Z"
-        if r.session_id != last:
-            out.append({"timestamp": time, "type": "session_meta", "payload": {"id": r.session_id, "cwd": "/p0"}})
-            last = r.session_id
-        total = {"input_tokens": r.input_tokens, "output_tokens": r.output_tokens or 0, "total_tokens": r.input_tokens + (r.output_tokens or 0)}
-        out.append({"timestamp": time, "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": total}}})
-    return [json.dumps(x) + "\n" for x in out]
-
-
 def _log(spark: SparkSession, d: str) -> str:
-    path = os.path.join(tempfile.mkdtemp(prefix="logs-"), "a.jsonl")
-    with open(path, "w") as f:
-        f.writelines(_lines(spark, d))
+    """Logs that tasks write to the shared folder, as a pattern: a header for each session, then counters."""
+    rows = load(spark, d, "fx_observations")
+    n = max(spark.sparkContext.defaultParallelism, -(-rows.count() // 250_000))
+    first = F.row_number().over(Window.partitionBy("session_id").orderBy("ordinal")) == 1
+    rows = rows.repartition(n, "session_id").withColumn("first", first).sortWithinPartitions("session_id", "ordinal")
+    time = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("timestamp")
+    total = F.struct("input_tokens", F.when(F.col("input_tokens").isNotNull(), F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"), (F.col("input_tokens") + F.coalesce("output_tokens", F.lit(0))).alias("total_tokens"))
+    text = lambda kind, payload: F.to_json(F.struct(time, F.lit(kind).alias("type"), payload.alias("payload")), {"ignoreNullFields": "false"})
+    head = text("session_meta", F.struct(F.col("session_id").alias("id"), F.lit("/p0").alias("cwd")))
+    counter = text("event_msg", F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage")).alias("info")))
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    rows.select(F.explode(F.when(F.col("first"), F.array(head, counter)).otherwise(F.array(counter))).alias("value")).write.text(path)
+    path = path.removeprefix("file://")
+    with open(os.path.join(path, "part-open"), "w") as f:
         f.write('{"not finished')
-    return path
+    return os.path.join(path, "part-*")
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +67,7 @@ def sqlite_ro_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream(spark: SparkSession, path: str, steps) -> DataFrame:
     """Records that a tail gives over several appends or rewrites."""
-    out, state = tempfile.mkdtemp(prefix="out-"), tempfile.mkdtemp(prefix="state-")
+    out, state = (f"{shared_dir(spark)}/{k}-{uuid.uuid4().hex}" for k in ("out", "state"))
     jsonl.register(spark)
     for step in steps:
         step()
@@ -77,31 +76,36 @@ def _stream(spark: SparkSession, path: str, steps) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_append(spark: SparkSession, d: str) -> DataFrame:
-    lines, path = _lines(spark, d), os.path.join(tempfile.mkdtemp(prefix="logs-"), "a.jsonl")
+def _halves(spark: SparkSession, d: str, rewrite: bool) -> DataFrame:
+    """A tail over logs of which tasks first put the first half, then append the second or put it instead."""
+    logs = jsonl.listed(_log(spark, d))
+    to = os.path.join(shared_dir(spark).removeprefix("file://"), f"tail-{uuid.uuid4().hex}")
+    os.makedirs(to)
 
-    def add(part: list[str]):
-        def step():
-            with open(path, "a") as f:
-                f.writelines(part)
+    def step(second: bool):
+        def copy(log: str) -> None:
+            size = os.path.getsize(log)
+            half = jsonl.last_line_end(log, 0, size // 2)
+            begin, end = (half, size) if second else (0, half)
+            target = os.path.join(to, os.path.basename(log))
+            with open(log, "rb") as f, open(target, "r+b" if second else "wb") as g:
+                f.seek(begin)
+                g.truncate(0 if rewrite else begin)  # a task that is repeated writes the same
+                g.seek(0, os.SEEK_END)
+                while left := end - f.tell():
+                    g.write(f.read(min(left, jsonl.BLOCK)))
 
-        return step
+        return lambda: spark.sparkContext.parallelize(logs, len(logs)).foreach(copy)
 
-    half = len(lines) // 2
-    return _stream(spark, path, [add(lines[:half]), add(lines[half:])])
+    return _stream(spark, os.path.join(to, "part-*"), [step(False), step(True)])
 
 
-def stream_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    lines, path = _lines(spark, d)[:40], os.path.join(tempfile.mkdtemp(prefix="logs-"), "a.jsonl")
-
-    def put(part: list[str]):
-        def step():
-            with open(path, "w") as f:
-                f.writelines(part)
+def stream_append(spark: SparkSession, d: str) -> DataFrame:
+    return _halves(spark, d, False)
 
-        return step
 
-    return _stream(spark, path, [put(lines[:20]), put(lines[20:])]).withColumn("again", F.col("generation") > 1)
+def stream_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    return _halves(spark, d, True).withColumn("again", F.col("generation") > 1)
 
 
 QUERIES = {f.__name__: f for f in (jsonl_tail_batch, normalize_records, sqlite_ro_scan, stream_append, stream_rewrite)}
