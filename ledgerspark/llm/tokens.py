@@ -3,7 +3,8 @@
 A byte-level BPE splits a text into pretokens before any merge, so the ids of a text are the ids of
 its parts whenever a part starts where a pretoken must start.  A space before a non-space always
 starts one.  Texts are cut there, known parts come from the cache, and the rest go through the
-library's own BPE model.
+library's own BPE model.  The strings of the vocabulary's added tokens are cut out before all that, as
+the library does: each is one id, and what stands between them is encoded by itself.
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ BLOCK_CHARS = 12_000_000
 
 
 class Encoder:
-    """Encodes texts to uint32 ids (``add_special_tokens=False``); one per Python worker.
+    """The ids of ``Tokenizer.encode(text, add_special_tokens=False)`` as uint32; one per Python worker.
 
-    The string of a special token in a text is ordinary text, so no text can end a document.
+    The string of an added token in a text becomes that token's id, as in the library.
     """
 
     def __init__(self, path: str):
@@ -67,8 +68,13 @@ class Encoder:
         pre = spec["pre_tokenizer"]
         if pre["type"] != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("a byte-level vocabulary without prefix space or normalizer is needed")
+        added = spec.get("added_tokens") or []
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in added):
+            raise ValueError("added tokens must match as they are written")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = {t["content"]: t["id"] for t in added}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cut_added = re.compile(f"({'|'.join(longest_first)})").split if added else None
         self.merge = self.tokenizer.model.tokenize
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 0xFFFF else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
@@ -100,10 +106,18 @@ class Encoder:
         """Ids of one whole text; null counts as empty."""
         if not text:
             return np.empty(0, np.uint32)
-        first, *rest = SAFE_SPLIT(text)
-        blob = self._pieces(first) + b"".join(map(self.parts.__getitem__, rest))
+        spans = self.cut_added(text) if any(map(text.__contains__, self.added)) else [text]
+        blob = b"".join(self._added(s) if k % 2 else self._span(s) for k, s in enumerate(spans))
         return np.frombuffer(blob, self.dtype).astype(np.uint32)
 
+    def _added(self, content: str) -> bytes:
+        return array(self.kind, [self.added[content]]).tobytes()
+
+    def _span(self, text: str) -> bytes:
+        """Ids of what stands between added tokens."""
+        first, *rest = SAFE_SPLIT(text)
+        return self._pieces(first) + b"".join(map(self.parts.__getitem__, rest))
+
     def encode_all(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of texts: the first one's index, all their ids in one array, and how many each has."""
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -124,6 +138,8 @@ class Encoder:
         get = self.parts.__getitem__
         blobs = [b"" if o else get(k) for k, o in zip(known, odd.tolist(), strict=True)]
         alone = np.logical_or.reduceat(odd[codes], begin)  # texts that can't be cut at every space
+        for content in self.added:
+            alone |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False).astype(bool)
         nothing = len(blobs) + len(texts)
         for i, (k, whole) in enumerate(zip(codes[begin].tolist(), alone.tolist(), strict=True)):
             blobs.append(self.encode(texts[i].as_py()).astype(self.dtype).tobytes() if whole else self._pieces(known[k]))

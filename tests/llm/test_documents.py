@@ -1,6 +1,7 @@
 """Operators on documents against plain versions of the same."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -8,10 +9,12 @@ import sys
 import zlib
 from pathlib import Path
 
+import hypothesis
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -104,12 +107,19 @@ def test_deduplicate_keeps_one_of_each(docs):
 # --- 2 and 6 --------------------------------------------------------------------------------------
 
 
-def library_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.vocabulary())
+
+
+def library_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
+
+
+END = "<|endoftext|>"
+MARKED = [END, END + END, f"{END} start", f"end {END}", f"a {END} b", f"a{END}b", f" {END}  {END} {END}", f"x {END}{END}\n y", "<|endoftext", "<|endoftext|", f"<|{END}|>", f"two  spaces {END}  two"]
 
 
 ODD = ["a  b", " lead", "tail ", "x \n y", "\n\n z", "a  b", "　 x", " ", "", "  ", "it's  'd\n 's <|endoftext|> ok", "tab\t b", "\x1c a \x1d\x1e b", "don't we'll", "1 2,3 ab12", "ſ ß İ", "a" * 5000]
@@ -117,11 +127,31 @@ ODD = ["a  b", " lead", "tail ", "x \n y", "\n\n z", "a  b", "　 x", " ", "",
 
 def test_encoder_is_the_library():
     e = tokens.encoder(tokens.vocabulary())
-    assert [e.encode(t).tolist() for t in ODD] == [library_ids(t) for t in ODD]
+    texts = [*ODD, *MARKED]
+    assert [e.encode(t).tolist() for t in texts] == [library_ids(t) for t in texts]
     got = []
-    for _, ids, n in e.encode_all(pa.array([*ODD, None])):
+    for _, ids, n in e.encode_all(pa.array([*texts, None])):
         got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
-    assert got == [library_ids(t) for t in [*ODD, None]]
+    assert got == [library_ids(t) for t in [*texts, None]]
+    assert library_ids(f"a {END} b") == [64, 220, 50256, 275]
+
+
+@hypothesis.settings(max_examples=150, deadline=None)
+@hypothesis.given(st.lists(st.sampled_from([END, " ", "  ", "a", "it's", "\n", "<|", "é", "12"]), max_size=12).map("".join))
+def test_encoder_on_marked_texts(text):
+    e = tokens.encoder(tokens.vocabulary())
+    assert e.encode(text).tolist() == library_ids(text)
+    assert np.concatenate([ids for _, ids, _ in e.encode_all(pa.array(["x y", text]))]).tolist() == library_ids("x y") + library_ids(text)
+
+
+def test_marked_documents_in_files_and_sequences(spark):
+    """The registered operators on texts that hold the added token's string."""
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids_crc32 for r in repair.read_tokens(repair.write_tokens(docs, tokens.vocabulary(), end_id=0)).collect()}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert got == {i: crc([*library_ids(t), 0]) for i, t in enumerate(MARKED)}
+    packed = {r.doc_id: r.ids_crc32 for r in packing.pack_documents(docs, tokens.vocabulary()).collect()}
+    assert packed == {i: crc([*library_ids(t), 2]) for i, t in enumerate(MARKED)}
 
 
 def test_token_files(spark, docs):
