@@ -27,7 +27,6 @@ from .shared import cut
 from .tokens import encoder, vocabulary
 
 SHARD_IDS = 1 << 18
-ROUNDS = 3
 LEAST_COUNT = 8
 HEAD = struct.Struct("<4sIIIIQQ")
 
@@ -46,17 +45,16 @@ def pair_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[edge], np.diff(np.append(edge, len(keys)))
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n, 2) and the sequence left.  Symbol ``base + i`` stands for rule i.
 
     Each round counts all pairs, makes a rule of every pair that occurs at least ``least`` times, and
-    replaces occurrences; where two overlap, the more frequent pair wins, then the earlier place.
+    replaces occurrences; where two overlap, the more frequent pair wins, then the earlier place.  It ends
+    when no pair is that frequent.
     """
     seq, rules = ids.astype(np.uint32), []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
+    while len(seq) >= 2 * least:
         keys = pair_keys(seq, base + made)
         pairs, count = pair_counts(keys)
         often = count >= least

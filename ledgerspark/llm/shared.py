@@ -18,10 +18,16 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share, as the cluster names it.
+
+    Where none is set, a local session has a folder of its own; a cluster raises, as its executors
+    would write to disks of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -47,6 +53,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A table of the rows with a number each (unique, not gapless), which repeated and null ids don't share."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+#: Tasks that a group's rows are dealt over where they meet a value of the group.
+SALTS = 16
+
+
+def with_least(rows: DataFrame, group: str, value: str, key: str) -> DataFrame:
+    """``rows`` and ``least``, the least ``value`` of each one's ``group``.
+
+    Minima are taken in part before they are shuffled; each group's minimum then goes to some tasks, over
+    which the group's rows are dealt by ``key``, so that no group of any size meets in one task.
+    """
+    least = rows.groupBy(F.col(group).alias("_g")).agg(F.min(value).alias("least")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(SALTS)).cast("int"))
+    return dealt.join(least, (dealt[group] == least["_g"]) & (dealt["_salt"] == least["_s"])).drop("_g", "_s", "_salt")
+
+
 def parts(spark: SparkSession, rows: int, each: int) -> int:
     """How many partitions hold so many rows at about ``each`` rows, at least one per core slot."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // each))

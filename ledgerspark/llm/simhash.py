@@ -1,13 +1,17 @@
-"""SimHash near-duplicates linked through forests of BK-trees.
+"""SimHash near-duplicates linked through BK-trees of shards.
 
 Fingerprints are 64-bit SimHashes of word shingles.  Two that differ in at most ``radius`` bits agree
 on some of the blocks that the 64 bits are cut into, so every choice of blocks is a way to shard:
-fingerprints with equal bits there share a shard, and no link is lost.  Each shard has a BK-tree
-whose children are keyed by their integer Hamming distance to the parent; its fingerprints go down
-the tree along the edges whose label is within the radius of their own distance.  A large shard is
-cut into chunks: each chunk's tree is sent to every chunk's queries.  Trees of a task are built and
-searched level by level, all at once, and a task gives a spanning forest of its links, never all
-pairs.  (One tree of all fingerprints, sent to every task, would have no bound; shards have.)
+fingerprints whose key bits (some bits of the chosen blocks) are equal share a shard, and no link is
+lost.  The number of key bits, and with it the number of blocks, follows the number of fingerprints:
+shards hold a few thousand at every size, and a fingerprint is looked up in one shard a choice.
+
+Each shard has a BK-tree whose children are keyed by their integer Hamming distance to the parent.  A
+tree goes to the task that has the shard's queries, and they follow only edges whose label is within
+the radius of their own distance.  A shard that skew makes larger than a tree is cut into chunks:
+each chunk's tree is sent to every chunk's queries.  A task gives a spanning forest of its links,
+never all pairs.  (One tree of all fingerprints, sent to every task, would have no bound; and trees of
+arbitrary shards would meet every query, which is quadratic work.)
 """
 
 from __future__ import annotations
@@ -22,13 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, parts, spanning
+from .shared import components, cut, fresh, numbered, parts, spanning, with_least
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Blocks that the bits are cut into; RADIUS of them may differ, so all choices of the rest are shards.
-BLOCKS = 5
-#: Fingerprints that a tree holds.
-SHARD_ROWS = 4000
+#: Fingerprints that a shard has on average, at most; those that a tree holds.
+SHARD_MEAN, SHARD_ROWS = 2048, 4096
 #: Pairs that one step of a search looks at.
 STEP_PAIRS = 2_000_000
 
@@ -58,11 +60,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, doc_
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, fp long")
 
 
-def block_masks(blocks: int, radius: int) -> list[int]:
-    """Bits of each choice of ``blocks - radius`` blocks, as signed longs."""
-    edge = [round(64 * k / blocks) for k in range(blocks + 1)]
-    bits = [(1 << b) - (1 << a) for a, b in zip(edge, edge[1:], strict=False)]
-    masks = [sum(c) for c in combinations(bits, blocks - radius)]
+def key_masks(rows: int, radius: int, mean: int = SHARD_MEAN) -> list[int]:
+    """Key bits of each choice of blocks, as signed longs; as many bits as ``rows`` fingerprints need.
+
+    With ``radius`` more blocks than are chosen, some choice has only equal bits.  The fewest blocks
+    whose choices hold enough bits are taken, as choices multiply the rows.
+    """
+    need = max(0, -(-rows // mean) - 1).bit_length()
+    for blocks in range(radius + 1, 64):
+        edge = [round(64 * k / blocks) for k in range(blocks + 1)]
+        own = [list(range(a, b)) for a, b in zip(edge, edge[1:], strict=False)]
+        choices = [[bit for block in c for bit in block] for c in combinations(own, blocks - radius)]
+        if min(map(len, choices)) >= need:
+            break
+    masks = [sum(1 << bit for bit in c[:need]) for c in choices] if need else [0]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -131,9 +142,11 @@ def links_of(shard: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -
     return spanning(np.concatenate(a), np.concatenate(b))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, shard_mean: int = SHARD_MEAN, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges ``a, b`` (longs) that join fingerprints ``fp`` at up to ``radius`` bits into their components."""
-    rows = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(blocks, radius)])).alias("choice", "bits"))
+    n = distinct.count()
+    masks = key_masks(n, radius, shard_mean)
+    rows = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits"))
     rows = rows.withColumn("shard", F.xxhash64("choice", "bits")).select("shard", "fp")
     large = rows.groupBy("shard").count().where(F.col("count") > shard_rows).select(F.col("shard").alias("big"), F.ceil(F.col("count") / shard_rows).cast("int").alias("chunks"))
     rows = rows.join(large, rows.shard == large.big, "left")
@@ -165,11 +178,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard
         if held:
             yield give(tuple(map(np.concatenate, zip(*held, strict=True))))
 
-    n = parts(distinct.sparkSession, distinct.count() * len(block_masks(blocks, radius)), 300_000)
-    return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(task, "a long, b long")
+    tasks = parts(distinct.sparkSession, n * len(masks), 100_000)
+    return rows.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(task, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` for every row; the smallest doc_id reachable names a component.
 
     Null and empty texts have fingerprint zero and are linked like any other; rows with equal or null
@@ -178,29 +191,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     rows = cut(fingerprints(docs, shingle, seed, doc_id, text), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    label = components(links(nodes.select("fp"), radius, blocks))
+    label = components(links(nodes.select("fp"), radius))
     rooted = nodes.join(label, nodes.fp == label.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = cut(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "components")
+    ids = cut(with_least(rooted, "root", "low", "fp").select(F.col("fp").alias("_fp"), F.col("least").alias("component_id")), "components")
     return rows.join(ids, rows.fp == ids._fp).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 7, seed: int = SEED, blocks: int = 9) -> DataFrame:
-    """The rows of ``docs`` with one document of each component left, the one with the smallest id.
+def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 7, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each component left, the one with the smallest id.
 
     Components are of texts of which 0.8 or more of all five-word shingles are common (see ``similar``);
-    fingerprints up to ``radius`` bits apart are only the first place to look.  Rows that repeat a doc_id
-    count as one document; rows without an id stay.
+    fingerprints up to ``radius`` bits apart are only the first place to look.  Every row counts for
+    itself: rows that repeat an id go only if their texts are near copies, and of equal ids one row
+    stays.  Rows without an id stay.  Columns are those of ``docs``; an empty table gives no rows.
     """
     from .similar import similar_documents
 
-    found = similar_documents(docs, shingle, radius, seed, blocks)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
-    twice = cut(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("_twice")), "twice")
-    once = kept.join(twice, kept.doc_id == twice._twice, "left_anti")
-    again = kept.join(twice, kept.doc_id == twice._twice, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    row = fresh(docs, "_row")
+    docs = numbered(docs, row)
+    found = similar_documents(docs.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), shingle, radius, seed).select(F.col("doc_id").alias("_n"), F.col("component_id").alias("_c"))
+    ids = docs.select(F.col(row).alias("_n"), F.col(doc_id).cast("long").alias("_id"))
+    member = found.join(ids, "_n").select("_n", "_c", "_id", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_n").alias("n")).alias("_place"))
+    gone = with_least(member, "_c", "_place", "_n").where((F.col("least.n") != F.col("_n")) & F.col("_id").isNotNull()).select("_n")
+    return docs.join(cut(gone, "gone"), F.col(row) == F.col("_n"), "left_anti").drop(row)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

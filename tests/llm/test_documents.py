@@ -65,8 +65,8 @@ def test_simhash_empty(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("rows,radius,blocks", [(10, 3, 5), (4000, 3, 5), (50, 7, 9)])
-def test_forest_finds_all_links(spark, rows, radius, blocks):
+@pytest.mark.parametrize("mean,rows,radius", [(2048, 4096, 3), (40, 60, 3), (1, 10, 3), (100, 80, 7), (2048, 50, 7)])
+def test_forest_finds_all_links(spark, mean, rows, radius):
     g = np.random.default_rng(4)
     near = g.integers(0, 2**63, 6, dtype=np.uint64)
     fps = [int(x) for x in g.integers(0, 2**63, 150, dtype=np.uint64)]
@@ -78,7 +78,7 @@ def test_forest_finds_all_links(spark, rows, radius, blocks):
             fps.append(x)
     fps = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
     df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
-    got = {(r.a, r.b) for r in simhash.links(df, radius, blocks, shard_rows=rows).collect()}
+    got = {(r.a, r.b) for r in simhash.links(df, radius, mean, rows).collect()}
     root = {f: f for f in fps}
 
     def find(x):
@@ -98,6 +98,41 @@ def test_forest_finds_all_links(spark, rows, radius, blocks):
     assert sorted(collections.Counter(find(f) for f in fps).values()) == sorted(want.values())
 
 
+def test_links_come_from_trees_that_prune(spark, monkeypatch):
+    """Shards hold hundreds to thousands of fingerprints, and a search opens a small part of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = np.array([r.fp for r in simhash.fingerprints(docs).collect()], np.int64)
+    fps = np.unique(np.concatenate([fps, fps[::20] ^ 0x5000]))
+    for n in (10, 10_000, 10**6, 10**9, 10**11):  # key bits follow the size
+        masks = simhash.key_masks(n, 3)
+        bits = {m.bit_count() if m >= 0 else (m + 2**64).bit_count() for m in masks}
+        assert len(bits) == 1 and (n == 10 or 1000 < n / 2 ** bits.pop() <= 2048) and len(masks) <= 56
+    forest = simhash.Forest(np.zeros(len(fps), np.int64), fps.view(np.uint64))
+    opened, plain = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: opened.append(len(x)) or plain(x))
+    q, n = forest.search(np.zeros(len(fps), np.int64), fps.view(np.uint64), 3)
+    assert sum(opened) < 0.25 * len(fps) ** 2
+    monkeypatch.undo()
+    d = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64))
+    assert set(zip(q.tolist(), n.tolist(), strict=True)) == {(a, b) for a, b in zip(*np.nonzero((d > 0) & (d <= 3)), strict=True)} and len(q)
+    monkeypatch.setattr(simhash.Forest, "search", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    linked = lambda: len(simhash.links_of(np.zeros(len(fps), np.int64), fps.view(np.uint64), np.full(len(fps), 3), 3)[0])
+    assert linked() == 0  # without the tree's search there is no link
+    monkeypatch.undo()
+    assert linked() > 0
+
+
+def test_deduplicate_rows(spark):
+    """Different texts under one id both stay; copies go whatever their ids; ids may be null."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "alpha beta gamma delta epsilon", "x"), (1, "one two three four five six", "y"), (2, long, "z"), (1, long + " end", "z"), (None, long, "n"), (3, "solo", "s"), (3, "solo", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row string")
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    left = sorted((str(r.doc_id), r.text) for r in got.collect())
+    assert left == sorted([("1", rows[0][1]), ("1", rows[1][1]), ("1", long + " end"), ("None", long), ("3", "solo")])
+
+
 def test_deduplicate_keeps_one_of_each(docs):
     left = [r.doc_id for r in simhash.deduplicate(docs).collect()]
     assert left.count(7) == 1 and 1 in left and 2 not in left and left.count(None) == 2
@@ -183,7 +218,7 @@ def test_grammar_round_trip():
 
 def test_grammar_makes_text_smaller():
     ids = np.tile(np.arange(20, dtype=np.uint32), 500)
-    rules, seq = repair.compress(ids, 100, rounds=5)
+    rules, seq = repair.compress(ids, 100)
     assert len(seq) < len(ids) / 10 and (repair.expand(seq, rules, repair.lengths(rules, 100), 100) == ids).all()
 
 
