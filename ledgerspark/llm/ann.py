@@ -1,15 +1,21 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed.  A
-query looks into the lists of the centroids nearest to it: asymmetric distance tables (one inner
-product per sub-vector and code) score the codes, and the best ones are reranked by exact inner
-products.  Equal vectors share one entry, which keeps as many of their smallest ids as a result can
-hold.  A long list is cut into chunks and its queries into blocks, so no task has to take a whole one.
+Coarse centroids (about the square root of the number of vectors) and residual codebooks are fitted on a
+bounded sample; every vector is indexed.  How many lists a query probes and how many codes it reranks
+are not constants but come from an audit: for some queries the true neighbours are found by brute force,
+and both numbers are the least that reach nearly all of them.
+
+A query looks into the lists of the centroids nearest to it.  Asymmetric distance tables (one inner
+product per sub-vector and code) score the codes there; only the best codes over all lists, a small
+part of the table, get an exact inner product.  Equal vectors share one entry, which keeps as many of
+their smallest ids as a result can hold.  Lists are dealt over shelves of bounded size (a long list over
+several), and a query goes once to each shelf that it needs, so no task has to take a whole list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, share
+from .shared import cut, share, small
 
-#: Vectors that centroids and codebooks are fitted on.
-SAMPLE = 20_000
-LISTS, PROBES = 64, 44
-SUB_VECTORS, CODES = 32, 64
-#: Codes reranked exactly for each query and chunk.
-RERANK = 400
-CHUNK, BLOCK = 4000, 2000
+#: Vectors that centroids and codebooks are fitted on: so many for each list and at least so many, at most so many.
+SAMPLE_PER_LIST, SAMPLE_LEAST, SAMPLE_MOST = 32, 8192, 1 << 18
+#: Components of a sub-vector, and codes of a codebook.
+SUB_WIDTH, CODES = 2, 256
+#: Queries whose true neighbours are found by brute force, and the part of those that each of the two numbers reaches.
+AUDIT, REACH = 100, 0.985
+#: Entries of a shelf, and queries that meet it in one task.
+SHELF, BLOCK = 8000, 2000
 TOP = 20
 
 
@@ -41,7 +48,7 @@ def matrix(column: pa.Array, kind: str = "f8") -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
     """Centroids by Lloyd's method; at most as many as there are distinct vectors."""
     x = np.unique(x, axis=0)
     g = np.random.default_rng(seed)
@@ -55,20 +62,21 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x), np.int64)
-    for at in range(0, len(x), 20_000):
-        out[at : at + 20_000] = ((c * c).sum(1) - 2 * x[at : at + 20_000] @ c.T).argmin(1)
+    out, step = np.empty(len(x), np.int64), max(1, 4_000_000 // max(1, len(c)))
+    for at in range(0, len(x), step):
+        out[at : at + step] = ((c * c).sum(1) - 2 * x[at : at + step] @ c.T).argmin(1)
     return out
 
 
 class Index:
     """Coarse centroids and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, lists: int = LISTS, subs: int = SUB_VECTORS, codes: int = CODES, seed: int = 5):
+    def __init__(self, sample: np.ndarray, lists: int, sub_width: int = SUB_WIDTH, codes: int = CODES, seed: int = 5):
         self.dim = sample.shape[1]
         self.coarse = kmeans(sample, lists, seed)
-        self.edges = np.linspace(0, self.dim, min(subs, self.dim) + 1).round().astype(int)
+        self.edges = np.append(np.arange(0, self.dim, sub_width), self.dim)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
+        rest = rest[np.random.default_rng(seed).permutation(len(rest))[: 32 * codes]]
         self.books = [kmeans(rest[:, a:b], codes, seed + 1 + k) for k, (a, b) in enumerate(zip(self.edges, self.edges[1:], strict=False))]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,102 +84,231 @@ class Index:
         rest = x - self.coarse[own]
         return own, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.edges, self.edges[1:], self.books, strict=False)], 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
+    def order(self, q: np.ndarray) -> np.ndarray:
         """Lists by inner product with their centroid, largest first."""
-        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, :n]
+        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, sub-vectors, codes) inner products."""
-        out = np.zeros((len(q), len(self.books), max(map(len, self.books))))
+        out = np.zeros((len(q), len(self.books), max(map(len, self.books))), np.float32)
         for k, (a, b, book) in enumerate(zip(self.edges, self.edges[1:], self.books, strict=False)):
             out[:, k, : len(book)] = q[:, a:b] @ book.T
         return out
 
+    def estimates(self, q: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(queries, entries) inner products as the lists ``own`` and the codes give them."""
+        t, out = self.tables(q), (q @ self.coarse.T).astype(np.float32)[:, own]
+        for k in range(codes.shape[1]):
+            out += np.take(t[:, k], codes[:, k], axis=1)
+        return out
+
+
+@dataclass
+class Settings:
+    """What the audit found: lists, lists probed, codes reranked, and the part of true neighbours it reached."""
+
+    entries: int
+    lists: int
+    probes: int
+    rerank: int
+    recall: float
+
+
+def best_rows(score: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
+    """Columns of each row's ``top`` largest scores, ties by smaller id."""
+    return np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :top]
 
-def search(vectors: DataFrame, is_query: F.Column, top: int = TOP, sample: int = SAMPLE, lists: int = LISTS, probes: int = PROBES, rerank: int = RERANK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's ``top`` rows of largest inner product found.
 
-    A query is never its own candidate; rows with an equal vector are.  A row that repeats an id and
-    its vector counts once; an id that has several vectors is one query with all of them.  Ties go to the smaller vec_id.  Vectors that are null, zero, of another
-    length than most, or hold null or non-finite components, and rows without id, take no part.
+def audit(coded: DataFrame, asked: DataFrame, index: Index, shared, top: int, entries: int) -> Settings:
+    """The least numbers of probes and reranked codes that reach the true neighbours of some queries.
+
+    The queries' vectors (a bounded number) go to all tasks, which give each query's best entries of
+    their part by exact inner products; then the codes that score above each true neighbour are counted.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("ask"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable("v"))
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sizes:
-        return empty
-    dim = sizes[0]["dim"]
-    rows = rows.where(F.size("v") == dim)
-    rows = cut(rows.groupBy("vec_id", "v").agg(F.max("ask").alias("ask")), "vectors")
-    # equal vectors share an entry; a result holds at most top of them besides the query itself
-    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    entries = rows.withColumn("place", place).where(F.col("place") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    fitted = np.array([r.v for r in share(rows, "vec_id", sample).select("vec_id", "v").orderBy("vec_id").collect()])
-    if not len(fitted):
-        return empty
-    index = Index(fitted, lists)
-    shared = spark.sparkContext.broadcast(index)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark, lists = coded.sparkSession, len(index.coarse)
+    rows = asked.select("query_id", "v").orderBy(F.xxhash64(F.lit("audit"), "query_id"), "query_id").limit(AUDIT).collect()
+    if not rows:
+        return Settings(entries, lists, lists, top, 1.0)
+    q = spark.sparkContext.broadcast(np.array([r.v for r in rows]))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                own, codes = shared.value.encode(matrix(b.column(0)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "list", "code"])
+                x, own = matrix(b.column(0)), b.column(2).to_numpy()
+                codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(x), -1)
+                s = q.value @ x.T
+                few = np.argsort(-s, axis=1)[:, : top + 1]
+                est = np.take_along_axis(shared.value.estimates(q.value, own, codes), few, 1)
+                who = np.repeat(np.arange(len(s)), few.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.take_along_axis(s, few, 1).ravel()), pa.array(own[few].ravel()), pa.array(est.ravel())], ["who", "score", "list", "estimate"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    best = Window.partitionBy("who").orderBy(F.desc("score"), "list")
+    true = coded.mapInArrow(exact, "who long, score double, list int, estimate float").withColumn("place", F.row_number().over(best))
+    true = true.where(F.col("place") <= top + 1).select("who", "list", "estimate").collect()  # the query's own entry is one of them
+    who, own, est = (np.array([r[k] for r in true]) for k in range(3))
+    rank = np.argsort(index.order(q.value), axis=1)[who, own] + 1
+    bar = spark.sparkContext.broadcast((who, est.astype(np.float32)))
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asker, least = bar.value
+        n = np.zeros(len(asker), np.int64)
         for b in batches:
             if b.num_rows:
-                to = shared.value.probes(matrix(b.column(1)), probes)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(to.astype(np.int32)), pa.list_(pa.int32()))], ["query_id", "v", "lists"])
-
-    coded = cut(entries.mapInArrow(encode, "v array<double>, ids array<long>, list int, code binary"), "codes")
-    asked = cut(rows.where("ask").select("vec_id", "v").mapInArrow(probe, "query_id long, v array<double>, lists array<int>"), "queries")
-    sent = asked.select("query_id", "v", F.explode("lists").alias("list"))
-    n_own = coded.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    n_ask = sent.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cuts = F.broadcast(cut(n_own.join(n_ask, "list"), "cuts"))  # a row for each list at most
-    one = lambda key, n: F.pmod(F.xxhash64(F.lit("cut"), key), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = coded.join(cuts, "list").withColumn("chunk", one("v", "chunks")).withColumn("block", F.explode(every("blocks"))).select("list", "chunk", "block", "v", "ids", "code")
-    right = sent.join(cuts, "list").withColumn("block", one("query_id", "blocks")).withColumn("chunk", F.explode(every("chunks"))).select("list", "chunk", "block", "query_id", "v")
-
-    def cell(key, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(own) and len(ask):
-            ix, x, q, who = shared.value, np.stack(own.v.to_numpy()), np.stack(ask.v.to_numpy()), ask.query_id.to_numpy()
-            codes = np.frombuffer(b"".join(own.code), np.uint8).reshape(len(x), -1)
-            size = own.ids.map(len).to_numpy()
-            start, ids = np.cumsum(size) - size, np.concatenate(own.ids.to_numpy())
-            first, many = q @ ix.coarse[int(key[0])], min(rerank, len(x))
-            for at in range(0, len(q), 128):
-                part = slice(at, at + 128)
-                t = ix.tables(q[part])
-                near = first[part, None] + sum(t[:, k][:, codes[:, k]] for k in range(codes.shape[1]))
-                best = np.argpartition(-near, many - 1, axis=1)[:, :many]
-                exact = np.einsum("qd,qkd->qk", q[part], x[best])
-                # an entry has an id besides the query's own, so top + 1 entries are enough
-                order = np.lexsort((ids[start[best]], -exact), axis=1)[:, : top + 1]
-                best, exact = np.take_along_axis(best, order, 1).ravel(), np.take_along_axis(exact, order, 1).ravel()
-                n = size[best]
-                stop = np.cumsum(n)
-                one = ids[np.repeat(start[best] - stop + n, n) + np.arange(stop[-1])]
-                asker = np.repeat(np.repeat(who[part], order.shape[1]), n)
-                score = np.repeat(exact, n)
-                other = one != asker
-                asker, one, score = asker[other], one[other], score[other]
-                order = np.lexsort((one, -score, asker))
-                asker, one, score = asker[order], one[order], score[order]
-                begin = np.searchsorted(asker, asker)
-                top_few = np.arange(len(asker)) - begin < top
-                found.append((asker[top_few], one[top_few], score[top_few]))
-        a, b, c = (np.concatenate(z) for z in zip(*found, strict=True))
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-    pairs = left.groupBy("list", "chunk", "block").cogroup(right.groupBy("list", "chunk", "block")).applyInPandas(cell, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+                codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                got = np.sort(shared.value.estimates(q.value, b.column(2).to_numpy(), codes), axis=1)
+                n += [got.shape[1] - np.searchsorted(got[w], e, "right") for w, e in zip(asker.tolist(), least, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["k", "n"])
+
+    counted = {r.k: r.n for r in coded.mapInArrow(above, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    place = np.array([counted[k] for k in range(len(who))]) + 1
+    probes = int(np.ceil(np.quantile(rank, REACH, method="inverted_cdf")))
+    inside = place[rank <= probes]
+    rerank = max(top + 1, int(np.ceil(np.quantile(inside, REACH, method="inverted_cdf"))))
+    return Settings(entries, lists, probes, rerank, float(((rank <= probes) & (place <= rerank)).mean()))
+
+
+def shelves(coded: DataFrame, lists: int) -> DataFrame:
+    """``list, chunk, chunks, shelf``: lists of one shelf hold about SHELF entries; long ones are cut."""
+    n = coded.groupBy("list").count().collect()  # a row for each list at most
+    out, shelf, held = [], 0, 0
+    for r in sorted(n, key=lambda r: r["list"]):
+        chunks = -(-r["count"] // SHELF)
+        for c in range(chunks):
+            size = r["count"] // chunks
+            if held and held + size > SHELF:
+                shelf, held = shelf + 1, 0
+            out.append((r["list"], c, chunks, shelf))
+            held += size
+    return coded.sparkSession.createDataFrame(out, "list int, chunk int, chunks int, shelf int")
+
+
+def search(vectors: DataFrame, is_query: F.Column, top: int = TOP, vec_id: str = "vec_id", embedding: str = "embedding", settings: Settings | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's ``top`` rows of largest inner product found.
+
+    A query is never its own candidate; rows with an equal vector are.  A row that repeats an id and its
+    vector counts once; an id that has several vectors is one query with all of them.  Ties go to the
+    smaller vec_id.  Vectors that are null, zero, of another length than most, or hold null or non-finite
+    components, and rows without id, take no part.  Other columns are ignored; an empty table gives no rows.
+    ``settings`` replaces the audit.
+    """
+    found = Search(vectors, is_query, top, vec_id, embedding, settings)
+    return found.result
+
+
+class Search:
+    """A search and the settings that it used."""
+
+    def __init__(self, vectors: DataFrame, is_query: F.Column, top: int = TOP, vec_id: str = "vec_id", embedding: str = "embedding", settings: Settings | None = None):
+        spark = vectors.sparkSession
+        self.settings, self.result = settings, spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("ask"))
+        rows = rows.where(F.col("vec_id").isNotNull() & usable("v"))
+        sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+        if not sizes:
+            return
+        rows = cut(rows.where(F.size("v") == sizes[0]["dim"]).groupBy("vec_id", "v").agg(F.max("ask").alias("ask")), "vectors")
+        # equal vectors share an entry; a result holds at most top of them besides the query itself
+        place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+        entries = rows.withColumn("place", place).where(F.col("place") <= top + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+        entries = cut(entries, "entries")
+        n = entries.count()
+        lists = min(SAMPLE_MOST // SAMPLE_PER_LIST, max(1, round(n**0.5)))
+        sample = share(entries.select("v", F.col("ids")[0].alias("id")), "id", min(SAMPLE_MOST, max(SAMPLE_LEAST, lists * SAMPLE_PER_LIST))).toArrow()
+        if not sample.num_rows:
+            return
+        fitted = matrix(sample["v"].combine_chunks())[np.argsort(sample["id"].to_numpy(), kind="stable")]
+        index = Index(fitted, lists)
+        shared = spark.sparkContext.broadcast(index)
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    own, codes = shared.value.encode(matrix(b.column(0)))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "list", "code"])
+
+        coded = cut(entries.mapInArrow(encode, "v array<double>, ids array<long>, list int, code binary"), "codes")
+        asked = rows.where("ask").select(F.col("vec_id").alias("query_id"), "v")
+        self.settings = s = settings or audit(coded, asked, index, shared, top, n)
+        on = cut(shelves(coded, len(index.coarse)), "shelves")
+        chunk = F.pmod(F.xxhash64(F.lit("chunk"), "v"), F.col("chunks")).cast("int")
+        shelved = coded.join(F.broadcast(on.select("list", "chunks").distinct()), "list").withColumn("chunk", chunk).drop("chunks")
+        shelved = cut(shelved.join(F.broadcast(on.drop("chunks")), ["list", "chunk"]).select("shelf", "list", "v", "ids", "code"), "shelved")
+        places = spark.sparkContext.broadcast({r["list"]: r["shelves"] for r in on.groupBy("list").agg(F.collect_set("shelf").alias("shelves")).collect()})
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One row for each query and shelf: the lists to look into."""
+            for b in batches:
+                if b.num_rows:
+                    first, out = shared.value.order(matrix(b.column(1)))[:, : s.probes], []
+                    for k, own in enumerate(first.tolist()):
+                        to: dict[int, list[int]] = {}
+                        for one in own:
+                            for shelf in places.value.get(one, ()):
+                                to.setdefault(shelf, []).append(one)
+                        out += [(k, shelf, sorted(some)) for shelf, some in sorted(to.items())]
+                    k, shelf, some = zip(*out, strict=True) if out else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k, pa.int64())), b.column(1).take(pa.array(k, pa.int64())), pa.array(shelf, pa.int32()), pa.array(some, pa.list_(pa.int32()))], ["query_id", "v", "shelf", "lists"])
+
+        sent = cut(asked.mapInArrow(probe, "query_id long, v array<double>, shelf int, lists array<int>"), "probes")
+        blocks = small(sent.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+        block = F.pmod(F.xxhash64(F.lit("block"), "query_id", "v"), F.col("blocks")).cast("int")
+        right = sent.join(blocks, "shelf").withColumn("block", block).drop("blocks")
+        left = shelved.join(blocks, "shelf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+        def estimate(own: pd.DataFrame, ask: pd.DataFrame) -> Iterator[tuple]:
+            """Queries of a part, their estimates and which entries of the shelf they look at."""
+            ix, q, at = shared.value, np.stack(ask.v.to_numpy()), own["list"].to_numpy()
+            codes = np.frombuffer(b"".join(own.code), np.uint8).reshape(len(own), -1)
+            looked = np.zeros((len(q), len(ix.coarse)), bool)
+            for k, some in enumerate(ask.lists):
+                looked[k, some] = True
+            for a in range(0, len(q), 128):
+                est = ix.estimates(q[a : a + 128], at, codes)
+                est[~looked[a : a + 128][:, at]] = -np.inf
+                yield slice(a, a + 128), q[a : a + 128], est
+
+        def bars(key, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+            """The best estimates of each query on a shelf."""
+            out = []
+            if len(own) and len(ask):
+                for _, _, est in estimate(own, ask):
+                    many = min(s.rerank, est.shape[1])
+                    out += [e[e > -np.inf] for e in -np.partition(-est, many - 1, axis=1)[:, :many]]
+            return pd.DataFrame({"query_id": ask.query_id if out else [], "number": ask.number if out else [], "top": out})
+
+        # an id with several vectors is several searches
+        right = cut(right.withColumn("number", F.xxhash64("query_id", "v")), "sent")
+        cells = lambda: (left.groupBy("shelf", "block"), right.groupBy("shelf", "block"))
+        a, b = cells()
+        best = a.cogroup(b).applyInPandas(bars, "query_id long, number long, top array<float>").groupBy("query_id", "number").agg(F.flatten(F.collect_list("top")).alias("top"))
+        bar = F.element_at(F.slice(F.sort_array("top", False), 1, s.rerank), -1)
+        best = cut(best.where(F.size("top") > 0).select("query_id", "number", bar.alias("bar")), "bars")
+        right = right.join(best, ["query_id", "number"])
+
+        def rerank(key, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+            """Exact products of the entries whose estimates reach the query's bar; the top ones of the shelf."""
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            if len(own) and len(ask):
+                x, who, least = np.stack(own.v.to_numpy()), ask.query_id.to_numpy(), ask.bar.to_numpy(np.float32)
+                for part, q, est in estimate(own, ask):
+                    r, c = np.nonzero(est >= least[part, None])
+                    exact = np.einsum("kd,kd->k", q[r], x[c])
+                    ids = own.ids.to_numpy()[c]
+                    n = np.array([len(i) for i in ids], np.int64)
+                    asker, score = np.repeat(who[part][r], n), np.repeat(exact, n)
+                    one = np.concatenate([np.zeros(0, np.int64), *ids])
+                    other = one != asker
+                    asker, one, score = asker[other], one[other], score[other]
+                    order = np.lexsort((one, -score, asker))
+                    asker, one, score = asker[order], one[order], score[order]
+                    few = np.arange(len(asker)) - np.searchsorted(asker, asker) < top
+                    found.append((asker[few], one[few], score[few]))
+            a, b, c = (np.concatenate(z) for z in zip(*found, strict=True))
+            return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+
+        pairs = left.groupBy("shelf", "block").cogroup(right.groupBy("shelf", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        self.result = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, parts, running_totals, words
+from .shared import cut, parts, running_totals, small, words
 
 #: Weights of sources in code point order, repeating; most passes over a source.
 WEIGHTS = (5, 2, 1)
@@ -45,19 +45,21 @@ def place(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT, seed: str = "mix:", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT, seed: str = "mix:", doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, copies, taken`` for every row.
 
     Size is the number of words; null text has none, and an empty document is never taken.  A copy is
     taken if the budget (the sum of all sizes) still holds it whole when its turn comes.  Rows with
-    equal ids stand next to each other in the shuffle; an empty table gives no rows.
+    equal ids stand next to each other in the shuffle, and each is taken or not by itself; a column
+    ``row`` of numbers comes back with each row if one is named.  An empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.size(words(F.col(text))).cast("long").alias("size"), F.col(source).cast("string").alias("source"))
+    more = ["row"] if row else []
+    rows = docs.select(*[F.col(row).alias("row") for _ in more], F.col(doc_id).cast("long").alias("doc_id"), F.size(words(F.col(text))).cast("long").alias("size"), F.col(source).cast("string").alias("source"))
     rows = cut(rows.withColumn("place", place(F.col("doc_id"), seed)), "sizes")
     n = parts(docs.sparkSession, rows.count(), 200_000)
     per = targets(rows, weights, repeat).withColumnRenamed("source", "_source")
-    queued = running_totals(rows, "source", "size", ["place", "doc_id", "size"], "ahead", n)
-    queued = cut(queued.join(F.broadcast(per), queued.source.eqNullSafe(per._source), "left").drop("_source"), "queued")
+    queued = running_totals(rows, "source", "size", ["place", "doc_id", "size", *more], "ahead", n)
+    queued = cut(queued.join(small(per, "targets"), queued.source.eqNullSafe(per._source), "left").drop("_source"), "queued")
     copy = queued.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(repeat)))).select(
         "source", "place", "doc_id", "size", "ahead", "pass", (((F.col("pass") - 1) * F.col("source_size") + F.col("ahead") + F.col("size")) / F.col("target")).alias("finish"))
     budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
@@ -66,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEA
     t = taken.select(F.col("source").alias("_s"), F.col("ahead").alias("_a"), F.col("doc_id").alias("_d"), F.col("size").alias("_n"), "copies")
     match = queued.source.eqNullSafe(t._s) & (queued.ahead == t._a) & queued.doc_id.eqNullSafe(t._d) & (queued["size"] == t._n)
     copies = F.coalesce(F.col("copies"), F.lit(0)).cast("int")
-    return queued.join(t, match, "left").select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return queued.join(t, match, "left").select(*more, "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

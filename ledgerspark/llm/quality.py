@@ -107,8 +107,8 @@ def word_vectors(docs: DataFrame, text: str = "text", seed: int = 17) -> tuple[n
     return out[0], out[1]
 
 
-def pooled(docs: DataFrame, vectors: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, features`` for every row; a text without words has all zeros."""
+def pooled(docs: DataFrame, vectors: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """``doc_id, row, features`` for every row; a text without words has all zeros."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +121,11 @@ def pooled(docs: DataFrame, vectors: tuple[np.ndarray, np.ndarray], doc_id: str
                     if len(ids):
                         out[some, k * WIDTH : (k + 1) * WIDTH] = means(ids, v, begin, sizes[some])
                 out[:, -1] = np.log1p(sizes)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sizes)), pa.array([r.tobytes() for r in out], pa.binary())], ["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sizes)), b.column(2).slice(at, len(sizes)), pa.array([r.tobytes() for r in out], pa.binary())], ["doc_id", "row", "features"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return cut(rows.mapInArrow(task, "doc_id long, features binary"), "features")
+    number = F.col(row) if row else F.lit(None)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), number.cast("long").alias("row"))
+    return cut(rows.mapInArrow(task, "doc_id long, row long, features binary"), "features")
 
 
 def means(ids: np.ndarray, v: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -178,8 +179,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED) -> DataFrame:
-    """``doc_id, score, predicted`` for every row.
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED, row: str | None = None) -> DataFrame:
+    """``doc_id, score, predicted`` for every row, and ``row`` if a column of numbers is named.
 
     ``labels`` are the rows to learn from: ids with 0 or 1, null labels ignored; an id that has both
     counts as 1 if most of its rows do.  About ``most`` labelled documents are used, all
@@ -187,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     texts have a score too; without labels every score is 0.5.  Rows with equal or null ids are scored
     each by itself; other columns are ignored; an empty table gives no rows.
     """
-    features = pooled(docs, word_vectors(docs, text), doc_id, text)
+    features = pooled(docs, word_vectors(docs, text), doc_id, text, row)
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("_id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y"))
     chosen = share(cut(known, "known"), "_id", most)
     rows = features.join(chosen, features.doc_id == chosen._id).select("doc_id", "features", "y").collect()
@@ -198,10 +199,12 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<f4").reshape(b.num_rows, -1).astype(float)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.value.probability(x))], ["doc_id", "score"])
+                x = np.frombuffer(b"".join(b.column(2).to_pylist()), "<f4").reshape(b.num_rows, -1).astype(float)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(net.value.probability(x))], ["doc_id", "row", "score"])
 
-    return features.mapInArrow(task, "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = features.mapInArrow(task, "doc_id long, row long, score double")
+    scored = scored if row else scored.drop("row")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

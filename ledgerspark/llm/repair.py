@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small
 from .tokens import encoder, vocabulary
 
 SHARD_IDS = 1 << 18
@@ -295,7 +295,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(small(before, "before"), "part").select("doc_id", (F.col("before") + F.col("local")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

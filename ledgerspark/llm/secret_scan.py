@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, fresh, numbered
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,9 @@ def simplest(q: Query) -> Query:
 
 
 def grams(strings: set[str]) -> Query:
-    return simplest(frozenset(frozenset(s[k : k + 3] for k in range(len(s) - 2)) for s in strings))
+    """For each string the trigrams that cover it; those between would say little more and cost a test each."""
+    cover = lambda s: {*range(0, len(s) - 2, 3), len(s) - 3} if len(s) > 2 else ()
+    return simplest(frozenset(frozenset(s[k : k + 3] for k in cover(s)) for s in strings))
 
 
 def _walk(items) -> tuple[set[str] | None, Query]:
@@ -164,26 +166,29 @@ def long_enough(rule: Rule) -> Rule:
     return Rule(rule.kind, f"{rule.pattern[:-1]}{{{rule.least - len(fixed)},}}", 0, rule.least)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", out: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "spans") -> DataFrame:
     """All rows and columns of ``docs`` and an array of spans, by start, then in the order of the rules.
 
-    Null texts count as empty.  Rows with equal or null ids share candidates, and each is verified by
-    itself.  ``out`` replaces a column of that name; an empty table gives no rows.
+    Null texts count as empty.  Postings are of rows, so rows with equal or null ids don't share any.
+    ``out`` replaces a column of that name, other columns stay whatever they are called; an empty table
+    gives no rows.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted(set().union(*(c for q in queries for c in q)))
-    spans = []
+    spans, columns = [], [c for c in docs.columns if c != out]
+    asked = fresh(docs, "_rules")
     if trigrams:
-        found = cut(candidates(postings(docs, trigrams, doc_id, text), rules), "candidates")
-        found = found.select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-        docs = docs.join(found, docs[doc_id].eqNullSafe(found._id), "left").drop("_id")
+        row, to = fresh(docs, "_row"), fresh(docs, "_to")
+        docs = numbered(docs, row)
+        found = cut(candidates(postings(docs, trigrams, row, text), rules), "candidates")
+        docs = docs.join(found.select(F.col("doc_id").alias(to), F.col("rules").alias(asked)), F.col(row) == F.col(to), "left")
     whole = F.coalesce(F.col(text), F.lit(""))
     for k, (rule, q) in enumerate(zip(rules, queries, strict=True)):
         own = spans_of(whole, long_enough(rule), k)
         if q != ANY:
-            own = F.when(F.array_contains(F.coalesce("_rules", F.array().cast("array<int>")), k), own)
+            own = F.when(F.array_contains(F.coalesce(asked, F.array().cast("array<int>")), k), own)
         spans.append(F.coalesce(own, F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>")))
-    return docs.withColumn(out, F.array_sort(F.concat(*spans))).drop("_rules")
+    return docs.select(*columns, F.array_sort(F.concat(*spans)).alias(out))
 
 
 def redact(text: Column, spans: Column) -> Column:

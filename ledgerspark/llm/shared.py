@@ -53,6 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that is sent to every task.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for a broadcast join if it is counted to have no more than ``most`` rows."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

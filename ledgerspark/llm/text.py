@@ -37,22 +37,19 @@ def total(rows: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     """Sum of the equally long float64 arrays in column ``blob``; tasks add up in a tree, so that the
     driver gets at most ``fan_in`` of them however many tasks there were.  None if there is no row."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = None
-        for b in batches:
-            for x in b.column(0):
-                x = np.frombuffer(x.as_py())
-                got = x.copy() if got is None else got + x
-        if got is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], ["blob"])
+    def add_up(part: pa.Table) -> pa.Table:
+        got = np.sum([np.frombuffer(x) for x in sorted(part["blob"].to_pylist())], axis=0)
+        return pa.table({"part": part["part"][:1], "blob": pa.array([got.tobytes()], pa.binary())})
 
+    # an array's place is its task's number, so every task of a level gets at most fan_in of them
     n = rows.rdd.getNumPartitions()
+    rows = rows.withColumn("part", F.spark_partition_id())
     while True:  # one level at least: the arrays are made by all tasks at once
         n = -(-n // fan_in)
-        rows = rows.repartition(n).mapInArrow(task, "blob binary")
+        rows = rows.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part").applyInArrow(add_up, "part long, blob binary")
         if n <= fan_in:
             break
-    got = [np.frombuffer(r.blob) for r in rows.collect()]
+    got = [np.frombuffer(x) for x in sorted(bytes(r.blob) for r in rows.collect())]
     return np.sum(got, axis=0) if got else None
 
 

@@ -78,3 +78,69 @@ def test_few_candidates(spark):
     df = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "vec_id bigint, embedding array<double>")
     got = ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4]  # all products are equal: by id
+
+
+def brute(x, ids, asks, top=20):
+    out = {}
+    for k in asks:
+        s = x @ x[k]
+        s[k] = -np.inf
+        out[ids[k]] = [int(i) for i in ids[np.lexsort((ids, -s))[:top]]]
+    return out
+
+
+def recall_of(rows, want):
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return sum(len(set(w) & got.get(k, set())) for k, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_codes_select(spark, monkeypatch):
+    """Few entries are scored exactly, and it is the codes that choose them."""
+    found = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").unionByName(
+        spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumn("vec_id", F.col("vec_id") + 10_000))
+    rows = found.where(ann.usable("embedding") & (F.size("embedding") == 64)).orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    want = brute(x, ids, np.flatnonzero(ids % 20 == 0))
+    s = ann.Search(found, F.col("vec_id") % 20 == 0)
+    assert recall_of(s.result.collect(), want) >= 0.9
+    assert s.settings.lists == round(s.settings.entries**0.5) and s.settings.rerank <= 0.05 * s.settings.entries and s.settings.recall >= 0.95
+    # the same numbers with codes that say nothing lose most neighbours
+    plain = ann.Index.tables
+    monkeypatch.setattr(ann.Index, "tables", lambda self, q: np.zeros_like(plain(self, q)))
+    monkeypatch.setattr(ann.Index, "encode", lambda self, y: (ann.nearest(y, self.coarse), np.zeros((len(y), len(self.books)), np.uint8)))
+    index = ann.Index(x, s.settings.lists)
+    own, codes = index.encode(x)
+    k = np.flatnonzero(ids % 20 == 0)[:40]
+    blind = index.estimates(x[k], own, codes)
+    few = np.argsort(-blind, axis=1)[:, : s.settings.rerank]
+    hits = [len(set(ids[f]) & set(want[ids[i]])) for i, f in zip(k, few, strict=True)]
+    assert np.mean(hits) / 20 < 0.6
+
+
+def test_registered_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [r for r in spark.read.parquet(f"{d}/embeddings.parquet").where(ann.usable("embedding")).collect()]
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    got = ann.query(spark, d).collect()
+    assert recall_of(got, brute(x, ids, np.flatnonzero(ids % 20 == 0))) >= 0.9
+    place = {i: v for i, v in zip(ids, x, strict=True)}
+    assert all(abs(place[r.query_id] @ place[r.vec_id] - r.score) < 1e-12 for r in got)
+
+
+def test_awkward_queries(spark):
+    """An id with two vectors, a repeated row, a null id among the queries, long lists over several shelves."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0]), (None, [9.0, 9.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "vec_id bigint, embedding array<double>, query_id string, number string, bar string")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(df, F.coalesce(F.col("vec_id"), F.lit(1)) == 1).orderBy("query_id", "rank").collect()]
+    assert got[:3] == [(1, 1, 3, 3.0), (1, 2, 2, 2.0), (1, 3, 4, 1.0)]
+
+
+def test_long_lists(spark, monkeypatch):
+    df, _ = make(spark, 900, seed=5)
+    one = sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, settings=ann.Settings(0, 0, 99, 999, 1.0)).collect()))
+    for name, value in (("SHELF", 20), ("BLOCK", 10)):
+        monkeypatch.setattr(ann, name, value)
+    two = sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, settings=ann.Settings(0, 0, 99, 999, 1.0)).collect()))
+    assert [(a[0], a[1], a[2]) for a in one] == [(b[0], b[1], b[2]) for b in two]
