@@ -1,11 +1,15 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs.
 
 Vectors of a label are dealt over shards of bounded size, each with a graph of its own; every vector
-queries every shard of its label.  A search keeps a beam of the best vectors seen.  Beams are widened
-until an audit against brute force finds no linked pair that the shard's links leave apart.  Links are
-verified in double precision and united to components; linked vectors are always in one component, so
-the links of each vector are then counted exactly within its component, in blocks of bounded size.
-Tasks give a spanning forest and numbers of links, never all pairs.
+queries every shard of its label.  A search keeps a beam of the best vectors seen; a query whose whole
+beam is linked asks again with a wider one.  An audit compares some queries of each shard with brute
+force: beams are widened until it finds all their links and nearly all their nearest neighbours (so that
+it says something where there are no links).  Hits are verified in double precision, counted, and united
+to components.
+
+Tasks give a spanning forest and numbers of links, never all pairs.  An exact check follows: linked
+vectors are always in one component, and those of a component up to a documented size are counted once
+more within it, in cells of bounded size; larger components keep the counts of the verified hits.
 """
 
 from __future__ import annotations
@@ -18,15 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import usable
-from .shared import components, cut, spanning
+from .shared import components, cut, hot_join, spanning, with_least, with_total
 
 COSINE = 0.98
 #: Vectors of a graph; queries of a task.
-SHARD_ROWS, BLOCK_ROWS = 8000, 8000
+SHARD_ROWS, BLOCK_ROWS = 2000, 4000
 #: Neighbours that a node chooses and that choose it; beams for building and asking; queries audited.
 DEGREE, BACK, BUILD_BEAM, BEAM, AUDIT = 12, 12, 40, 40, 256
-#: Vectors of a component that are compared with one another in one place.
-CELL_ROWS = 2000
+#: Nearest neighbours that an audit looks for, and the part of them that it must find.
+NEAREST, REACH = 4, 0.95
+#: Distinct vectors of a component that are counted once more, and of a cell that compares them.
+EXACT_ROWS, CELL_ROWS = 2000, 250
 BATCH = 256
 
 
@@ -174,30 +180,55 @@ def diverse(v: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int) -> tu
     return np.pad(out, gap, constant_values=-1), np.pad(score, gap, constant_values=-np.inf)
 
 
-def links_to(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, names: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndarray], seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of links between queries and the graph's vectors, and those ``known``.
+def hits(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) of verified links; queries whose whole beam is linked ask again with a wider one."""
+    todo, out = np.arange(len(q)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while len(todo):
+        full = []
+        for at in range(0, len(todo), BATCH):
+            part = todo[at : at + BATCH]
+            ids, sims = graph.search(q[part], beam)
+            near = sims >= np.float32(cosine - 1e-5)
+            again = near.all(1) & (beam < len(x))
+            r, c = np.nonzero(near & ~again[:, None])
+            out.append((part[r], ids[r, c]))
+            full.append(part[again])
+        todo, beam = np.concatenate(full), min(4 * beam, len(x))
+    i, j = (np.concatenate(o) for o in zip(*out, strict=True))
+    exact = np.concatenate([np.zeros(0, bool), *(np.einsum("kd,kd->k", q[i[k : k + 100_000]], x[j[k : k + 100_000]]) >= cosine for k in range(0, len(i), 100_000))])
+    return i[exact], j[exact]
 
-    ``names`` are the node numbers of queries and vectors.  A sample of queries is compared with brute
-    force; while a linked pair isn't in one component of what was found, all beams are doubled.
+
+AUDITED = "beam int, links int, links_found int, nearest int, nearest_found int"
+
+
+def links_to(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, names: tuple[np.ndarray, np.ndarray], times: np.ndarray, known: tuple[np.ndarray, np.ndarray], seed: int = 9) -> tuple:
+    """Links between queries and the graph's vectors: a spanning forest of them and those ``known``, how many
+    rows (``times`` of each vector) every query is linked to, and what the audit found.
+
+    ``names`` are the node numbers of queries and vectors; a vector is no link of its own.  A sample of
+    queries is compared with brute force; beams are doubled while a linked pair is missing or too few of
+    the nearest neighbours are found.
     """
-    beam = min(BEAM, len(x))
-    pick = np.random.default_rng(seed).permutation(len(q))[:AUDIT]
-    r, c = np.nonzero(q[pick] @ x.T >= cosine)
-    truth = names[0][pick[r]], names[1][c]
+    beam, pick = min(BEAM, len(x)), np.random.default_rng(seed).permutation(len(q))[:AUDIT]
+    s = q[pick] @ x.T
+    s[names[0][pick][:, None] == names[1]] = -np.inf
+    truth = {(pick[i], j) for i, j in zip(*np.nonzero(s >= cosine), strict=True)}
+    few = min(NEAREST, len(x) - 1)
+    best = np.argpartition(-s, few - 1, axis=1)[:, :few] if few else np.zeros((len(pick), 0), np.int64)
     while True:
-        a, b = [known[0]], [known[1]]
-        for at in range(0, len(q), BATCH):
-            ids, sims = graph.search(q[at : at + BATCH], beam)
-            r, c = np.nonzero(sims >= np.float32(cosine - 1e-5))
-            i, j = at + r, ids[r, c]
-            exact = np.einsum("kd,kd->k", q[i], x[j]) >= cosine
-            a.append(names[0][i[exact]])
-            b.append(names[1][j[exact]])
-        a, b = spanning(np.concatenate(a), np.concatenate(b))
-        root = dict(zip(a.tolist(), b.tolist(), strict=True))
-        if beam >= len(x) or all(root.get(i, i) == root.get(j, j) for i, j in zip(truth[0].tolist(), truth[1].tolist(), strict=True)):
-            return a, b
+        i, j = hits(graph, x, q, cosine, beam)
+        other = names[0][i] != names[1][j]
+        i, j = i[other], j[other]
+        looked = np.isin(i, pick)
+        seen = len(truth & set(zip(i[looked].tolist(), j[looked].tolist(), strict=True)))
+        got, _ = graph.search(q[pick], beam)
+        near = int((best[:, :, None] == got[:, None, :]).any(2).sum())
+        if beam >= len(x) or seen == len(truth) and near >= REACH * best.size:
+            break
         beam = min(2 * beam, len(x))
+    a, b = spanning(np.concatenate([known[0], names[0][i]]), np.concatenate([known[1], names[1][j]]))
+    return a, b, np.bincount(i, times[j], len(q)).astype(np.int64), (beam, len(truth), seen, best.size, near)
 
 
 def count_links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -222,61 +253,86 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     label, link with nothing; vectors of different length don't either.  A row without an id links
     with nothing and isn't kept.  Equal vectors of a label are one node of a graph, which counts as
-    many links as it has rows; an empty table gives no rows.
+    many links as it has rows (rows that repeat an id are rows); other columns are ignored; an empty
+    table gives no rows.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label"))
-    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v")
-    rows = rows.select("vec_id", F.when(good, F.col("v")).alias("v"), F.when(good, F.struct("label", F.size("v").alias("dim"))).alias("group"))
-    used = rows.where(F.col("group").isNotNull())
-    nodes = used.groupBy("group", "v").agg(F.count("*").alias("times"), F.min("vec_id").alias("low"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    per = nodes.groupBy("group").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = cut(nodes.join(per, "group").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit("q"), "node"), F.col("blocks")).cast("int")), "dealt")
-
-    def build(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("node")
-        x, node = unit(np.stack(batch.v.to_numpy())), batch.node.to_numpy()
-        graph, none = Graph(x), np.zeros(0, np.int64)
-        a, b = links_to(graph, x, x, cosine, (node, node), (none, none))
-        one = batch.iloc[0]
-        return pd.DataFrame({"group": [one["group"]], "shard": [one["shard"]], "blocks": [one["blocks"]], "graph": [pickle.dumps((graph, x, node))], "a": [a], "b": [b]})
-
-    kind = dealt.schema["group"].dataType.simpleString()
-    graphs = cut(dealt.select("group", "shard", "blocks", "node", "v").groupBy("group", "shard").applyInPandas(build, f"group {kind}, shard int, blocks int, graph binary, a array<long>, b array<long>"), "graphs")
-    trees = graphs.join(per.where("shards > 1").select(F.col("group").alias("_g")), F.col("group") == F.col("_g"), "left_semi")
-    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", "shard", "block", "graph", "a", "b")
-    away = F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s != F.col("shard"))
-    asks = dealt.where("shards > 1").withColumn("shard", F.explode(away)).select("group", "shard", "block", "node", "v")
-
-    def ask(graph: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        a = b = np.zeros(0, np.int64)
-        if len(graph) and len(q):
-            g, x, node = pickle.loads(graph["graph"].iloc[0])
-            a, b = links_to(g, x, unit(np.stack(q.v.to_numpy())), cosine, (q.node.to_numpy(), node), (np.asarray(graph["a"].iloc[0], np.int64), np.asarray(graph["b"].iloc[0], np.int64)))
-        return pd.DataFrame({"a": a, "b": b})
-
-    inner = graphs.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
-    cross = trees.groupBy("group", "shard", "block").cogroup(asks.groupBy("group", "shard", "block")).applyInPandas(ask, "a long, b long")
-    joined = components(inner.unionByName(cross))
-    member = nodes.join(joined.withColumnRenamed("node", "_node"), nodes.node == F.col("_node")).select("node", "times", "low", "v", "root")
-    sized = joined.groupBy(F.col("root").alias("_root")).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("k"))
-    member = cut(member.join(sized, member.root == sized._root).drop("_root"), "members")
-    own = F.pmod(F.xxhash64(F.lit("cell"), "node"), F.col("k")).cast("int")
-    spread = max(vectors.sparkSession.sparkContext.defaultParallelism, member.count() // 5000)
-    small = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(spread)).alias("cell"), F.lit(3).alias("side")))
-    cell = lambda i, j: F.xxhash64(F.lit("pair"), "root", i, j)
-    large = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.when(j == F.col("own"), F.array(F.struct(cell(j, j).alias("cell"), F.lit(3).alias("side")))).otherwise(
-        F.array(F.struct(cell(F.col("own"), j).alias("cell"), F.lit(1).alias("side")), F.struct(cell(j, F.col("own")).alias("cell"), F.lit(2).alias("side"))))))
-    cells = member.withColumn("own", own).withColumn("e", F.explode(F.when(F.col("k") == 1, small).otherwise(large))).select("e.cell", "e.side", "root", "node", "times", "v")
-    count = cells.groupBy("cell").applyInPandas(lambda p: count_links(p, cosine), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    named = nodes.join(joined.withColumnRenamed("node", "_node"), nodes.node == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "root").join(count, "node", "left").select(F.col("group").alias("_group"), F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
-    named = cut(named, "named")
-    part = used.join(named, (used["group"] == named._group) & (used.v == named._v)).select("vec_id", "n_links", "component_id")
-    lone = rows.where(F.col("group").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return part.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return Search(vectors, cosine, vec_id, embedding, label).result
+
+
+class Search:
+    """A search: its ``result``, and ``audits`` with what the audit of each (shard, block of queries) found."""
+
+    def __init__(self, vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label"):
+        rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label"))
+        good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v")
+        rows = rows.select("vec_id", F.when(good, F.col("v")).alias("v"), F.when(good, F.struct("label", F.size("v").alias("dim"))).alias("group"))
+        used = rows.where(F.col("group").isNotNull())
+        nodes = used.groupBy("group", "v").agg(F.count("*").alias("times"), F.min("vec_id").alias("low"))
+        nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        edges, hit = self._links(nodes, cosine)
+        joined = cut(with_total(components(edges), "root", F.count("*").alias("size"), "node"), "joined")
+        linked = nodes.join(joined.withColumnRenamed("node", "_node"), nodes.node == F.col("_node"), "left").drop("_node")
+        linked = cut(linked.withColumn("root", F.coalesce("root", "node")), "linked")
+        counted = self._count(linked, cosine).unionByName(hit.join(linked.where(F.col("size") > EXACT_ROWS).select("node"), "node", "left_semi")).groupBy("node").agg(F.sum("n").alias("n"))
+        named = with_least(linked.select("group", "v", "times", "low", "node", "root"), "root", "low", "node").join(counted, "node", "left")
+        named = cut(named.select(F.col("group").alias("_group"), F.col("v").alias("_v"), "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("least").alias("component_id")), "named")
+        part = hot_join(used, named, [("group", "_group"), ("v", "_v")], "times").select("vec_id", "n_links", "component_id")
+        lone = rows.where(F.col("group").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        self.result = part.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+    def _links(self, nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+        """Edges ``a, b`` that span the links, and ``node, n`` rows whose sums are numbers of linked rows."""
+        per = nodes.groupBy("group").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        shard, block = (F.pmod(F.xxhash64(F.lit(k), "node"), F.col(f"{k}s")).cast("int").alias(k) for k in ("shard", "block"))
+        dealt = cut(nodes.join(per, "group").select("*", shard, block), "dealt")
+        found = f"a array<long>, b array<long>, nodes array<long>, n array<long>, {AUDITED}"
+        kind, columns = dealt.schema["group"].dataType.simpleString(), [c.split()[0] for c in found.split(", ")]
+
+        def row(got: tuple, node: np.ndarray) -> dict:
+            a, b, n, audit = got
+            some = n > 0
+            return dict(zip(columns, ([a], [b], [node[some]], [n[some]], *([x] for x in audit)), strict=True))
+
+        def build(batch: pd.DataFrame) -> pd.DataFrame:
+            batch = batch.sort_values("node")
+            x, node, times = unit(np.stack(batch.v.to_numpy())), batch.node.to_numpy(), batch.times.to_numpy()
+            graph, none = Graph(x), np.zeros(0, np.int64)
+            one = batch.iloc[0]
+            head = {"group": [one["group"]], "shard": [one["shard"]], "blocks": [one["blocks"]], "graph": [pickle.dumps((graph, x, node, times))]}
+            return pd.DataFrame(head | row(links_to(graph, x, x, cosine, (node, node), times, (none, none)), node))
+
+        graphs = dealt.select("group", "shard", "blocks", "node", "times", "v").groupBy("group", "shard").applyInPandas(build, f"group {kind}, shard int, blocks int, graph binary, {found}")
+        graphs = cut(graphs, "graphs")
+        trees = graphs.join(per.where("shards > 1").select(F.col("group").alias("_g")), F.col("group") == F.col("_g"), "left_semi")
+        trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", "shard", "block", "graph", "a", "b")
+        away = F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s != F.col("shard"))
+        asks = dealt.where("shards > 1").withColumn("shard", F.explode(away)).select("group", "shard", "block", "node", "v")
+
+        def ask(graph: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(graph) or not len(q):
+                return pd.DataFrame({c: [] for c in columns})
+            g, x, node, times = pickle.loads(graph["graph"].iloc[0])
+            q = q.sort_values("node")
+            own, known = q.node.to_numpy(), (np.asarray(graph[c].iloc[0], np.int64) for c in "ab")
+            return pd.DataFrame(row(links_to(g, x, unit(np.stack(q.v.to_numpy())), cosine, (own, node), times, tuple(known)), own))
+
+        cross = cut(trees.groupBy("group", "shard", "block").cogroup(asks.groupBy("group", "shard", "block")).applyInPandas(ask, found), "cross")
+        every = graphs.select(*columns).unionByName(cross)
+        self.audits = every.select(*columns[4:])
+        pairs = lambda x, y: every.select(F.explode(F.arrays_zip(x, y)).alias("e")).select(f"e.{x}", f"e.{y}")
+        return pairs("a", "b"), pairs("nodes", "n").withColumnRenamed("nodes", "node")
+
+    def _count(self, linked: DataFrame, cosine: float) -> DataFrame:
+        """``node, n`` parts of the exact numbers of linked rows in components of up to EXACT_ROWS vectors."""
+        member = cut(linked.where(F.col("size") <= EXACT_ROWS).withColumn("k", F.ceil(F.col("size") / CELL_ROWS).cast("int")).select("node", "times", "v", "root", "k"), "members")
+        own = F.pmod(F.xxhash64(F.lit("cell"), "node"), F.col("k")).cast("int")
+        spread = max(linked.sparkSession.sparkContext.defaultParallelism, member.count() // 1000)
+        small = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(spread)).alias("cell"), F.lit(3).alias("side")))
+        cell = lambda i, j: F.xxhash64(F.lit("pair"), "root", i, j)
+        large = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.when(j == F.col("own"), F.array(F.struct(cell(j, j).alias("cell"), F.lit(3).alias("side")))).otherwise(
+            F.array(F.struct(cell(F.col("own"), j).alias("cell"), F.lit(1).alias("side")), F.struct(cell(j, F.col("own")).alias("cell"), F.lit(2).alias("side"))))))
+        cells = member.withColumn("own", own).withColumn("e", F.explode(F.when(F.col("k") == 1, small).otherwise(large))).select("e.cell", "e.side", "root", "node", "times", "v")
+        return cells.groupBy("cell").applyInPandas(lambda p: count_links(p, cosine), "node long, n long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -80,15 +82,36 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 SALTS = 16
 
 
-def with_least(rows: DataFrame, group: str, value: str, key: str) -> DataFrame:
-    """``rows`` and ``least``, the least ``value`` of each one's ``group``.
+def with_total(rows: DataFrame, group: str, total: Column, key: str) -> DataFrame:
+    """``rows`` and an aggregate (an aliased column) of each one's ``group``.
 
-    Minima are taken in part before they are shuffled; each group's minimum then goes to some tasks, over
+    Aggregates are taken in part before they are shuffled; each group's then goes to some tasks, over
     which the group's rows are dealt by ``key``, so that no group of any size meets in one task.
     """
-    least = rows.groupBy(F.col(group).alias("_g")).agg(F.min(value).alias("least")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = rows.groupBy(F.col(group).alias("_g")).agg(total).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(SALTS)).cast("int"))
-    return dealt.join(least, (dealt[group] == least["_g"]) & (dealt["_salt"] == least["_s"])).drop("_g", "_s", "_salt")
+    return dealt.join(found, (dealt[group] == found["_g"]) & (dealt["_salt"] == found["_s"])).drop("_g", "_s", "_salt")
+
+
+def with_least(rows: DataFrame, group: str, value: str, key: str) -> DataFrame:
+    """``rows`` and ``least``, the least ``value`` of each one's ``group``."""
+    return with_total(rows, group, F.min(value).alias("least"), key)
+
+
+#: Rows of a key from which the key's entry is sent to the rows instead of these to it.
+HOT_ROWS = 10_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], times: str) -> DataFrame:
+    """Inner join of rows with their entry of ``table``, which has one for each key and how many rows it has.
+
+    Entries of keys with many rows are few; they are broadcast (if counted to be), so such a key's rows stay where
+    they are.
+    """
+    hot = small(table.where(F.col(times) > HOT_ROWS), "hot")
+    match = lambda t: reduce(and_, (rows[a] == t[b] for a, b in on))
+    rest = table.where(F.col(times) <= HOT_ROWS)
+    return rows.join(hot, match(hot)).unionByName(rows.join(hot, match(hot), "left_anti").join(rest, match(rest)))
 
 
 def parts(spark: SparkSession, rows: int, each: int) -> int:

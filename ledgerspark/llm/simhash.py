@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, fresh, numbered, parts, spanning, with_least
+from .shared import components, cut, fresh, hot_join, numbered, parts, spanning, with_least
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that a shard has on average, at most; those that a tree holds.
@@ -190,11 +190,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     ignored; an empty table gives no rows.
     """
     rows = cut(fingerprints(docs, shingle, seed, doc_id, text), "fingerprints")
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("times")), "nodes")
     label = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(label, nodes.fp == label.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    ids = cut(with_least(rooted, "root", "low", "fp").select(F.col("fp").alias("_fp"), F.col("least").alias("component_id")), "components")
-    return rows.join(ids, rows.fp == ids._fp).select("doc_id", "fp", "component_id")
+    rooted = nodes.join(label, nodes.fp == label.node, "left").select("fp", "low", "times", F.coalesce("root", "fp").alias("root"))
+    ids = cut(with_least(rooted, "root", "low", "fp").select(F.col("fp").alias("_fp"), "times", F.col("least").alias("component_id")), "components")
+    return hot_join(rows, ids, [("fp", "_fp")], "times").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 7, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -48,6 +48,20 @@ def test_shards_and_cells(spark, monkeypatch):
     for name, value in (("SHARD_ROWS", 60), ("BLOCK_ROWS", 70), ("CELL_ROWS", 20)):
         monkeypatch.setattr(hnsw, name, value)
     assert sorted(map(tuple, hnsw.near_duplicates(df).collect()), key=str) == one
+    # the counts of verified hits alone
+    monkeypatch.setattr(hnsw, "EXACT_ROWS", 1)
+    found = hnsw.Search(df)
+    assert sorted(map(tuple, found.result.collect()), key=str) == one
+    audit = found.audits.agg(*[F.sum(c).alias(c) for c in ("links", "links_found", "nearest", "nearest_found")]).first()
+    assert audit.links == audit.links_found > 0 and audit.nearest_found >= 0.95 * audit.nearest > 0
+
+
+def test_repeated_ids(spark):
+    """Rows that repeat an id, with the same vector or another one, are rows of their own."""
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 2.0], 1), (3, [1.0, 0.01], 2), (3, [1.0, 0.0], 1)]
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], "vec_id bigint, embedding array<double>, label int, root string, size string")
+    got = sorted(map(tuple, hnsw.near_duplicates(df).collect()))
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (3, 2, 1, False), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)])
 
 
 def test_nearest_neighbours(spark):
