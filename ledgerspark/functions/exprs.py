@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,6 +146,26 @@ def measure(text: Column) -> Column:
         F.when(text.isNull(), "unknown").when(cut, "partial").otherwise("retained_content").alias("completeness"))
 
 
+def measure_value(text: Column, is_json: Column, count: Callable[[Column], Column] | None = None) -> Column:
+    """Size of a text or of serialized JSON (``is_json``), of which only texts count if it holds media.
+
+    ``count`` gives the tokens of a text column, NULL where no tokenizer is known.  Nothing but expressions:
+    a media part shows in its type, and no such key can be inside a JSON string, where quotes are escaped.
+    """
+    media = is_json & text.rlike(r'(?i)"type":"[^"]*(?:image|audio|video)')
+    inner = F.transform(F.regexp_extract_all(text, F.lit(r'"text":("(?:[^"\\]|\\.)*")'), F.lit(1)), lambda t: F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0])
+    seen = F.when(media, F.array_join(inner, "\n")).otherwise(text)
+    tokens = count(seen) if count else F.lit(None).cast("long")
+    cut = F.lower(text).contains("truncated")
+    none = F.lit(None).cast("string")
+    flags = F.array_compact(F.array(F.when(cut, "truncated"), F.when(media, "unsupported_media")))
+    return F.struct(
+        F.octet_length(text).cast("long").alias("bytes"), F.char_length(seen).cast("long").alias("characters"), tokens.alias("tokens"),
+        F.when(text.isNull(), "unavailable").when(tokens.isNotNull(), "local_tokenizer_estimate").otherwise("no_verified_local_tokenizer").alias("method"),
+        F.when(text.isNull(), none).when(media, "extracted_text_only").when(is_json, "serialized_json").otherwise("retained_text").alias("scope"),
+        F.when(text.isNull(), "unknown").when(F.size(flags) > 0, "partial").otherwise("retained_content").alias("completeness"), F.when(text.isNotNull(), flags).alias("flags"))
+
+
 def strict_int(variant: Column, path: str) -> Column:
     """A JSON integer; true, 1.0 and \"7\" are none."""
     found = F.try_variant_get(variant, path, "variant")

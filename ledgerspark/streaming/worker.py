@@ -2,55 +2,66 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerspark.functions.frames import frame
+from ledgerspark.operators import records
 from ledgerspark.operators.graph import related
-from ledgerspark.operators.records import EVENTS, Fold
+from ledgerspark.operators.storage import exists, materialize
 from ledgerspark.sources import jsonl
 
 
-def tail(spark: SparkSession, path: str, verify: str = "quick") -> DataFrame:
+def tail(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Raw records of all logs below a path, as they are appended."""
     jsonl.register(spark)
-    return spark.readStream.format("agent_jsonl").option("path", path).option("verify", verify).load()
+    return spark.readStream.format("agent_jsonl").options(path=path, **options).load()
 
 
-def normalize_stream(raw: DataFrame, salt: str = "") -> DataFrame:
-    """Typed events; each generation of a file keeps its context in the state store."""
+class Context:
+    """What earlier batches leave behind for each file, a table for each batch.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold, out = Fold(salt, json.loads(state.get[0]) if state.exists else None), []
-        for r in pd.concat(list(batches)).sort_values("byte_start").to_dict("records"):
-            event, error = None, r["error"]
-            if not error:
-                event, error = fold.read(json.loads(r["raw"]), r["ordinal"] - 1)
-            place = {k: r[k] for k in ("generation", "byte_start", "byte_end", "ordinal", "digest")}
-            out.append({"source_id": r["path"]} | place | (event or {}) | {"error": error})
-        state.update((json.dumps(fold.s),))
-        yield frame(out, EVENTS)
+    A batch that is repeated after a failure reads the table of the one before it and writes its own again.
+    """
 
-    return raw.groupBy("path", "generation").applyInPandasWithState(step, EVENTS, "context string", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
+    def before(self, number: int) -> DataFrame | None:
+        at = f"{self.path}/batch={number - 1}"
+        return self.spark.read.schema(records.MEMORY).parquet(at) if number and exists(self.spark, at) else None
 
-def start(raw_path: str, spark: SparkSession, rebuild, checkpoint: str, salt: str = "", seconds: float = 2, edges=None, available_now: bool = False) -> StreamingQuery:
-    """Run until stopped: ``rebuild(sessions, batch)`` gets the sessions that a batch touches, with all
+    def events(self, raw: DataFrame, number: int, salt: str = "", counter: records.Counter | None = None) -> DataFrame:
+        """Events of a batch as a table; the context after it is kept."""
+        before = self.before(number)
+        touched = raw.select("source_id", "generation").distinct()
+        own = before.join(touched, ["source_id", "generation"], "left_semi") if before is not None else None
+        carried = materialize(records.carry(records.project(raw, salt), own), "carried")
+        after = records.remember(carried)
+        if before is not None:
+            after = after.unionByName(before.join(touched, ["source_id", "generation"], "left_anti"))
+        after.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        return materialize(records.finish(carried, counter), "events")
+
+
+def start(
+    raw_path: str, spark: SparkSession, rebuild: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, salt: str = "", seconds: float = 2,
+    edges: Callable[[], DataFrame] | None = None, available_now: bool = False, counter: records.Counter | None = None, **options: str,
+) -> StreamingQuery:
+    """Run until stopped: ``rebuild(sessions, events, number)`` gets the sessions that a batch touches, with all
     that are linked to them.  A batch that is repeated after a failure has the same number, so writes
     that are keyed by it happen once."""
+    context = Context(spark, f"{checkpoint}/context")
 
     def batch(df: DataFrame, number: int) -> None:
-        df.persist()
-        touched = df.where("session_id is not null").selectExpr("session_id as session").distinct()
+        # the batch is a table first: its files are read once, whatever becomes of them
+        raw = materialize(df.withColumnRenamed("path", "source_id"), "raw")
+        events = context.events(raw, number, salt, counter)
+        touched = events.where("session_id is not null").selectExpr("session_id as session").distinct()
         if not touched.isEmpty():
-            rebuild(related(edges(), touched) if edges else touched, df, number)
-        df.unpersist()
+            rebuild(related(edges(), touched) if edges else touched, events, number)
 
-    writer = normalize_stream(tail(spark, raw_path), salt).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = tail(spark, raw_path, **options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")
     return writer.start()
