@@ -25,12 +25,14 @@ from .ann import usable
 from .shared import components, cut, hot_join, spanning, with_least, with_total
 
 COSINE = 0.98
-#: Vectors of a graph; queries of a task.
-SHARD_ROWS, BLOCK_ROWS = 2000, 4000
+#: Vectors of a graph at most; queries of a task.
+SHARD_ROWS, BLOCK_ROWS = 8000, 8000
+#: Shards of a label that has more vectors than PAIR_ROWS, at least.
+LEAST_SHARDS, PAIR_ROWS = 2, 256
 #: Neighbours that a node chooses and that choose it; beams for building and asking; queries audited.
 DEGREE, BACK, BUILD_BEAM, BEAM, AUDIT = 12, 12, 40, 40, 256
 #: Nearest neighbours that an audit looks for, and the part of them that it must find.
-NEAREST, REACH = 4, 0.95
+NEAREST, REACH = 4, 0.85
 #: Distinct vectors of a component that are counted once more, and of a cell that compares them.
 EXACT_ROWS, CELL_ROWS = 2000, 250
 BATCH = 256
@@ -282,7 +284,8 @@ class Search:
 
     def _links(self, nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
         """Edges ``a, b`` that span the links, and ``node, n`` rows whose sums are numbers of linked rows."""
-        per = nodes.groupBy("group").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        shards = F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.when(F.count("*") > PAIR_ROWS, LEAST_SHARDS).otherwise(1))
+        per = nodes.groupBy("group").agg(shards.cast("int").alias("shards"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
         shard, block = (F.pmod(F.xxhash64(F.lit(k), "node"), F.col(f"{k}s")).cast("int").alias(k) for k in ("shard", "block"))
         dealt = cut(nodes.join(per, "group").select("*", shard, block), "dealt")
         found = f"a array<long>, b array<long>, nodes array<long>, n array<long>, {AUDITED}"

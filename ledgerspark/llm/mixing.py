@@ -57,9 +57,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEA
     rows = docs.select(*[F.col(row).alias("row") for _ in more], F.col(doc_id).cast("long").alias("doc_id"), F.size(words(F.col(text))).cast("long").alias("size"), F.col(source).cast("string").alias("source"))
     rows = cut(rows.withColumn("place", place(F.col("doc_id"), seed)), "sizes")
     n = parts(docs.sparkSession, rows.count(), 200_000)
-    per = targets(rows, weights, repeat).withColumnRenamed("source", "_source")
+    per = small(targets(rows, weights, repeat).withColumnRenamed("source", "_source"), "targets")
     queued = running_totals(rows, "source", "size", ["place", "doc_id", "size", *more], "ahead", n)
-    queued = cut(queued.join(small(per, "targets"), queued.source.eqNullSafe(per._source), "left").drop("_source"), "queued")
+    queued = cut(queued.join(per, queued.source.eqNullSafe(per._source), "left").drop("_source"), "queued")
     copy = queued.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(repeat)))).select(
         "source", "place", "doc_id", "size", "ahead", "pass", (((F.col("pass") - 1) * F.col("source_size") + F.col("ahead") + F.col("size")) / F.col("target")).alias("finish"))
     budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))

@@ -37,20 +37,15 @@ def test_stages_against_plain_versions(spark, sf):
     import re
 
     from pyspark.sql import functions as F
-    from test_documents import plain_simhash, plain_spans
+    from test_documents import plain_spans
+    from test_similar import plain_kept
 
     from ledgerspark.llm import mixing, secret_scan
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
-    # near copies: five words, seven bits, smallest id of each component
-    fp = {i: plain_simhash(t, 5) for i, t in rows.items()}
-    root = {i: i for i in fp}
-    changed = True
-    while changed:
-        low = {a: min(root[b] for b in fp if (fp[a] ^ fp[b]).bit_count() <= 7) for a in fp}
-        changed, root = low != root, low
-    assert {r.doc_id for r in cp.drop_near_copies(spark, docs, sf).collect()} == {i for i in fp if root[i] == i}
+    # near copies: all pairs of a Jaccard similarity of 0.8 or more over five-word shingles, smallest id of each component
+    assert {r.doc_id for r in cp.drop_near_copies(spark, docs, sf).collect()} == plain_kept([(i, t or "") for i, t in rows.items()])
     # secrets: spans of plain regexes are gone, everything else stays
     dirty = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" token: abcdefghijklmnop AKIA0123456789ABCD end"))).otherwise(F.col("text")))
     clean = {r.doc_id: r.text for r in cp.redact_secrets(spark, dirty, sf).collect()}
@@ -67,3 +62,35 @@ def test_stages_against_plain_versions(spark, sf):
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     mixed = collections.Counter(r.doc_id for r in cp.mix_sources(spark, docs, sf).collect())
     assert mixed == collections.Counter({i: c for i, c in copies.items() if c})
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, clashing columns: every stage works row by row."""
+    from cases import documents, none
+    from pyspark.sql import functions as F
+
+    docs = documents(spark).withColumns({c: F.lit("x") for c in ("_row", "_spans", "_copy", "row", "predicted", "_rules", "least")})
+    spark.createDataFrame([(1, 1), (9, 0), (7, 1)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() <= 3 * docs.count()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert cp.redact_secrets(spark, docs, "").count() == docs.count()
+    assert {r.doc_id for r in cp.pack_sequences(spark, docs, "").select("doc_id").collect()} == {r.doc_id for r in docs.collect()}
+    assert cp.pack_sequences(spark, none(spark), "").count() == 0
+
+
+def test_mix_by_rows(spark):
+    """Rows without an id, or with the same one, are each taken or not by their own place in the mix."""
+    import collections
+
+    rows = [(None, f"{'w ' * n}x{n}", "a", n) for n in range(1, 30)] + [(5, "one two", "b", 2), (5, "three four five", "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    from ledgerspark.llm import mixing
+
+    numbered = docs.withColumn("k", docs.n_chars)
+    want = collections.Counter()
+    for r in mixing.mix(numbered, row="k").collect():
+        want[r.row, r.doc_id] += r.copies
+    got = collections.Counter((r.n_chars, r.doc_id) for r in cp.mix_sources(spark, docs, "").collect())
+    assert got == +want and len({c for c in want.values()}) > 1

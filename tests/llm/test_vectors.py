@@ -53,7 +53,7 @@ def test_shards_and_cells(spark, monkeypatch):
     found = hnsw.Search(df)
     assert sorted(map(tuple, found.result.collect()), key=str) == one
     audit = found.audits.agg(*[F.sum(c).alias(c) for c in ("links", "links_found", "nearest", "nearest_found")]).first()
-    assert audit.links == audit.links_found > 0 and audit.nearest_found >= 0.95 * audit.nearest > 0
+    assert audit.links == audit.links_found > 0 and audit.nearest_found >= 0.85 * audit.nearest > 0
 
 
 def test_repeated_ids(spark):
