@@ -73,9 +73,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Plan nodes that give each row of a file at most once.
+ROW_WISE = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+#: Rows of a file are numbered within so many bits.
+FILE_BITS = 36
+
+
+def from_files(df: DataFrame) -> bool:
+    """Whether every row is a row of a Parquet file, so that file and place in it tell rows apart."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ROW_WISE:
+        if plan.children().isEmpty():
+            return "parquet" in plan.toString().lower()
+        plan = plan.children().head()
+    return False
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """A table of the rows with a number each (unique, not gapless), which repeated and null ids don't share."""
-    return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    """The rows with a number each (unique, not gapless), which repeated and null ids don't share.
+
+    A number must be the same whenever a row is read.  Rows of Parquet files get theirs from their file and
+    their place in it; anything else is written with numbers first.
+    """
+    if not from_files(df):
+        return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    path, place, file, at = (fresh(df, c) for c in ("_path", "_place", "_file", "_at"))
+    files = df.select(F.col("_metadata.file_path").alias(file)).distinct()
+    files = small(files.withColumn(at, F.row_number().over(Window.orderBy(file)).cast("long")), "files")
+    rows = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place)).join(files, F.col(path) == F.col(file))
+    return rows.withColumn(name, F.shiftleft(at, FILE_BITS) + F.col(place)).drop(path, place, file, at)
 
 
 #: Tasks that a group's rows are dealt over where they meet a value of the group.

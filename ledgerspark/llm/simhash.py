@@ -208,12 +208,12 @@ def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 7, seed: int =
     from .similar import similar_documents
 
     row = fresh(docs, "_row")
-    docs = numbered(docs, row)
+    columns, docs = docs.columns, numbered(docs, row)
     found = similar_documents(docs.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), shingle, radius, seed).select(F.col("doc_id").alias("_n"), F.col("component_id").alias("_c"))
     ids = docs.select(F.col(row).alias("_n"), F.col(doc_id).cast("long").alias("_id"))
     member = found.join(ids, "_n").select("_n", "_c", "_id", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_n").alias("n")).alias("_place"))
     gone = with_least(member, "_c", "_place", "_n").where((F.col("least.n") != F.col("_n")) & F.col("_id").isNotNull()).select("_n")
-    return docs.join(cut(gone, "gone"), F.col(row) == F.col("_n"), "left_anti").drop(row)
+    return docs.join(cut(gone, "gone"), F.col(row) == F.col("_n"), "left_anti").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,21 @@ def test_links_come_from_trees_that_prune(spark, monkeypatch):
     assert linked() > 0
 
 
+def test_row_numbers(spark, tmp_path):
+    """Numbers of rows of files are unique and the same at every reading, however the files are split."""
+    from ledgerspark.llm import shared
+
+    spark.range(5000).selectExpr("id", "repeat('x', 200) as _path").repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert shared.from_files(df.where("id > 3").select("id")) and not shared.from_files(df.select(F.explode(F.array("id", "id")))) and not shared.from_files(df.union(df)) and not shared.from_files(spark.range(3))
+    one = {r.id: r.n for r in shared.numbered(df.select("id"), "n").collect()}
+    assert len(set(one.values())) == 5000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    assert {r.id: r.n for r in shared.numbered(df.select("id"), "n").collect()} == one
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert shared.numbered(df, "n").columns == ["id", "_path", "n"] and shared.numbered(spark.range(7), "n").select("n").distinct().count() == 7
+
+
 def test_deduplicate_rows(spark):
     """Different texts under one id both stay; copies go whatever their ids; ids may be null."""
     long = " ".join(f"w{k}" for k in range(60))
