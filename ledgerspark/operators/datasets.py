@@ -37,6 +37,7 @@ class Tables:
     records: DataFrame | None = None
     fact_sources: DataFrame | None = None
     tool_sources: DataFrame | None = None
+    project_keys: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -45,11 +46,11 @@ def _has(df: DataFrame, name: str, kind: str = "string") -> Column:
 
 
 def _facts(t: Tables, f: Filters, keyed: bool = False) -> DataFrame:
-    return where(t.usage_facts, f, t.edges, t.projects, keyed)
+    return where(t.usage_facts, f, t.edges, t.projects, keyed, t.project_keys)
 
 
 def _tools(t: Tables, f: Filters, keyed: bool = False) -> DataFrame:
-    return where(t.tool_calls, f, t.edges, t.projects, keyed)
+    return where(t.tool_calls, f, t.edges, t.projects, keyed, t.project_keys)
 
 
 def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
@@ -147,24 +148,29 @@ def timeline(t: Tables, f: Filters = NONE, limit: int | None = 100, offset: int
     rows = part(_ids(_facts(t, f), t.fact_sources, "fact_id"), "usage", "method", F.col("total_tokens"))
     rows = rows.unionByName(part(_ids(_tools(t, f), t.tool_sources, "tool_id"), "tool", "name", none))
     if t.events is not None:
-        seen = where(t.events.where(F.col("kind").isin(*CONTEXT_KINDS)), f, t.edges, t.projects).withColumn("provenance_ids", F.col("record_id").cast("string"))
+        seen = where(t.events.where(F.col("kind").isin(*CONTEXT_KINDS)), f, t.edges, t.projects, keys=t.project_keys).withColumn("provenance_ids", F.col("record_id").cast("string"))
         rows = rows.unionByName(part(seen, "context", "kind", none))
     return page(rows.orderBy(F.desc_nulls_last("timestamp"), "fact_id"), limit, offset)
 
 
-def comparisons(t: Tables, f: Filters = NONE, limit: int | None = 100, offset: int = 0) -> DataFrame:
-    """The given sessions (comma-separated, 20 at most), or the five with most tokens, each by itself
-    and with all below it.  One join with a (root, scope, session) map serves all of them."""
+def comparison_scopes(t: Tables, f: Filters = NONE) -> tuple[DataFrame, DataFrame]:
+    """``position, root`` of the sessions compared, and ``root, scope, session_id`` of what each comprises."""
     spark = t.usage_facts.sparkSession
     picked = [s.strip() for s in f.session.split(",") if s.strip()][:20]
     if not picked:
         top = t.usage_facts.groupBy("session_id").agg(F.sum("total_tokens").alias("n")).orderBy(F.desc_nulls_last("n"), "session_id").limit(5)
         picked = [r.session_id for r in top.collect()]
     chosen = spark.createDataFrame([(k, s) for k, s in enumerate(picked)], "position int, root string")
-    below = reach(t.edges, chosen.select("root").distinct())
     own = chosen.select("root").distinct().select("root", F.lit("own_thread").alias("scope"), F.col("root").alias("session_id"))
-    scopes = own.unionByName(below.select("root", F.lit("unique_descendants").alias("scope"), F.col("node").alias("session_id")))
-    rest = Filters(**{**f.__dict__, "session": "", "scope": "own"})
+    below = reach(t.edges, chosen.select("root").distinct())
+    return chosen, own.unionByName(below.select("root", F.lit("unique_descendants").alias("scope"), F.col("node").alias("session_id")))
+
+
+def comparisons(t: Tables, f: Filters = NONE, limit: int | None = 100, offset: int = 0) -> DataFrame:
+    """The given sessions (comma-separated, 20 at most), or the five with most tokens, each by itself
+    and with all below it.  One join with a (root, scope, session) map serves all of them."""
+    chosen, scopes = comparison_scopes(t, f)
+    rest = everyone(f)
     facts = scopes.join(_facts(t, rest), "session_id").groupBy("root", "scope").agg(
         *response_metrics(), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("total_tokens").alias("reported_total_tokens"),
         F.count("*").alias("reported_facts"), F.count("total_tokens").alias("facts_with_known_total"))
@@ -180,6 +186,35 @@ def comparisons(t: Tables, f: Filters = NONE, limit: int | None = 100, offset: i
     return page(rows.orderBy("position", "scope").drop("position"), limit, offset)
 
 
+def everyone(f: Filters) -> Filters:
+    """The same filters over all sessions."""
+    return Filters(**{**f.__dict__, "session": "", "scope": "own"})
+
+
+#: Datasets whose rows are aggregates, and the columns that name a row.
+AGGREGATES = {"rankings": ("name",), "patterns": ("pattern_hash", "kind"), "sessions": ("session_id",), "comparisons": ("session_id", "scope")}
+
+
+def drill_down(t: Tables, name: str, f: Filters = NONE) -> dict[str, DataFrame]:
+    """The facts behind the rows of an aggregate dataset: rows of its key columns and ``fact_id``, by column name.
+
+    Filters count as they do for the aggregates: facts of other days, models or projects aren't named, and a row
+    for descendants names the facts of its whole scope.
+    """
+    by = lambda df, *keys: df.select(*keys, F.col("id").alias("fact_id"))
+    if name == "rankings":
+        return {"tool_fact_ids": by(_tools(t, f), "name")}
+    if name == "patterns":
+        own = t.patterns.select("pattern_hash", "kind", F.col("tool_id").alias("id")).distinct()
+        return {"tool_fact_ids": by(own.join(_tools(t, f).select("id"), "id", "left_semi"), "pattern_hash", "kind")}
+    facts, calls = _facts(t, everyone(f)), _tools(t, everyone(f))
+    if name == "sessions":
+        return {"usage_fact_ids": by(facts, "session_id"), "tool_fact_ids": by(calls, "session_id")}
+    scopes = comparison_scopes(t, f)[1]
+    wide = lambda df: scopes.join(df.select("session_id", "id"), "session_id").select(F.col("root").alias("session_id"), "scope", F.col("id").alias("fact_id"))
+    return {"usage_fact_ids": wide(facts), "tool_fact_ids": wide(calls)}
+
+
 def overview_totals(t: Tables, f: Filters = NONE) -> DataFrame:
     known = [c for k in TOKEN_FIELDS for c in (F.sum(k).alias(k), F.count(k).alias(f"{k}_known"))]
     metrics = [m for m in response_metrics()]

@@ -7,6 +7,8 @@ import io
 import json
 from datetime import date, datetime
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,16 @@ UNITS = "tokens, milliseconds and UTF-8 bytes; empty means unknown"
 NOTE = "Subtotals cover known facts only; see the coverage counts."
 
 
-def with_ids(rows: DataFrame, facts: DataFrame, group: str, out: str) -> DataFrame:
-    """Aggregate rows with the ordered ids of the facts behind them, in one join; none: empty text."""
-    ids = facts.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias(out))
-    return rows.join(ids, group, "left").withColumn(out, F.coalesce(out, F.lit("")))
+def with_ids(rows: DataFrame, facts: DataFrame, keys: list[str] | str, out: str, fact_id: str = "id") -> DataFrame:
+    """Aggregate rows with the ordered ids of the facts behind them, in one join; none: empty text.
+
+    A row's ids are one text, as readers of exports expect it.  Where a row may have more than a text holds,
+    ``write`` puts the ids into rows of their own.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    ids = facts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.array_join(F.array_sort(F.collect_list(F.col(fact_id).cast("string"))), ",").alias(out))
+    match = [rows[k].eqNullSafe(ids[f"_{k}"]) for k in keys]
+    return rows.join(ids, reduce(and_, match), "left").drop(*[f"_{k}" for k in keys]).withColumn(out, F.coalesce(out, F.lit("")))
 
 
 def safe_text(df: DataFrame) -> DataFrame:
@@ -49,8 +57,10 @@ def to_csv(df: DataFrame, timezone: str = "UTC") -> str:
     return out.getvalue()
 
 
-def write(df: DataFrame, path: str, kind: str, timezone: str = "UTC") -> None:
-    """A whole dataset as files, written by the executors."""
+def write(df: DataFrame, path: str, kind: str, timezone: str = "UTC", ids: dict[str, DataFrame] | None = None) -> None:
+    """A whole dataset as files, written by the executors; the ids behind aggregate rows go to folders beside it."""
+    for name, rows in (ids or {}).items():
+        write(rows, f"{path}-{name}", kind, timezone)
     if kind == "json":
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     elif kind == "csv":

@@ -85,13 +85,16 @@ def project_keys(projects: DataFrame, paths: DataFrame) -> DataFrame:
     return listed.join(found, "path", "left").select("path", F.coalesce("project_id", "canon").alias("project_key"))
 
 
-def with_project(df: DataFrame, projects: DataFrame) -> DataFrame:
-    """``project_key`` beside ``project``: unknown where there is none."""
-    keys = project_keys(projects, df.select(F.col("project").alias("path")))
+def with_project(df: DataFrame, projects: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """``project_key`` beside ``project``: unknown where there is none.
+
+    ``keys`` is a kept table of ``path, project_key``; without it the rows' own projects are looked up.
+    """
+    keys = project_keys(projects, df.select(F.col("project").alias("path"))) if keys is None else keys
     return df.join(keys, df.project == keys.path, "left").drop("path").withColumn("project_key", F.coalesce("project_key", F.lit("unknown")))
 
 
-def where(df: DataFrame, filters: Filters, edges: DataFrame, projects: DataFrame, keyed: bool = False) -> DataFrame:
+def where(df: DataFrame, filters: Filters, edges: DataFrame, projects: DataFrame, keyed: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """Rows that pass, with ``project_key`` if it is asked for or filtered by.  Rows without time don't
     pass a date filter."""
     first, last = filters.bounds()
@@ -105,5 +108,5 @@ def where(df: DataFrame, filters: Filters, edges: DataFrame, projects: DataFrame
         df = df.where(F.col("session_id") == filters.session) if filters.scope == "own" else df.join(scope_of(edges, filters), "session_id", "left_semi")
     if not (keyed or filters.project):
         return df
-    df = with_project(df, projects)
+    df = with_project(df, projects, keys)
     return df.where(F.col("project_key") == filters.project) if filters.project else df

@@ -2,27 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
+#: Edges that are sent to every task; more are followed by joins.
+SENT_EDGES = 500_000
+
 
-def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, most: int = SENT_EDGES) -> DataFrame:
     """``root, node``: each root and everything below it, once.
 
-    ``edges`` has ``parent_id, child_id``; ``roots`` has ``root``.  The frontier is joined with the
-    edges until nothing new comes; each step is a table, so long chains keep short plans.
+    ``edges`` has ``parent_id, child_id``; ``roots`` has ``root``.  Up to ``most`` edges go to all tasks, and
+    each follows them for its own roots in one pass.  Beyond that the edges are written once, and the
+    frontier is joined with them until nothing new comes; each step is a table.
     """
-    known = materialize(roots.select("root", F.col("root").alias("node")).where("root is not null").distinct(), "reach")
-    links = edges.select(F.col("parent_id").alias("_from"), F.col("child_id").alias("_to")).where("_from is not null and _to is not null").distinct()
-    frontier = known
+    links = edges.select(F.col("parent_id").alias("_from"), F.col("child_id").alias("_to")).where("_from is not null and _to is not null")
+    start = roots.select("root").where("root is not null").distinct()
+    sent = links.limit(most + 1).toArrow() if most else None
+    if sent is not None and sent.num_rows <= most:
+        return _reach_sent(start, sent)
+    links = materialize(links.distinct(), "links")
+    known = [materialize(start.select("root", F.col("root").alias("node")), "reach")]
     while True:
-        step = frontier.join(links, frontier.node == links._from).select("root", F.col("_to").alias("node")).distinct()
-        frontier = materialize(step.join(known, ["root", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier)
+        step = known[-1].join(links, F.col("node") == F.col("_from")).select("root", F.col("_to").alias("node")).distinct()
+        for before in known:
+            step = step.join(before, ["root", "node"], "left_anti")
+        found = materialize(step, "frontier")
+        if found.isEmpty():
+            break
+        known.append(found)
+        if len(known) > 8:  # the tables before the frontier become one, so plans stay short
+            known = [materialize(_union(known[:-1]), "reach"), known[-1]]
+    return _union(known)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _reach_sent(roots: DataFrame, links: pa.Table) -> DataFrame:
+    below: dict[str, list[str]] = {}
+    for a, b in zip(links["_from"].to_pylist(), links["_to"].to_pylist(), strict=True):
+        below.setdefault(a, []).append(b)
+    shared = roots.sparkSession.sparkContext.broadcast(below)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                seen, todo = {root}, [root]
+                while todo:
+                    new = [n for n in shared.value.get(todo.pop(), ()) if n not in seen]
+                    seen.update(new)
+                    todo += new
+                yield pa.RecordBatch.from_arrays([pa.array([root] * len(seen), pa.string()), pa.array(list(seen), pa.string())], ["root", "node"])
+
+    return roots.mapInArrow(task, "root string, node string")
 
 
 def ancestors(edges: DataFrame, sessions: DataFrame) -> DataFrame:

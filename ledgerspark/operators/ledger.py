@@ -2,7 +2,8 @@
 
 Cumulative counters without responses are one window pass (``window_ledger``).  Sessions that also
 have per-response records, or several copies of a counter, need a state that moves forward
-(``fold_ledger``), a grouped map per session.  Both give the same rows.
+(``fold_ledger``), a grouped map per session.  Both give the same rows; ``build`` sends each session the way
+it needs.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.exprs import all_zero, valid
+from ledgerspark.functions.exprs import all_zero, key, valid
 from ledgerspark.functions.frames import frame
 from ledgerspark.schema import ACCOUNTING_VERSION, TOKEN_FIELDS
 
+from .storage import materialize
+
 
 def physical_merge(copies: DataFrame, keys: list[str], version: str = "parser_version", record: str = "record_id") -> DataFrame:
     """One row per physical record: the one of the newest parser (then the largest record id), with
@@ -61,7 +64,8 @@ def window_ledger(observations: DataFrame, fields: dict[str, str], order: tuple[
     rows = observations.withColumn("_valid", F.coalesce(F.col("has_total") if "has_total" in observations.columns else known, F.lit(False)) & valid(totals))
     w = Window.partitionBy("session_id", "_valid").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_prev", F.lag(F.struct("record_id", "timestamp", "model", *fields.values())).over(w)).withColumn("_n", F.row_number().over(w))
+    more = [c for c in ("project", "refs", "mark") if c in observations.columns]
+    rows = rows.withColumn("_prev", F.lag(F.struct("record_id", "timestamp", "model", *more, *fields.values())).over(w)).withColumn("_n", F.row_number().over(w))
     delta = {f: F.when(F.col("_prev").isNull(), c).otherwise(c - F.col("_prev")[fields[f]]) for f, c in totals.items()}
     drop, moved, unknown = F.lit(False), F.lit(False), F.lit(True)
     for d in delta.values():
@@ -72,12 +76,18 @@ def window_ledger(observations: DataFrame, fields: dict[str, str], order: tuple[
     rows = rows.withColumn("_uncertain", F.coalesce(last("_drop"), F.lit(0)) > F.coalesce(last("_zero"), F.lit(0)))
     first = F.col("_prev").isNull()
     negative = valid({f: F.col(f"d_{f}") for f in fields})
+    proven = F.coalesce(F.col("own_origin"), F.lit(False)) if "own_origin" in observations.columns else F.lit(False)
     outcome = (
         F.when(~F.col("_valid"), "null_or_invalid_cumulative").when(F.col("_zero"), F.lit(None).cast("string")).when(F.coalesce(F.col("inherited"), F.lit(False)), "inherited_cumulative_unallocated")
         .when(F.col("_uncertain"), "unresolved_epoch_interval").when(~(F.col("_moved") | first), F.lit(None).cast("string")).when(~negative, "invalid_usage_categories")
-        .when(F.col("_unknown"), "unknown_usage_categories").when(first, "unallocated_historical").otherwise("reported_cumulative_delta"))
+        .when(F.col("_unknown"), "unknown_usage_categories").when(first & ~proven, "unallocated_historical").otherwise("reported_cumulative_delta"))
     rows = rows.withColumn("outcome", outcome).withColumn("also_decrease", F.col("_valid") & F.col("_drop"))
     switched = ~F.col("model").eqNullSafe(F.col("_prev")["model"])
+    if "project" in more:
+        switched = switched | ~F.col("project").eqNullSafe(F.col("_prev")["project"])
+        rows = rows.withColumn("project", F.when(first | ~switched, F.col("project")))
+    for c in more:
+        rows = rows.withColumn(f"prev_{c}", F.col("_prev")[c])
     rows = rows.withColumn("model", F.when(first | ~switched, F.col("model"))).withColumn("prev_record", F.col("_prev")["record_id"]).withColumn("interval_start", F.col("_prev")["timestamp"])
     return rows.drop("_valid", "_prev", "_n", "_drop", "_moved", "_unknown", "_zero", "_uncertain")
 
@@ -264,6 +274,45 @@ def _same_bytes(a: dict, b: dict) -> bool:
 FACTS = "kind string, id string, session_id string, turn_id string, timestamp string, interval_start string, interval_end string, model string, project string, method string, coverage string, " + ", ".join(f"{f} bigint" for f in TOKEN_FIELDS) + ", refs array<bigint>, record_id bigint, code string, detail_json string"
 
 
+def plain_ledger(counters: DataFrame) -> DataFrame:
+    """Facts and gaps (``FACTS`` rows) of sessions that have one counter and no responses, by windows.
+
+    ``counters`` are merged counter rows, as ``build`` makes them.
+    """
+    vector = "struct<" + ", ".join(f"{f}: bigint" for f in TOKEN_FIELDS) + ">"
+    rows = counters.withColumn("d", F.from_json("data_json", f"total_token_usage {vector}, last_token_usage {vector}, own_counter_origin boolean, parent string"))
+    own = F.coalesce("d.own_counter_origin", F.lit(False))
+    mark = key(F.col("turn_id"), F.col("timestamp"), F.to_json("d.total_token_usage"), F.to_json("d.last_token_usage"))
+    rows = rows.select("session_id", "record_id", "ordinal", "turn_id", "timestamp", "model", "project", "refs", F.col("d.total_token_usage").isNotNull().alias("has_total"), own.alias("own_origin"),
+        (F.coalesce(F.col("d.parent") != "", F.lit(False)) & ~own).alias("inherited"), mark.alias("mark"), (F.col("d.total_token_usage") == F.col("d.last_token_usage")).alias("last_is_total"), *[F.col(f"d.total_token_usage.{f}").alias(f) for f in TOKEN_FIELDS])
+    led = window_ledger(rows, {f: f for f in TOKEN_FIELDS}, ("ordinal", "record_id"))
+    loose = F.col("outcome") == "unallocated_historical"
+    owned = lambda c: F.when(~loose, F.col(c)).alias(c)
+    unknown = F.lit(False)
+    for f in TOKEN_FIELDS:
+        unknown = unknown | F.col(f"d_{f}").isNull()
+    none = lambda *names: [F.lit(None).cast(dict(c.split(" ", 1) for c in FACTS.split(", "))[n]).alias(n) for n in names]
+    facts = led.where(F.col("outcome").isin(*FACT_METHODS)).select(
+        F.lit("fact").alias("kind"), key(F.col("session_id"), F.col("outcome"), F.col("mark"), F.col("prev_mark")).alias("id"), "session_id", owned("turn_id"), owned("timestamp"), "interval_start", F.col("timestamp").alias("interval_end"),
+        owned("model"), owned("project"), F.col("outcome").alias("method"), F.when(unknown, "partial_categories").otherwise("reported").alias("coverage"), *[F.col(f"d_{f}").alias(f) for f in TOKEN_FIELDS],
+        F.array_sort(F.array_distinct(F.concat("refs", F.coalesce("prev_refs", F.array().cast("array<bigint>"))))).alias("refs"), *none("record_id", "code", "detail_json"))
+    detail = F.to_json(F.struct(F.col("last_is_total").alias("last_equals_total"), F.col("prev_record").alias("previous_record")))
+    gap = lambda df, code, said: df.select(F.lit("gap").alias("kind"), *none("id"), "session_id", *none("turn_id", "timestamp", "interval_start", "interval_end", "model", "project", "method", "coverage", *TOKEN_FIELDS, "refs"), "record_id", code.alias("code"), said.alias("detail_json"))
+    gaps = gap(led.where(F.col("outcome").isNotNull() & ~F.col("outcome").isin(*FACT_METHODS)), F.col("outcome"), F.lit("{}"))
+    return facts.unionByName(gaps).unionByName(gap(led.where("also_decrease"), F.lit("unresolved_counter_decrease"), detail))
+
+
+def build(observations: DataFrame) -> DataFrame:
+    """Facts and gaps of all sessions (see ``fold_ledger``), each by the way that it needs.
+
+    Only sessions with responses, or with several copies of a counter, go through the fold.
+    """
+    rows = settled(observations)
+    need = rows.groupBy(F.col("session_id").alias("_s")).agg((F.max((F.col("kind") == "response_usage").cast("int")) + (F.count_distinct(F.when(F.col("kind") != "response_usage", F.coalesce(F.col("generation_id").cast("string"), F.lit("")))) > 1).cast("int") > 0).alias("_fold"))
+    rows = materialize(rows.join(need, F.col("session_id").eqNullSafe(F.col("_s"))).drop("_s"), "settled")
+    return plain_ledger(rows.where("not _fold")).unionByName(rows.where("_fold").drop("_fold").groupBy("session_id").applyInPandas(_fold_group, FACTS))
+
+
 def fold_ledger(observations: DataFrame) -> DataFrame:
     """Facts (``kind = 'fact'``) and gaps (``'gap'``) of all sessions.
 
@@ -272,6 +321,11 @@ def fold_ledger(observations: DataFrame) -> DataFrame:
     byte_start, digest, parser_version``.  Copies are merged, and responses are settled by native id
     over all sessions before each session is folded by itself.
     """
+    return settled(observations).groupBy("session_id").applyInPandas(_fold_group, FACTS)
+
+
+def settled(observations: DataFrame) -> DataFrame:
+    """Physical records once each, responses once each, with a ``verdict`` on those that can't count."""
     loose = observations.where("source_id is null").withColumn("refs", F.array("record_id"))
     merged = physical_merge(observations.where("source_id is not null"), ["source_id", "byte_start", "digest"]).unionByName(loose)
     answer = merged.where("kind = 'response_usage'")
@@ -285,8 +339,7 @@ def fold_ledger(observations: DataFrame) -> DataFrame:
     best = known.where("versions = 1 and record_id = top").withColumn("refs", F.col("all_refs")).withColumn("model", F.when(F.col("models") <= 1, F.col("model"))).withColumn("verdict", F.lit(None).cast("string"))
     columns = [*merged.columns, "verdict"]
     counters = merged.where("kind <> 'response_usage'").withColumn("verdict", F.lit(None).cast("string"))
-    rows = counters.select(*columns).unionByName(best.select(*columns)).unionByName(nameless.select(*columns)).unionByName(clash.select(*columns))
-    return rows.groupBy("session_id").applyInPandas(_fold_group, FACTS)
+    return counters.select(*columns).unionByName(best.select(*columns)).unionByName(nameless.select(*columns)).unionByName(clash.select(*columns))
 
 
 def _fold_group(part: pd.DataFrame) -> pd.DataFrame:

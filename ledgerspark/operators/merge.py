@@ -37,8 +37,13 @@ def newest(rows: DataFrame, keys: list[str], most: int, by: str = "record_id") -
 
 
 def current_view(records: DataFrame, current: DataFrame, generations: DataFrame) -> DataFrame:
-    """Records that are the current interpretation of their bytes, with their generation."""
-    return records.join(current.select("record_id"), "record_id", "left_semi").join(generations, "source_id")
+    """Records that count, with their generation: those that are the current interpretation of their bytes, and
+    rows of databases (``table_name``) that no later version replaced (``superseded``)."""
+    own = [c for c in records.columns if c not in ("table_name", "superseded")] if "table_name" in records.columns else records.columns
+    lines = records.join(current.select("record_id"), "record_id", "left_semi").select(*own)
+    if "table_name" in records.columns:
+        lines = lines.unionByName(records.where("table_name is not null and superseded = 0").join(current.select("record_id"), "record_id", "left_anti").select(*own))
+    return lines.join(generations, "source_id")
 
 
 def catalog(threads: DataFrame, hosts: DataFrame) -> DataFrame:

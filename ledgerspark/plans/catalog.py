@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import exprs
 from ledgerspark.operators import datasets as ds
-from ledgerspark.operators import export, graph, inspect_sources, ledger, merge, records, tools
+from ledgerspark.operators import enrich, export, graph, inspect_sources, ledger, merge, records, tools
 from ledgerspark.operators.filters import Filters, project_keys
 from ledgerspark.schema import ROUGH_METHOD, TOKEN_FIELDS
 
-from .fixtures import load, oracle
+from . import fixtures
+from .fixtures import load, oracle, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,12 +39,23 @@ def query(name: str, sql: str | None = None):
 def tables(spark: SparkSession, sf_dir: str) -> ds.Tables:
     """The fixture tables; DataFrames are lazy, so unused ones cost nothing."""
     get = lambda n: load(spark, sf_dir, n)
+    kept = lambda n, make: prepared(spark, sf_dir, n) if prepared(spark, sf_dir, n) is not None else make()
     calls = get("fx_tool_calls")
     observed = get("fx_observations")
     return ds.Tables(
         usage_facts=get("fx_usage_facts"), tool_calls=calls, sessions=get("fx_sessions"), edges=get("fx_edges"), projects=get("fx_projects"), labels=get("fx_labels"),
-        gaps=ledger.window_gaps(ledger.window_ledger(observed, COUNTERS)), patterns=tools.retries(calls.withColumn("pattern_kind", F.lit("exact_arguments")), RETRY_SECONDS),
-        records=observed, events=None)
+        gaps=kept("gaps", lambda: ledger.window_gaps(ledger.window_ledger(observed, COUNTERS))), patterns=kept("patterns", lambda: tools.retries(calls.withColumn("pattern_kind", F.lit("exact_arguments")), RETRY_SECONDS)),
+        project_keys=prepared(spark, sf_dir, "project_keys"), records=observed, events=None)
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Write the canonical tables that an import leaves: facts, calls, gaps, patterns, project keys."""
+    fixtures.prepare(spark, sf_dir)
+    t = tables(spark, sf_dir)
+    fixtures.keep(spark, sf_dir, "gaps", t.gaps)
+    fixtures.keep(spark, sf_dir, "patterns", t.patterns)
+    paths = t.usage_facts.select("project").unionByName(t.tool_calls.select("project")).select(F.col("project").alias("path"))
+    fixtures.keep(spark, sf_dir, "project_keys", project_keys(t.projects, paths))
 
 
 # --- SQL pieces -----------------------------------------------------------------------------------
@@ -191,13 +203,13 @@ def _(spark, d):
     return top.withColumn("place", F.row_number().over(ds.Window.orderBy(F.desc_nulls_last("reported_total_tokens"), "session_id")).cast("bigint")).select("place", "session_id", "reported_total_tokens")
 
 
-@query("timeline_all", """with c as (select record_id id, 'task_started' kind, session_id, timestamp, record_id from fx_observations where record_id % 50 = 0)
+@query("timeline_all", """with c as (select record_id id, 'task_started' kind, session_id, timestamp, record_id from fx_observations)
  select timestamp, session_id, 'usage' kind, method description, total_tokens reported_tokens, id fact_id, cast(record_id as varchar) provenance_ids from fx_usage_facts
  union all select timestamp, session_id, 'tool', name, null, id, cast(record_id as varchar) from fx_tool_calls
  union all select timestamp, session_id, 'context', kind, null, cast(id as varchar), cast(record_id as varchar) from c""")
 def _(spark, d):
     t = tables(spark, d)
-    seen = t.records.where("record_id % 50 = 0").select(F.col("record_id").alias("id"), F.lit("task_started").alias("kind"), "session_id", "timestamp", "model", F.lit(None).cast("string").alias("project"), "record_id")
+    seen = t.records.select(F.col("record_id").alias("id"), F.lit("task_started").alias("kind"), "session_id", "timestamp", "model", F.lit(None).cast("string").alias("project"), "record_id")
     t.events = seen
     return ds.timeline(t, limit=None)
 
@@ -637,6 +649,22 @@ def _(spark, d):
     return rows.select("id", "name", "status", "result_characters", exprs.rough_tokens("result_characters").alias("rough_result_tokens"), F.col("record_id").cast("string").alias("provenance_ids"))
 
 
+@query("enrichment_sessions", """with c as (select concat('s', c_custkey % 60) id, min(c_name) cwd, concat('proj', min(c_nationkey)) project_id, min(c_custkey) n from customer where c_custkey <= 150 group by 1),
+ k as (select 'm' || r_regionkey id, case when r_regionkey % 2 = 0 then 'local' else 'remote' end host_kind from region)
+ select coalesce(c.id, s.id) id, coalesce(c.cwd, s.cwd) cwd, c.project_id, strftime(make_timestamp((1780000000 + c.n) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') created_at, c.n reported_state_tokens, coalesce(k.host_kind, 'local') host_kind,
+  case when k.host_kind = 'remote' then 'remote_metadata_only' else 'unknown' end coverage
+ from fx_sessions s full join c on c.id = s.id left join k on k.id = s.id""")
+def _(spark, d):
+    """Sessions that logs name, with what a state database and a catalogue with its hosts say."""
+    state = load(spark, d, "customer").where("c_custkey <= 150").groupBy(F.concat(F.lit("s"), F.col("c_custkey") % 60).alias("id")).agg(F.min("c_name").alias("cwd"), F.concat(F.lit("proj"), F.min("c_nationkey")).alias("project_id"), F.min("c_custkey").alias("n"))
+    state = state.select("id", "cwd", "project_id", (F.lit(1_780_000_000) + F.col("n")).alias("created_at"), F.lit(None).cast("bigint").alias("updated_at"), F.lit(0).alias("archived"), F.col("n").alias("tokens_used"))
+    region = load(spark, d, "region")
+    threads = region.select(F.concat(F.lit("h"), "r_regionkey").alias("host_id"), F.concat(F.lit("m"), "r_regionkey").alias("thread_id"), F.lit(None).cast("string").alias("cwd"), F.lit(None).cast("string").alias("project_id"))
+    hosts = region.select(F.concat(F.lit("h"), "r_regionkey").alias("host_id"), F.when(F.col("r_regionkey") % 2 == 0, "local").otherwise("remote").alias("host_kind"))
+    found = enrich.sessions(load(spark, d, "fx_sessions").select("id", "cwd"), {"threads": state, "local_thread_catalog": threads, "local_thread_catalog_hosts": hosts})
+    return found.select("id", "cwd", "project_id", "created_at", "reported_state_tokens", "host_kind", "coverage")
+
+
 # --- export, audit, inspection, normalization ------------------------------------------------------
 
 
@@ -652,6 +680,37 @@ def _(spark, d):
     return export.with_ids(load(spark, d, "fx_tool_calls").select("name").distinct(), load(spark, d, "fx_tool_calls"), "name", "tool_fact_ids")
 
 
+def _export_ids(spark, d, name: str, f: Filters = Filters(), column: str = "tool_fact_ids") -> DataFrame:
+    keys, t = list(ds.AGGREGATES[name]), tables(spark, d)
+    rows = ds_rows(t, name, f).select(*keys)
+    return export.with_ids(rows, ds.drill_down(t, name, f)[column], keys, column, "fact_id")
+
+
+def ds_rows(t: ds.Tables, name: str, f: Filters) -> DataFrame:
+    return {"rankings": ds.rankings, "patterns": ds.patterns, "sessions": ds.sessions, "comparisons": ds.comparisons}[name](t, f, None)
+
+
+MARCH = Filters(start="2026-03-28", end="2026-03-29", model="beta")
+
+
+@query("export_ids_filtered", "select session_id, string_agg(id, ',' order by id) usage_fact_ids from fx_usage_facts where timestamp >= '2026-03-28 00:00:00' and timestamp < '2026-03-30 00:00:00' and coalesce(model, 'unknown') = 'beta' group by 1")
+def _(spark, d):
+    return _export_ids(spark, d, "sessions", MARCH, "usage_fact_ids").where("usage_fact_ids <> ''")
+
+
+@query("export_ids_descendants", f"""with recursive {BELOW}, chosen as (select unnest(['s0', 's5', 'm1']) root),
+ sc as (select root, 'own_thread' as scope, root session_id from chosen union all select c.root, 'unique_descendants', b.node from chosen c join (select * from below union select root, root from chosen) b on b.root = c.root)
+ select root session_id, scope, coalesce(string_agg(id, ',' order by id), '') usage_fact_ids from sc left join fx_usage_facts using (session_id) group by 1, 2""")
+def _(spark, d):
+    return _export_ids(spark, d, "comparisons", Filters(session="s0, s5, m1"), "usage_fact_ids")
+
+
+@query("export_ids_patterns", f"""with {RETRIES}, q as (select r.pattern_hash, r.kind, t.id from r join fx_tool_calls t on t.id = r.tool_id where coalesce(t.model, 'unknown') = 'beta')
+ select pattern_hash, kind, string_agg(id, ',' order by id) tool_fact_ids from q group by 1, 2 having count(*) > 1""")
+def _(spark, d):
+    return _export_ids(spark, d, "patterns", Filters(model="beta"))
+
+
 @query("export_semi_join", f"with {RETRIES} select id, name from fx_tool_calls t where exists (select 1 from r where r.tool_id = t.id and r.likely_retry = 1)")
 def _(spark, d):
     t = tables(spark, d)
@@ -712,4 +771,4 @@ def _(spark, d):
 from . import sources_demo  # noqa: E402
 
 for _name, _f in sources_demo.QUERIES.items():
-    QUERIES[_name] = _f
+    query(_name, sources_demo.ORACLE[_name])(_f)

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerspark.operators.storage import materialize
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -75,8 +77,30 @@ def _macros(text: str, spark: bool) -> str:
     return re.sub(r"<SHA:(.*?)> ", r"sha2(\1, 256) " if spark else r"sha256(\1) ", text)
 
 
+#: Tables that ``prepare`` wrote, by (application, folder, name).
+_prepared: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def keep(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
+    """From now on ``df``, written as a table, is what ``load`` gives for the name."""
+    _prepared[spark.sparkContext.applicationId, sf_dir, name] = table = materialize(df, name)
+    return table
+
+
+def prepared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    return _prepared.get((spark.sparkContext.applicationId, sf_dir, name))
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Write the canonical tables once, as an import does; queries then read them."""
+    for name in VIEWS:
+        keep(spark, sf_dir, name, load(spark, sf_dir, name))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver, or a fixture view."""
+    if (kept := prepared(spark, sf_dir, name)) is not None:
+        return kept
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = _macros(VIEWS[name], True)

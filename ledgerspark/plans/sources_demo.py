@@ -22,7 +22,7 @@ from .fixtures import load
 
 
 def _log(spark: SparkSession, d: str) -> str:
-    """Logs that tasks write to the shared folder, as a pattern: a header for each session, then counters."""
+    """Logs that tasks write to the shared folder, as a pattern: a file for each session, a header and then its counters."""
     rows = load(spark, d, "fx_observations")
     n = max(spark.sparkContext.defaultParallelism, -(-rows.count() // 250_000))
     first = F.row_number().over(Window.partitionBy("session_id").orderBy("ordinal")) == 1
@@ -33,11 +33,35 @@ def _log(spark: SparkSession, d: str) -> str:
     head = text("session_meta", F.struct(F.col("session_id").alias("id"), F.lit("/p0").alias("cwd")))
     counter = text("event_msg", F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage")).alias("info")))
     path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
-    rows.select(F.explode(F.when(F.col("first"), F.array(head, counter)).otherwise(F.array(counter))).alias("value")).write.text(path)
+    lines = rows.select("session_id", F.explode(F.when(F.col("first"), F.array(head, counter)).otherwise(F.array(counter))).alias("value"))
+    lines.write.partitionBy("session_id").text(path)
     path = path.removeprefix("file://")
-    with open(os.path.join(path, "part-open"), "w") as f:
+    os.makedirs(os.path.join(path, "session_id=open"))
+    with open(os.path.join(path, "session_id=open", "part-open"), "w") as f:
         f.write('{"not finished')
-    return os.path.join(path, "part-*")
+    return os.path.join(path, "*", "part-*")
+
+
+#: The same lines in SQL, with their places, for the oracles.
+LINES = """
+o as (select session_id, ordinal, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' ts, coalesce(cast(input_tokens as varchar), 'null') i,
+  case when input_tokens is null then 'null' else cast(coalesce(output_tokens, 0) as varchar) end o, coalesce(cast(input_tokens + coalesce(output_tokens, 0) as varchar), 'null') t from fx_observations),
+w as (select session_id, 0 as kind, ordinal, ts, i, o, t, '{"timestamp":"' || ts || '","type":"session_meta","payload":{"id":"' || session_id || '","cwd":"/p0"}}' as line
+    from (select *, row_number() over (partition by session_id order by ordinal) n from o) where n = 1
+  union all select session_id, 1, ordinal, ts, i, o, t, '{"timestamp":"' || ts || '","type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":' || i || ',"output_tokens":' || o || ',"total_tokens":' || t || '}}}}' from o),
+lines as (select *, cast(row_number() over z as bigint) ord, cast(sum(strlen(line) + 1) over z as bigint) stop, sha256(line || chr(10)) digest from w window z as (partition by session_id order by kind, ordinal rows unbounded preceding))"""
+PLACES = "ord as ordinal, digest, cast(null as varchar) error"
+RECORDS = f"with {LINES} select 1 as generation, stop - strlen(line) - 1 as byte_start, stop as byte_end, {PLACES} from lines"
+EVENTS = f"""with {LINES} select ord as ordinal, case kind when 0 then 'session_meta' else 'cumulative_usage' end kind, session_id, ts as timestamp,
+  case kind when 0 then '{{"cwd":"/p0","id":"' || session_id || '","identity_epoch":1,"compactions":0,"parent":null}}'
+  else '{{"total_token_usage":{{"input_tokens":' || i || ',"cached_input_tokens":null,"cache_write_input_tokens":null,"output_tokens":' || o || ',"reasoning_output_tokens":null,"total_tokens":' || t || '}},"last_token_usage":null,"own_counter_origin":false,"identity_epoch":1,"compactions":0,"parent":null}}' end data_json,
+  cast(null as varchar) error from lines"""
+REWRITE = f"""with {LINES}, h as (select session_id, coalesce(max(case when stop <= total // 2 then stop end), 0) half, coalesce(max(case when stop <= total // 2 then ord end), 0) n
+    from (select *, max(stop) over (partition by session_id) total from lines) group by 1),
+  r as (select 1 as generation, stop - strlen(line) - 1 as byte_start, stop as byte_end, ord as ordinal, digest from lines join h using (session_id) where stop <= half
+    union all select case when half > 0 then 2 else 1 end, stop - strlen(line) - 1 - half, stop - half, ord - n, digest from lines join h using (session_id) where stop > half)
+  select *, cast(null as varchar) error, generation > 1 as again from r"""
+DATABASE = "select id, cwd, cast(null as varchar) project_id, cast(1 as bigint) tokens_used from fx_sessions"
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +111,7 @@ def _halves(spark: SparkSession, d: str, rewrite: bool) -> DataFrame:
             size = os.path.getsize(log)
             half = jsonl.last_line_end(log, 0, size // 2)
             begin, end = (half, size) if second else (0, half)
-            target = os.path.join(to, os.path.basename(log))
+            target = os.path.join(to, log.split(os.sep)[-2])
             with open(log, "rb") as f, open(target, "r+b" if second else "wb") as g:
                 f.seek(begin)
                 g.truncate(0 if rewrite else begin)  # a task that is repeated writes the same
@@ -97,7 +121,7 @@ def _halves(spark: SparkSession, d: str, rewrite: bool) -> DataFrame:
 
         return lambda: spark.sparkContext.parallelize(logs, len(logs)).foreach(copy)
 
-    return _stream(spark, os.path.join(to, "part-*"), [step(False), step(True)])
+    return _stream(spark, os.path.join(to, "session_id=*"), [step(False), step(True)])
 
 
 def stream_append(spark: SparkSession, d: str) -> DataFrame:
@@ -109,3 +133,4 @@ def stream_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (jsonl_tail_batch, normalize_records, sqlite_ro_scan, stream_append, stream_rewrite)}
+ORACLE = {"jsonl_tail_batch": RECORDS, "normalize_records": EVENTS, "sqlite_ro_scan": DATABASE, "stream_append": RECORDS, "stream_rewrite": REWRITE}

@@ -17,6 +17,16 @@ DISCOVER = "discover:"
 COLUMNS = "canonical_path string, original_path string, kind string, disposition string, reason string, error string, size bigint, mtime_ns bigint, file_id string, schema_signature string"
 
 
+def local_path(text: str | Path) -> Path:
+    """A path of this machine, without the prefix of long paths."""
+    plain = str(text)
+    for start, instead in (("\\\\?\\UNC\\", "\\\\"), ("\\\\?\\", "")):
+        if plain.startswith(start):
+            plain = instead + plain[len(start) :]
+            break
+    return Path(plain).expanduser().resolve()
+
+
 def database_kind(name: str) -> tuple[str, str]:
     """(kind, disposition) by a file's name."""
     for start, kind in (("state_", "state_database"), ("thread_history_", "history_database")):
@@ -35,19 +45,34 @@ class Config:
     data: Path
     logs: list[Path] = field(default_factory=list)
     databases: list[Path] = field(default_factory=list)
+    log_dir: Path | None = None
+    otel: dict = field(default_factory=dict)
+
+    @property
+    def sources(self) -> list[Path]:
+        """Folders that nothing is written to."""
+        return [p.resolve() for p in (self.home, *self.logs, *self.databases, *([self.log_dir] if self.log_dir else []))]
+
+    def writable(self, path: str | Path) -> Path:
+        """An output path; raises if it lies in a source."""
+        out = local_path(path)
+        if any(out.is_relative_to(s) for s in self.sources):
+            raise ValueError("output can't be written into a source")
+        return out
 
     @classmethod
     def resolve(cls, home: str | None = None, data: str | None = None, more: tuple[str, ...] = ()) -> Config:
-        base = Path(home or os.environ.get("AGENT_HOME") or Path.home() / ".agent").expanduser().resolve()
-        out = Path(data or os.environ.get("LEDGERSPARK_DATA") or Path.home() / ".ledgerspark").expanduser().resolve()
+        base = local_path(home or os.environ.get("AGENT_HOME") or Path.home() / ".agent")
+        out = local_path(data or os.environ.get("LEDGERSPARK_DATA") or Path.home() / ".ledgerspark")
         given = {}
         if (toml := base / "config.toml").is_file():
             given = tomllib.loads(toml.read_text())
-        databases = Path(given["sqlite_home"]).expanduser() if isinstance(given.get("sqlite_home"), str) else base
-        roots = [base / "sessions", base / "archived_sessions", *(Path(m).expanduser().resolve() for m in more)]
+        named = lambda key: local_path(given[key]) if isinstance(given.get(key), str) else None
+        databases = named("sqlite_home") or base
+        roots = [base / "sessions", base / "archived_sessions", *map(local_path, more)]
         if any(out == r or r in out.parents for r in (base, *roots)):
             raise ValueError("results can't be inside a source")
-        return cls(base, out, roots, [databases])
+        return cls(base, out, roots, [databases], named("log_dir"), given["otel"] if isinstance(given.get("otel"), dict) else {})
 
 
 def walk(root: Path, suffixes: tuple[str, ...]) -> tuple[list[Path], list[str]]:

@@ -11,8 +11,11 @@ from __future__ import annotations
 import glob
 import hashlib
 import json
+import math
 import os
+import time
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -114,10 +117,39 @@ def last_line_end(path: str, begin: int, end: int) -> int:
     return begin
 
 
+def first_line_end(path: str, begin: int, end: int) -> int:
+    """Where the first line after ``begin`` stops; ``end`` if none does before."""
+    with open(path, "rb") as f:
+        f.seek(begin)
+        while begin < end and (b := f.read(min(BLOCK, end - begin))):
+            if (k := b.find(b"\n")) >= 0:
+                return begin + k + 1
+            begin += len(b)
+    return end
+
+
+def file_id(stat: os.stat_result) -> str:
+    return f"{stat.st_dev}:{stat.st_ino}"
+
+
+def chained(path: str, begin: int, end: int, before: str) -> tuple[str, int]:
+    """The content hash at ``end``, from the one at ``begin``, and how many records lie between.
+
+    A link is made for each line from the hash before it and the line's own, so the hash goes on where an
+    earlier pass stopped, whatever the passes were.
+    """
+    records = 0
+    with open(path, "rb") as f:
+        for _, _, raw, digest, whole in frames(f, begin, end, MAX_RECORD):
+            before = hashlib.sha256((before + digest).encode()).hexdigest()
+            records += bool(whole and (raw is None or raw.strip()))
+    return before, records
+
+
 def change(path: str, mark: dict, full: bool = False) -> str | None:
     """Why what was read of a file no longer counts, or None.  The first reason that holds is given."""
     stat = os.stat(path)
-    if mark["file_id"] != f"{stat.st_dev}:{stat.st_ino}":
+    if mark["file_id"] != file_id(stat):
         return "replacement"
     if stat.st_size < mark["offset"]:
         return "truncation"
@@ -126,51 +158,101 @@ def change(path: str, mark: dict, full: bool = False) -> str | None:
         return "prefix_rewrite"
     if sha(path, mark["offset"] - n, n) != mark["tail"]:
         return "checkpoint_rewrite"
-    if full and sha(path, 0, mark["offset"]) != mark["content"]:
+    if full and chained(path, 0, mark["offset"], "")[0] != mark["content"]:
         return "content_rewrite"
     return None
 
 
-def advance(path: str, mark: dict | None, full: bool = False) -> dict:
-    """The mark of a file as it is now, after the one before."""
+def advance(path: str, mark: dict | None, full: bool = False, most: int = 0) -> dict:
+    """The mark of a file as it is now, after the one before; at most about ``most`` bytes further (0: all).
+
+    A file whose identity, size and time are those of its mark was not touched, so it isn't opened.
+    """
     stat = os.stat(path)
+    same = mark is not None and (mark["file_id"], mark["size"], mark["mtime_ns"]) == (file_id(stat), stat.st_size, stat.st_mtime_ns)
+    if same and not full and not mark.get("more"):
+        return mark
     why = change(path, mark, full) if mark else None
-    start = {"offset": 0, "ordinal": 0, "generation": (mark["generation"] + 1) if why else 1} if why or not mark else mark
-    end = last_line_end(path, start["offset"], stat.st_size)
+    start = {"offset": 0, "ordinal": 0, "generation": (mark["generation"] + 1) if why else 1, "content": ""} if why or not mark else mark
+    last = last_line_end(path, start["offset"], stat.st_size)
+    end = last_line_end(path, start["offset"], min(stat.st_size, start["offset"] + most)) if most else last
+    if end < last and end == start["offset"]:  # a line longer than the limit is taken whole
+        end = first_line_end(path, end, last)
     n = min(EDGE, end)
-    count = start["ordinal"]
-    with open(path, "rb") as f:
-        count += sum(1 for _, _, raw, _, whole in frames(f, start["offset"], end, MAX_RECORD) if whole and (raw is None or raw.strip()))
-    return {"file_id": f"{stat.st_dev}:{stat.st_ino}", "offset": end, "ordinal": count, "generation": start["generation"], "head": sha(path, 0, n), "tail": sha(path, end - n, n), "content": sha(path, 0, end) if full else "", "pending": stat.st_size - end}
+    content, count = chained(path, start["offset"], end, start["content"])
+    return {"file_id": file_id(stat), "size": stat.st_size, "mtime_ns": stat.st_mtime_ns, "offset": end, "ordinal": start["ordinal"] + count, "generation": start["generation"], "head": sha(path, 0, n),
+            "tail": sha(path, end - n, n), "content": content, "pending": stat.st_size - end, "more": end < last, "why": why}
 
 
 class JsonlReader(DataSourceReader):
+    """Whole files.  ``finalizedPaths`` are files whose last record may lack its line feed; with
+    ``finalizedMarks`` (a JSON object of sizes and times at an earlier import) only if they didn't change."""
+
     def __init__(self, options: dict):
         self.paths = listed(options["path"])
         self.largest = int(options.get("maxRecordBytes", MAX_RECORD))
         self.final = set(filter(None, options.get("finalizedPaths", "").split(os.pathsep)))
+        self.marks = json.loads(options["finalizedMarks"]) if options.get("finalizedMarks") else None
+
+    def settled(self, path: str) -> bool:
+        if path not in self.final or self.marks is None:
+            return path in self.final
+        stat = os.stat(path)
+        return self.marks.get(path) == [stat.st_size, stat.st_mtime_ns]
 
     def partitions(self) -> list[Span]:
-        return [Span(p, 0, os.path.getsize(p), 0, 1, p in self.final) for p in self.paths]
+        found = []
+        for p in self.paths:
+            with suppress(OSError):  # a file may go between listing and reading
+                found.append(Span(p, 0, os.path.getsize(p), 0, 1, self.settled(p)))
+        return found
 
     def read(self, partition: Span) -> Iterator[tuple]:
         return read_span(partition, self.largest)
 
 
 class JsonlStream(DataSourceStreamReader):
-    """Follows files: an offset maps each path to its mark."""
+    """Follows files: an offset maps each path to its mark.
+
+    Known files are looked at on every trigger, by identity, size and time; new ones are looked for every
+    ``discoverySeconds``, and contents verified every ``verifySeconds`` (on every trigger with ``verify=full``,
+    never with 0).  A file that can't be read keeps its mark and is left alone for ``errorSeconds``.  A trigger takes about
+    ``maxBytesPerTrigger`` bytes (0: all).
+    """
 
     def __init__(self, options: dict):
         self.where, self.largest = options["path"], int(options.get("maxRecordBytes", MAX_RECORD))
-        self.full = options.get("verify", "quick") == "full"
+        self.always = options.get("verify", "quick") == "full"
+        get = lambda name, default: float(options.get(name, default))
+        self.verify_seconds, self.discovery_seconds, self.error_seconds = get("verifySeconds", 300), get("discoverySeconds", 0), get("errorSeconds", 30)
+        self.most = int(options.get("maxBytesPerTrigger", 0))
         self.known: dict = {}
+        self.paths: list[str] = []
+        self.listed_at = self.verified_at = -math.inf
+        self.failed: dict[str, float] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        # a file that is gone keeps its mark, so that what was read of it stays
-        self.known |= {p: advance(p, self.known.get(p), self.full) for p in listed(self.where)}
+        now = time.monotonic()
+        if now - self.listed_at >= self.discovery_seconds:
+            self.paths, self.listed_at = listed(self.where), now
+        full = self.always or bool(self.verify_seconds and self.known and now - self.verified_at >= self.verify_seconds)
+        if full or self.verified_at == -math.inf:
+            self.verified_at = now
+        left = self.most
+        for p in self.paths:
+            if now - self.failed.get(p, -math.inf) < self.error_seconds or self.most and left <= 0:
+                continue
+            before = self.known.get(p)
+            try:
+                self.known[p] = mark = advance(p, before, full, left if self.most else 0)
+            except OSError:  # a file that is gone keeps its mark, so that what was read of it stays
+                self.failed[p] = now
+                continue
+            self.failed.pop(p, None)
+            left -= mark["offset"] - (before["offset"] if before and before["generation"] == mark["generation"] else 0)
         return {"files": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:

@@ -97,12 +97,17 @@ CATALOG = {
 }
 HISTORY = {
     "thread_turns": ({"thread_id": "string", "turn_id": "string", "status": "string", "started_at": "bigint", "completed_at": "bigint", "duration_ms": "double", "rollout_ordinal": "bigint", "rollout_byte_offset": "bigint", "rollout_end_ordinal": "bigint"}, ("thread_id", "turn_id")),
+    "thread_realtime_items": ({"thread_id": "string", "turn_id": "string", "item_id": "string", "rollout_ordinal": "bigint", "created_at_ms": "bigint", "item_json": "string", "item_type": "string", "updated_at_ordinal": "bigint"}, ("thread_id", "item_id", "item_json")),
     "thread_items": ({"thread_id": "string", "turn_id": "string", "item_id": "string", "rollout_ordinal": "bigint", "created_at_ms": "bigint", "item_json": "string", "item_type": "string", "updated_at_ordinal": "bigint"}, ("thread_id", "item_id", "item_json")),
 }
 
 
+KINDS_OF = {"state_database": STATE, "catalog_database": CATALOG, "history_database": HISTORY}
+
+
 def adapter(spark: SparkSession, path: str, tables: dict) -> tuple[dict[str, DataFrame], list[str]]:
-    """The known tables of a file, and those that are there but lack a required column."""
+    """The known tables of a file, and what isn't supported: tables that lack a required column, none that is known,
+    and a timeline that holds rows."""
     has, found, bad = reflect(path), {}, []
     for name, (wanted, required) in tables.items():
         df = rows(spark, path, name, wanted, required)
@@ -110,4 +115,10 @@ def adapter(spark: SparkSession, path: str, tables: dict) -> tuple[dict[str, Dat
             found[name] = df
         elif name in has:
             bad.append(name)
+    if not has:
+        bad.append("empty_schema")
+    if tables is CATALOG and "thread_timeline_ledger" in has:
+        with closing(connect(path)) as c:
+            if c.execute("SELECT 1 FROM thread_timeline_ledger LIMIT 1").fetchone():
+                bad.append("nonempty_thread_timeline_ledger")
     return found, bad
