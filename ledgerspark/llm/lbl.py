@@ -1,20 +1,25 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
 The model predicts a token from the two before it: the vectors of both, weighted by position, give a
-vector whose product with a token's output vector, plus its bias, is the token's logit.  All training
-documents take part: every task trains on its own ones from a common start, and the parameters are
-averaged by tokens.  The logits are sums of one term per context word, so the normaliser of every
-pair of context words is an entry of one matrix product, and a token's normalised log probability is
-read off three tables.
-
-Words beyond the model's vocabulary share one class, within which the counts of the whole training
-corpus divide its probability.  Counts of frequent words (a bounded number) travel to all tasks; the
-others are joined.
+vector whose product with a class's output vector, plus its bias, is the class's logit.  The logits are
+sums of one term per context word, so the normaliser of every pair of context classes is an entry of one
+matrix product, and a token's normalised log probability is read off three tables.
+
+A class is a frequent word, or one of the classes over which the hash of a word deals all others, so
+every word of a vocabulary of any size has a vector, as context and as output.  Within a class the counts
+of the whole training corpus divide its probability.  Counts of frequent words (a bounded number) travel
+to all tasks; the others are joined.
+
+All training documents take part, once.  They are dealt by their own hash over rounds, and in a round over
+shards of about SHARD_TOKENS tokens, which every partitioning of the table leaves the same; each shard is
+trained on from the round's common start, and the parameters are averaged by tokens after each round.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,13 @@ from pyspark.sql import functions as F
 from .shared import cut
 from .text import partial_sums, remainder, total, word_blocks
 
-#: Words with an output vector (the end of a text included), and components of a vector.
+#: Classes (a quarter of them for the words that have none of their own), and components of a vector.
 VOCABULARY, WIDTH = 2048, 16
+#: Rounds of training, and tokens of a shard.
+ROUNDS, SHARD_TOKENS = 3, 500_000
 #: Words whose counts are sent to every task.
 HEAD = 50_000
-NOISE, BATCH, RATE = 64, 8192, 0.05
+NOISE, BATCH, RATE = 64, 2048, 0.05
 END = ""
 
 
@@ -54,6 +61,39 @@ class Counts:
         self.words = [END, *(r.word for r in rows)]
         self.c = np.array([end.c if end else 0, *(r.c for r in rows)], np.int64)
 
+    def classes(self, size: int) -> Classes:
+        """``size`` classes: the most frequent words, and what is left of every hashed class."""
+        shared = max(1, size // 4)
+        known = min(size - shared, len(self.words))
+        tokens, distinct = np.zeros(shared, np.int64), np.zeros(shared, np.int64)
+        for r in self.table.groupBy((F.crc32(F.col("word").cast("binary")) % shared).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+            tokens[r.k], distinct[r.k] = r.c, r.v
+        own = [hashed(w, shared) for w in self.words[:known]]
+        np.subtract.at(tokens, own, self.c[:known])
+        np.subtract.at(distinct, own, (self.c[:known] > 0).astype(np.int64))
+        return Classes(self.words[:known], self.c[:known], tokens, distinct)
+
+
+def hashed(word: str, shared: int) -> int:
+    return zlib.crc32(word.encode()) % shared
+
+
+class Classes:
+    """Words with a class of their own, and tokens and distinct words of the hashed classes after them."""
+
+    def __init__(self, words: list[str], c: np.ndarray, tokens: np.ndarray, distinct: np.ndarray):
+        self.words, self.shared, self.known = words, len(tokens), len(words)
+        count = np.append(c, tokens) + 1.0
+        self.prob = count / count.sum()
+        #: what the counts of a class's words are divided by; its last part is for words that training didn't see
+        self.spread = np.log10(tokens + distinct + 1.0)
+        self.id = {w: k for k, w in enumerate(words)}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        get, known, shared = self.id.get, self.known, self.shared
+        out = [get(w) for w in words]
+        return np.array([known + hashed(w, shared) if k is None else k for w, k in zip(words, out, strict=True)], np.int64)
+
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, c`` over whole texts, one end (the empty word) for each text."""
@@ -70,17 +110,17 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 class Model:
     """Parameters in one array: input and output vectors, biases, position weights."""
 
-    def __init__(self, size: int, width: int, flat: np.ndarray):
-        self.size, self.width, self.flat = size, width, flat
+    def __init__(self, size: int, width: int, flat: np.ndarray, classes: Classes | None = None):
+        self.size, self.width, self.flat, self.classes = size, width, flat, classes
         cuts = np.cumsum([size * width, size * width, size, width, width])
         r, q, self.b, self.near, self.far = np.split(flat, cuts[:-1])
         self.r, self.q = r.reshape(size, width), q.reshape(size, width)
 
     @classmethod
-    def start(cls, prob: np.ndarray, width: int, seed: int = 7) -> Model:
+    def start(cls, prob: np.ndarray, width: int, seed: int = 7, classes: Classes | None = None) -> Model:
         g = np.random.default_rng(seed)
         n = len(prob)
-        return cls(n, width, np.concatenate([g.normal(0, 0.1, 2 * n * width), np.log(prob), np.full(width, 0.6), np.full(width, 0.3)]))
+        return cls(n, width, np.concatenate([g.normal(0, 0.1, 2 * n * width), np.log(prob), np.full(width, 0.6), np.full(width, 0.3)]), classes)
 
     def step(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, noise: np.ndarray, offset: np.ndarray, gather: Model, rate: float) -> None:
         """One Adagrad step of noise-contrastive estimation; ``offset`` is log(k * noise probability)."""
@@ -112,25 +152,15 @@ class Model:
 class Lookup:
     """Word ids and per-word terms in a Python worker."""
 
-    def __init__(self, counts_words: list[str], c: np.ndarray, tokens: int, distinct: int, size: int):
-        self.id = {w: k for k, w in enumerate(counts_words)}
-        self.known = min(size - 1, len(counts_words))  # ids below have an output vector; the class of the rest is `known`
-        self.rest = tokens - int(c[: self.known].sum())
-        self.spread = np.log10(self.rest + max(0, distinct - self.known) + 1)
+    def __init__(self, words: list[str], c: np.ndarray, tokens: int, distinct: int, classes: Classes):
+        self.id = {w: k for k, w in enumerate(words)}
+        self.classes, self.end_known = classes, bool(c[0])
         self.base = np.log10((c + 1) / (tokens + distinct + 1))
-        self.within = np.log10(c + 1) - self.spread
-        self.unseen = np.log10(1 / (tokens + distinct + 1))
+        self.count = np.log10(c + 1)
 
-    def ids(self, words: pa.Array) -> np.ndarray:
+    def ids(self, words: list[str]) -> np.ndarray:
         get = self.id.get
-        return np.array([get(w, -1) for w in words.to_pylist()], np.int64)
-
-
-def class_probability(counts: Counts, size: int) -> np.ndarray:
-    """Unigram probabilities of the model's classes, the last one for all other words."""
-    known = min(size - 1, len(counts.words))
-    c = np.append(counts.c[:known], counts.tokens - counts.c[:known].sum()) + 1.0
-    return c / c.sum()
+        return np.array([get(w, -1) for w in words], np.int64)
 
 
 def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,25 +176,27 @@ def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray,
     return out, np.flatnonzero(real)
 
 
-def fit(docs: DataFrame, counts: Counts, text: str = "text", size: int = VOCABULARY, width: int = WIDTH) -> Model:
-    """Train on all of ``docs``; one pass, parameters averaged over tasks by their tokens."""
-    prob = class_probability(counts, size)
-    start, known = Model.start(prob, width), len(prob) - 1
-    terms = docs.sparkSession.sparkContext.broadcast(counts.words[:known])
+def fit(docs: DataFrame, counts: Counts, text: str = "text", size: int = VOCABULARY, width: int = WIDTH, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """Train on all of ``docs``, once; the result doesn't depend on how the table is partitioned."""
+    spark, classes = docs.sparkSession, counts.classes(size)
+    prob, shared = classes.prob, docs.sparkSession.sparkContext.broadcast(classes)
+    model, gather = Model.start(prob, width, classes=classes), np.full(2 * len(prob) * width + len(prob) + 2 * width, 1e-4)
+    shards = max(1, -(-counts.tokens // (rounds * shard_tokens)))
+    key = F.xxhash64(F.lit("shard"), F.coalesce(F.col(text), F.lit("")))
+    dealt = docs.select(F.pmod(key, F.lit(rounds)).cast("int").alias("round"), F.pmod(F.shiftright(key, 8), F.lit(shards)).cast("long").alias("shard"), F.col(text).alias("text"))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        model, gather = Model(len(prob), width, start.flat.copy()), Model(len(prob), width, np.full_like(start.flat, 1e-4))
-        table = {w: k for k, w in enumerate(terms.value)}
-        g, offset, seen, held = np.random.default_rng(11), np.log(NOISE * prob), 0, np.zeros((0, 3), np.int64)
+    def train(texts: Iterator[pa.Array], start: Model, seen_before: np.ndarray, seed: int) -> np.ndarray:
+        own, known = Model(start.size, start.width, start.flat.copy()), Model(start.size, start.width, seen_before.copy())
+        g, offset, seen, held = np.random.default_rng(seed), np.log(NOISE * prob), 0, np.zeros((0, 3), np.int64)
 
         def steps(rows):
             for at in range(0, len(rows), BATCH):
                 r = rows[at : at + BATCH]
-                model.step(r[:, 0], r[:, 1], r[:, 2], g.choice(len(prob), NOISE, p=prob), offset, gather, RATE)
+                own.step(r[:, 0], r[:, 1], r[:, 2], g.choice(len(prob), NOISE, p=prob), offset, known, RATE)
 
-        for b in batches:
-            for _, words, codes, sizes in word_blocks(b.column(0)):
-                ids = np.array([table.get(w, known) for w in words.to_pylist()], np.int64)[codes] if len(codes) else codes
+        for part in texts:
+            for _, words, codes, sizes in word_blocks(part):
+                ids = shared.value.of(words.to_pylist())[codes] if len(codes) else codes
                 seq, real = with_ends(ids, sizes, 0)
                 rows = np.stack([seq[real - 2], seq[real - 1], seq[real]], 1)
                 seen += len(rows)
@@ -172,13 +204,41 @@ def fit(docs: DataFrame, counts: Counts, text: str = "text", size: int = VOCABUL
                 whole = len(rows) // BATCH * BATCH
                 steps(rows[:whole])
                 held = rows[whole:]
-        if not seen:
-            return None
         steps(held)
-        return np.append(model.flat * seen, seen)
+        return np.concatenate([own.flat * seen, known.flat * seen, [seen]])
+
+    for r in range(rounds):
+        state = spark.sparkContext.broadcast((model.flat, gather))
+
+        def add(batches: Iterator[pa.RecordBatch], n: int = r, state=state) -> np.ndarray | None:
+            """All shards of a task, one after another: a shard's rows come in the order of their hashes."""
+            out = None
+            for shard, texts in by_shard(batches):
+                got = train(texts, Model(len(prob), width, state.value[0]), state.value[1], 1000 * n + shard)
+                out = got if out is None else out + got
+            return out
+
+        # rows of a shard stand together, in an order that only their texts make
+        rows = dealt.where(F.col("round") == r).select("shard", "text").repartition(min(shards, 4 * spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard", F.xxhash64("text"), "text")
+        got = total(partial_sums(rows, add))
+        if got is not None:
+            model, gather = Model(len(prob), width, got[: len(model.flat)] / got[-1], classes), got[len(model.flat) : -1] / got[-1]
+    return model
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.Array]]]:
+    """Runs of equal shards in ``shard, text`` batches, each as an iterator of texts that is read before the next run."""
+
+    def pieces() -> Iterator[tuple[int, pa.Array]]:
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for x, y in zip(edge, edge[1:], strict=False):
+                if y > x:
+                    yield int(keys[x]), b.column(1).slice(x, y - x)
 
-    got = total(partial_sums(docs.select(text), add))
-    return start if got is None else Model(len(prob), width, got[:-1] / got[-1])
+    for shard, run in groupby(pieces(), key=lambda p: p[0]):
+        yield shard, (texts for _, texts in run)
 
 
 def score(docs: DataFrame, counts: Counts, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,7 +248,7 @@ def score(docs: DataFrame, counts: Counts, model: Model, doc_id: str = "doc_id",
     itself.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((counts.words, counts.c, counts.tokens, counts.distinct, model.size, model.width, model.flat))
+    shared = spark.sparkContext.broadcast((counts.words, counts.c, counts.tokens, counts.distinct, model.classes, model.width, model.flat))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -198,9 +258,10 @@ def score(docs: DataFrame, counts: Counts, model: Model, doc_id: str = "doc_id",
         for b in batches:
             keys = b.column(0)
             for at, words, codes, sizes in word_blocks(b.column(1)):
-                known = look.ids(words)
-                ids = known[codes] if len(codes) else codes
-                seq, real = with_ends(np.where((ids >= 0) & (ids < look.known), ids, look.known), sizes, 0)
+                distinct, own = words.to_pylist(), look.classes
+                known, kind = look.ids(distinct), own.of(distinct)
+                ids, classes = (known[codes], kind[codes]) if len(codes) else (codes, codes)
+                seq, real = with_ends(classes, sizes, 0)
                 w, w1, w2 = seq[real], seq[real - 1], seq[real - 2]
                 logp = (near[w1, w] + far[w2, w] - z[w1, w2]).astype(np.float64) / np.log(10)
                 stop = np.cumsum(sizes)
@@ -209,7 +270,10 @@ def score(docs: DataFrame, counts: Counts, model: Model, doc_id: str = "doc_id",
                 doc_logp = np.add.reduceat(logp, begin + np.arange(len(sizes)))
                 head = ids >= 0
                 base = np.add.reduceat(np.append(np.where(head, look.base[np.maximum(ids, 0)], 0.0), 0), begin) * (sizes > 0) + look.base[0]
-                within = np.add.reduceat(np.append(np.where(head & (ids >= look.known), look.within[np.maximum(ids, 0)], 0.0), 0), begin) * (sizes > 0)
+                # within a hashed class: what its words' counts are divided by, and the counts that are here
+                hashed_class = classes >= own.known
+                part = np.where(hashed_class, -own.spread[np.maximum(classes - own.known, 0)], 0.0) + np.where(hashed_class & head, look.count[np.maximum(ids, 0)], 0.0)
+                within = np.add.reduceat(np.append(part, 0), begin) * (sizes > 0)
                 # words beyond the head: each text's distinct ones and how often
                 tail = np.flatnonzero(~head)
                 owner = np.repeat(np.arange(len(sizes)), sizes)[tail]
@@ -225,13 +289,12 @@ def score(docs: DataFrame, counts: Counts, model: Model, doc_id: str = "doc_id",
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = cut(rows.mapInArrow(task, "uid long, doc_id long, n_tokens long, n_head long, base double, logp double, rare array<struct<word:string,tf:long>>"), "scored")
-    look = Lookup(counts.words, counts.c, counts.tokens, counts.distinct, model.size)
     rare = parts.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     c = F.coalesce(F.col("c"), F.lit(0))
     below = F.log10(F.lit(float(counts.tokens + counts.distinct + 1)))
     found = rare.join(counts.table, "word", "left").groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * (F.log10(c + 1.0) - below)).alias("rest"),
-        F.sum(F.col("tf") * (F.log10(c + 1.0) - F.lit(float(look.spread)))).alias("within"))
+        F.sum(F.col("tf") * F.log10(c + 1.0)).alias("within"))
     zero = F.lit(0)
     return parts.drop("rare").join(found, "uid", "left").select(
         "doc_id", "n_tokens", (F.col("n_head") + F.coalesce("more", zero)).cast("long").alias("n_known"),
@@ -243,13 +306,11 @@ _built: dict = {}
 
 def _worker(shared) -> tuple[Lookup, tuple]:
     """The worker's tables, made once for each model."""
-    words, c, tokens, distinct, size, width, flat = shared.value
-    key = (tokens, distinct, size, float(flat[0]), float(flat[-1]))
+    words, c, tokens, distinct, classes, width, flat = shared.value
+    key = (tokens, distinct, len(flat), float(flat[0]), float(flat[-1]))
     if key not in _built:
         _built.clear()
-        look = Lookup(words, c, tokens, distinct, size)
-        look.end_known = bool(c[0])
-        _built[key] = look, Model(size, width, flat).tables()
+        _built[key] = Lookup(words, c, tokens, distinct, classes), Model(len(classes.prob), width, flat).tables()
     return _built[key]
 
 

@@ -353,7 +353,33 @@ def test_language_model(spark, docs):
     near, far, z = model.tables()
     total = np.exp(near[:, None, :] + far[None, :, :] - z[:, :, None]).sum(2)
     assert np.allclose(total, 1, atol=1e-3)
-    assert all(r.score < 0 for r in got)
+    # every text's score by hand: classes, tables, and counts within the hashed classes
+    classes = model.classes
+    probability = lambda w: (c[w] + 1) / (sum(c[x] for x in c if kind(x) == kind(w)) + sum(kind(x) == kind(w) for x in c) + 1)
+    kind = lambda w: classes.words.index(w) if w in classes.words else classes.known + zlib.crc32(w.encode()) % classes.shared
+    plain = []
+    for i, t in rows_of(docs):
+        ids, found = [0, 0, *(kind(w) for w in words(t))], 0.0
+        for k, w in enumerate(words(t), 2):
+            z = np.logaddexp.reduce(near[ids[k - 1]].astype(float) + far[ids[k - 2]])
+            found += (near[ids[k - 1], ids[k]] + far[ids[k - 2], ids[k]] - z) / math.log(10) + (math.log10(probability(w)) if ids[k] >= classes.known else 0)
+        plain.append((str(i), found))
+    for (a, x), (b, y) in zip(sorted(plain), sorted((str(r.doc_id), r.score) for r in got), strict=True):
+        assert a == b and math.isclose(x, y, rel_tol=1e-4)
+
+
+def test_language_model_is_the_same_for_every_partitioning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    counts = lbl.Counts(lbl.count_words(docs))
+    one, two = (lbl.fit(docs.repartition(n), counts, size=64, width=4, rounds=2, shard_tokens=6000).flat for n in (1, 7))
+    assert np.allclose(one, two, atol=1e-9) and not np.allclose(one, lbl.Model.start(counts.classes(64).prob, 4).flat)
+
+
+def test_language_model_beats_the_base(spark):
+    """Held-out texts get more probability a token than from single words alone."""
+    got = lbl.query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print("gain a token", (got[0] - got[1]) / got[2], got[0] / got[2], got[1] / got[2])
+    assert got[0] - got[1] > 0.005 * got[2]
 
 
 def test_language_model_empty(spark):
