@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import components, cut, fresh, hot_join, numbered, parts, spanning, with_least
+from .text import slices
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that a shard has on average, at most; those that a tree holds.
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, doc_
     """``doc_id, fp`` (the fingerprint's bits as a long) for every row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([simhash(t, shingle, seed) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

@@ -10,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
+#: Rows that are in Python objects at a time where texts are handled one by one.
+SLICE_ROWS = 1000
 
 
 def word_blocks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
@@ -33,6 +35,13 @@ def word_blocks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, pa.A
         at = end
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that a task holds few texts besides the batch itself."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def total(rows: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     """Sum of the equally long float64 arrays in column ``blob``; tasks add up in a tree, so that the
     driver gets at most ``fan_in`` of them however many tasks there were.  None if there is no row."""

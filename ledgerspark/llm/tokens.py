@@ -21,7 +21,7 @@ import regex
 
 #: Fixed value: the pretoken pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PARTS = 300_000
+CACHE_PARTS = 120_000
 CACHE_PART_BYTES = 64
 
 
