@@ -1,14 +1,12 @@
 """Queries that write logs or a database of their own and read them back through the sources.
 
-They show the sources at work; tasks write the logs and the streams' results to the shared folder, the
-database lies on the driver.
+They show the sources at work; logs, the streams' results and the database lie in the shared folder.
 """
 
 from __future__ import annotations
 
 import os
 import sqlite3
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,7 +77,9 @@ def normalize_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sqlite_ro_scan(spark: SparkSession, d: str) -> DataFrame:
-    path = os.path.join(tempfile.mkdtemp(prefix="db-"), "state_1.sqlite")
+    folder = os.path.join(shared_dir(spark).removeprefix("file://"), f"db-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    path = os.path.join(folder, "state_1.sqlite")
     rows = [(r.id, r.cwd) for r in load(spark, d, "fx_sessions").toLocalIterator()]
     c = sqlite3.connect(path)
     c.execute("CREATE TABLE threads (id TEXT PRIMARY KEY, cwd TEXT, tokens_used INTEGER)")
