@@ -347,6 +347,9 @@ def _fold_group(part: pd.DataFrame) -> pd.DataFrame:
     answers, streams, gaps, session = [], {}, [], rows[0]["session_id"]
     for r in rows:
         r["data"], r["refs"] = json.loads(r["data_json"]), [int(x) for x in r["refs"]]
+        for name in ("usage", "thread_token_usage", "total_token_usage", "last_token_usage"):
+            if isinstance(v := r["data"].get(name), dict):  # a category that isn't there is unknown
+                r["data"][name] = {f: v.get(f) for f in TOKEN_FIELDS}
         if r["verdict"]:
             gaps.append({"session_id": session, "record_id": r["record_id"], "code": r["verdict"], "detail_json": "{}"})
         elif r["kind"] == "response_usage":

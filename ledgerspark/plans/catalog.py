@@ -386,9 +386,19 @@ def _(spark, d):
     return found.select("native_id", F.explode("refs").alias("record_id"), F.lit("conflicting_response_usage").alias("code"))
 
 
-@query("ledger_with_responses")
+# Counters say what responses said, so they add no fact where responses count; where copies of responses
+# contradict each other, none counts, and the counters' steps are the facts.
+LAGGING = """with c as (select native_id from fx_responses group by 1 having count(distinct total_tokens) > 1),
+ a as (select native_id, session_id, max(total_tokens) n from fx_responses where native_id not in (select native_id from c) group by 1, 2),
+ s as (select session_id, total_tokens n, row_number() over (partition by session_id order by record_id) k from fx_responses where generation_id = 1 and native_id in (select native_id from c)),
+ f as (select session_id, 'reported_response' as method, n from a union all select session_id, case k when 1 then 'unallocated_historical' else 'reported_cumulative_delta' end, n from s where n > 0)
+ select 'fact' as kind, session_id, method, cast(null as varchar) code, cast(null as bigint) record_id, n input_tokens, cast(null as bigint) cached_input_tokens, cast(null as bigint) cache_write_input_tokens, cast(0 as bigint) output_tokens, cast(null as bigint) reasoning_output_tokens, n total_tokens from f
+ union all select 'gap', session_id, null, 'conflicting_response_usage', record_id, null, null, null, null, null, null from fx_responses where native_id in (select native_id from c)"""
+
+
+@query("ledger_with_responses", LAGGING)
 def _(spark, d):
-    """Counters that lag behind responses; the fold is checked by cases worked out by hand."""
+    """Counters that lag behind responses."""
     text = lambda *pairs: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in pairs])
     n = F.col("total_tokens").cast("string")
     own = text('{"usage":{"input_tokens":', n, ',"output_tokens":0,"total_tokens":', n, "}}")
