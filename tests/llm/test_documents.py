@@ -432,3 +432,16 @@ def test_reply_trees(spark):
     got = {r.leaf: [t for _, t in chat.read_turns(r.formatted)] for r in chat.format_trees(df).collect()}
     assert got == {4: ["q", "a", "high"], 5: ["alone"], 8: ["lost"]}
     assert set(r.leaf for r in chat.format_trees(df, branches=2).collect()) == {3, 4, 5, 8}
+
+
+def test_chat_awkward_inputs(spark):
+    """Columns whose names the operator uses, a long conversation, branches of equal score, an empty table."""
+    n = 3000
+    rows = [(5, k, ["user", "assistant"][k % 2], f"text {k} " + "y" * (k % 50)) for k in range(n)]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "conv_id bigint, turn bigint, role string, text string, depth string, leaf string, formatted string")
+    made = chat.format_trees(chat.chains(df).drop("conv_id"))
+    assert [chat.read_turns(r.formatted) for r in made.collect()] == [[(r, t) for _, _, r, t in rows]]
+    tie = [(1, None, "user", "q", 1.0), (2, 1, "assistant", "x", 2.0), (3, 1, "assistant", "y", 2.0)]
+    trees = spark.createDataFrame(tie, "node bigint, parent bigint, role string, text string, score double")
+    first, again = ([r.leaf for r in chat.format_trees(trees).collect()] for _ in range(2))
+    assert first == again and len(first) == 1
