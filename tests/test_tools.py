@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from ledgerspark.functions.exprs import measure_value
 from ledgerspark.operators import records, tools
 
 DDL = "record_id bigint, kind string, native_id string, session_id string, turn_id string, timestamp string, data_json string, model string, project string, source_id string, byte_start bigint, digest string, parser_version int"
@@ -67,17 +70,27 @@ def test_retries(spark):
     assert got == {"a": (0, None), "b": (1, "a"), "c": (0, "b"), "e": (0, None)}
 
 
-def test_patterns():
-    same = records.pattern("exec_command", {"cmd": "ls"}, "x")
-    assert same == records.pattern("exec_command", '{"cmd":"ls"}', "x") and same["pattern_kind"] == "exact_command"
-    assert same != records.pattern("exec_command", {"cmd": "ls"}, "y")
-    assert records.pattern("fs.read_file", {"path": "a", "limit": 1}, "x")["pattern_kind"] == "exact_read_and_range"
-    assert records.pattern("x", None, "x") == {}
+def test_patterns(spark):
+    def pattern(name, given, salt):
+        df = spark.createDataFrame([(name, None if given is None else json.dumps(given))], "name string, raw string")
+        columns = records.pattern_columns(F.col("name"), records.serialized(F.try_parse_json("raw")), salt)
+        return {k: v for k, v in df.select(*[c.alias(k) for k, c in columns.items()]).first().asDict().items() if v is not None}
+
+    same = pattern("exec_command", {"cmd": "ls"}, "x")
+    assert same == pattern("exec_command", '{"cmd":"ls"}', "x") and same["pattern_kind"] == "exact_command"
+    assert same != pattern("exec_command", {"cmd": "ls"}, "y")
+    assert pattern("fs.read_file", {"path": "a", "limit": 1}, "x")["pattern_kind"] == "exact_read_and_range"
+    assert pattern("x", None, "x") == {}
+
 
+def test_sizes(spark):
+    def size(value, count=None):
+        v = F.try_parse_json("raw")
+        is_json = F.coalesce(F.schema_of_variant(v) != "STRING", F.lit(False))
+        return spark.createDataFrame([(None if value is None else json.dumps(value),)], "raw string").select(measure_value(records.serialized(v), is_json, count).alias("m")).first().m
 
-def test_sizes():
-    assert records.size("héllo")["bytes"] == 6 and records.size("héllo")["characters"] == 5
-    media = records.size([{"type": "input_image", "url": "xxx"}, {"type": "text", "text": "hi"}, {"type": "text", "text": "you"}])
+    assert size("héllo")["bytes"] == 6 and size("héllo")["characters"] == 5
+    media = size([{"type": "input_image", "url": "xxx"}, {"type": "text", "text": "hi"}, {"type": "text", "text": "you"}])
     assert media["characters"] == 6 and media["completeness"] == "partial" and media["scope"] == "extracted_text_only"
-    assert records.size("Output TRUNCATED")["flags"] == ["truncated"] and records.size(None)["bytes"] is None
-    assert records.size("abc", len)["tokens"] == 3
+    assert size("Output TRUNCATED")["flags"] == ["truncated"] and size(None)["bytes"] is None
+    assert size("abc", lambda t: F.char_length(t).cast("long"))["tokens"] == 3
