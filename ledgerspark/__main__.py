@@ -93,7 +93,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "run":
             return _run(a, spark, config, logs)
         databases, unsupported = engine.read_databases(found)
-        events = engine.import_logs(logs, a.salt, tuple(a.finalized_source), runs.counter(runs.tokenizer_map(config.data)), marks(config.data, logs) if a.finalized_source else None)
+        events = engine.import_logs(logs, a.salt, tuple(a.finalized_source), runs.counter(runs.tokenizer_map(config.data), str(config.data / "token_counts")), marks(config.data, logs) if a.finalized_source else None)
         for s in found:
             if s["kind"] == "session_index" and s["disposition"] == "eligible":
                 events = events.unionByName(engine.import_index(s["canonical_path"]))
@@ -123,7 +123,7 @@ def _run(a, spark: SparkSession, config: Config, logs: str) -> int:
         runs.heartbeat(config.data, {"status": "running", "batch": number})
 
     runs.heartbeat(config.data, {"status": "running"})
-    counter = runs.counter(runs.tokenizer_map(config.data))
+    counter = runs.counter(runs.tokenizer_map(config.data), str(config.data / "token_counts"))
     options = {"discoverySeconds": str(a.discovery_interval), "verifySeconds": str(a.reconcile_interval)} | ({} if a.available_now else {"maxBytesPerTrigger": str(256 << 20)})
     worker.start(logs, spark, rebuild, str(config.data / "state"), a.salt, a.poll_interval, store.edges, a.available_now, counter, **options).awaitTermination()
     runs.heartbeat(config.data, {"status": "stopped"})

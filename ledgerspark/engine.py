@@ -13,6 +13,7 @@ from ledgerspark.operators import datasets, enrich, export, graph, inspect_sourc
 from ledgerspark.operators.datasets import Tables
 from ledgerspark.operators.filters import Filters, project_keys
 from ledgerspark.operators.storage import materialize
+from ledgerspark.operators.token_counts import TokenCounter
 from ledgerspark.schema import PARSER_VERSION
 from ledgerspark.sources import inventory, jsonl, sqlite
 
@@ -73,7 +74,7 @@ class Engine:
                 found.setdefault(name, []).append(df)
         return {name: reduce(DataFrame.unionByName, dfs) for name, dfs in found.items()}, bad
 
-    def import_logs(self, path: str, salt: str = "", finalized: tuple[str, ...] = (), counter: records.Counter | None = None, marks: dict | None = None) -> DataFrame:
+    def import_logs(self, path: str, salt: str = "", finalized: tuple[str, ...] = (), counter: TokenCounter | None = None, marks: dict | None = None) -> DataFrame:
         """Typed events of all logs below a path."""
         return records.normalize(self.read_logs(path, finalized, marks).withColumnRenamed("path", "source_id"), salt, counter)
 

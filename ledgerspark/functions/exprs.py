@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -146,16 +145,25 @@ def measure(text: Column) -> Column:
         F.when(text.isNull(), "unknown").when(cut, "partial").otherwise("retained_content").alias("completeness"))
 
 
-def measure_value(text: Column, is_json: Column, count: Callable[[Column], Column] | None = None) -> Column:
+def media_in(text: Column, is_json: Column) -> Column:
+    """Whether serialized JSON holds media.  Nothing but expressions: a media part shows in its type, and no such
+    key can be inside a JSON string, where quotes are escaped."""
+    return is_json & text.rlike(r'(?i)"type":"[^"]*(?:image|audio|video)')
+
+
+def measured_text(text: Column, is_json: Column) -> Column:
+    """The part of a text that counts: all of it, or only the texts in JSON that holds media."""
+    inner = F.transform(F.regexp_extract_all(text, F.lit(r'"text":("(?:[^"\\]|\\.)*")'), F.lit(1)), lambda t: F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0])
+    return F.when(media_in(text, is_json), F.array_join(inner, "\n")).otherwise(text)
+
+
+def measure_value(text: Column, is_json: Column, tokens: Column | None = None) -> Column:
     """Size of a text or of serialized JSON (``is_json``), of which only texts count if it holds media.
 
-    ``count`` gives the tokens of a text column, NULL where no tokenizer is known.  Nothing but expressions:
-    a media part shows in its type, and no such key can be inside a JSON string, where quotes are escaped.
+    ``tokens`` is the number of tokens of its measured text, NULL where no tokenizer is known.
     """
-    media = is_json & text.rlike(r'(?i)"type":"[^"]*(?:image|audio|video)')
-    inner = F.transform(F.regexp_extract_all(text, F.lit(r'"text":("(?:[^"\\]|\\.)*")'), F.lit(1)), lambda t: F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0])
-    seen = F.when(media, F.array_join(inner, "\n")).otherwise(text)
-    tokens = count(seen) if count else F.lit(None).cast("long")
+    media, seen = media_in(text, is_json), measured_text(text, is_json)
+    tokens = F.lit(None).cast("long") if tokens is None else tokens
     cut = F.lower(text).contains("truncated")
     none = F.lit(None).cast("string")
     flags = F.array_compact(F.array(F.when(cut, "truncated"), F.when(media, "unsupported_media")))
@@ -166,6 +174,17 @@ def measure_value(text: Column, is_json: Column, count: Callable[[Column], Colum
         F.when(text.isNull(), "unknown").when(F.size(flags) > 0, "partial").otherwise("retained_content").alias("completeness"), F.when(text.isNotNull(), flags).alias("flags"))
 
 
+def size_json(name: str, when: Column, text: Column, is_json: Column, tokens: Column | None = None, told: dict[str, Column] | None = None) -> Column:
+    """``{"<name>": <size>}`` as text, NULL unless ``when``.  Unknown numbers are named as null; what only a known or
+    counted text has (``told`` of a counted one) is left out otherwise."""
+    size = measure_value(text, is_json, tokens)
+    numbers = F.to_json(F.struct(*[size[c].alias(c) for c in ("bytes", "characters", "tokens")]), {"ignoreNullFields": "false"})
+    extra = [F.when(size["tokens"].isNotNull(), c).alias(k) for k, c in (told or {}).items()]
+    rest = F.to_json(F.struct(*[size[c].alias(c) for c in ("method", "scope", "completeness", "flags")], *extra))
+    inner = F.concat(F.left(numbers, F.char_length(numbers) - 1), F.lit(","), F.substring(rest, F.lit(2), F.char_length(rest) - 1))
+    return F.when(when, F.concat(F.lit(f'{{"{name}":'), inner, F.lit("}")))
+
+
 def strict_int(variant: Column, path: str) -> Column:
     """A JSON integer; true, 1.0 and \"7\" are none."""
     found = F.try_variant_get(variant, path, "variant")

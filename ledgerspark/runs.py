@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import fcntl
 import hashlib
 import json
@@ -14,11 +13,11 @@ from datetime import datetime, timezone
 from pathlib import Path
 from zoneinfo import ZoneInfo
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import merge
+from ledgerspark.operators.token_counts import TokenCounter
 
 
 def now() -> str:
@@ -109,38 +108,9 @@ def tokenizer_map(data: Path) -> dict[str, dict]:
     return good
 
 
-_encodings: dict[str, object] = {}
-
-
-def _encoding(spec: dict):
-    if spec["sha256"] not in _encodings:
-        import tiktoken
-
-        content = Path(spec["bpe_path"]).read_bytes()
-        if hashlib.sha256(content).hexdigest() != spec["sha256"]:
-            raise ValueError("the tokenizer's file changed")
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, content.splitlines()))}
-        _encodings[spec["sha256"]] = tiktoken.Encoding(name=spec["encoding"], pat_str=spec["pattern"], mergeable_ranks=ranks, special_tokens=spec.get("special_tokens", {}))
-    return _encodings[spec["sha256"]]
-
-
-def counter(specs: dict[str, dict]):
-    """A function of columns (text, model): tokens by the model's own tokenizer, NULL for other models.
-
-    Files are read by the tasks, so they must be where tasks run.
-    """
-    if not specs:
-        return None
-
-    @F.pandas_udf("bigint")
-    def count(text: pd.Series, model: pd.Series) -> pd.Series:
-        found = [len(_encoding(specs[m]).encode(t, disallowed_special=())) if isinstance(t, str) and m in specs else None for t, m in zip(text, model, strict=True)]
-        return pd.Series(found, dtype="Int64")
-
-    def columns(text: Column, model: Column) -> Column:
-        return count(text, model)
-
-    return columns
+def counter(specs: dict[str, dict], kept: str | None = None) -> TokenCounter | None:
+    """Counts of texts by their model's tokenizer; with ``kept``, a folder where they stay from import to import."""
+    return TokenCounter(specs, kept) if specs else None
 
 
 # --- displayed values -----------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerspark.operators import records
 from ledgerspark.operators.graph import related
 from ledgerspark.operators.storage import exists, materialize
+from ledgerspark.operators.token_counts import TokenCounter
 from ledgerspark.sources import jsonl
 
 
@@ -32,7 +33,7 @@ class Context:
         at = f"{self.path}/batch={number - 1}"
         return self.spark.read.schema(records.MEMORY).parquet(at) if number and exists(self.spark, at) else None
 
-    def events(self, raw: DataFrame, number: int, salt: str = "", counter: records.Counter | None = None) -> DataFrame:
+    def events(self, raw: DataFrame, number: int, salt: str = "", counter: TokenCounter | None = None) -> DataFrame:
         """Events of a batch as a table; the context after it is kept."""
         before = self.before(number)
         touched = raw.select("source_id", "generation").distinct()
@@ -47,7 +48,7 @@ class Context:
 
 def start(
     raw_path: str, spark: SparkSession, rebuild: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, salt: str = "", seconds: float = 2,
-    edges: Callable[[], DataFrame] | None = None, available_now: bool = False, counter: records.Counter | None = None, **options: str,
+    edges: Callable[[], DataFrame] | None = None, available_now: bool = False, counter: TokenCounter | None = None, **options: str,
 ) -> StreamingQuery:
     """Run until stopped: ``rebuild(sessions, events, number)`` gets the sessions that a batch touches, with all
     that are linked to them.  A batch that is repeated after a failure has the same number, so writes

@@ -236,9 +236,17 @@ def test_tokenizers(spark, tmp_path):
     (tmp_path / "tokenizers.json").write_text(json.dumps({"models": {"m": spec, "wrong": spec | {"sha256": "0"}, "relative": spec | {"bpe_path": "a"}}}))
     specs = runs.tokenizer_map(tmp_path)
     assert set(specs) == {"m"} and runs.tokenizer_map(tmp_path / "none") == {}
-    (tmp_path / "x.jsonl").write_text(head(0, "s") + line("response_item", 1, type="function_call", call_id="c", name="n", arguments="abab") + line("turn_context", 2, model="other") + line("response_item", 3, type="function_call", call_id="d", name="n", arguments="abab"))
-    events = Engine(spark).import_logs(str(tmp_path), counter=runs.counter(specs)).where("kind = 'tool_call'").orderBy("ordinal").collect()
-    assert [(s["tokens"], s["method"]) for s in (json.loads(r.data_json)["argument_size"] for r in events)] == [(2, "local_tokenizer_estimate"), (None, "no_verified_local_tokenizer")]
+    (tmp_path / "x.jsonl").write_text(head(0, "s") + line("turn_context", 1, model="m") + line("response_item", 1, type="function_call", call_id="c", name="n", arguments="abab") + line("response_item", 1, type="function_call", call_id="e", name="n", arguments="abab") + line("turn_context", 2, model="other") + line("response_item", 3, type="function_call", call_id="d", name="n", arguments="abab"))
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "x.jsonl").rename(tmp_path / "logs/x.jsonl")
+    counter = runs.counter(specs, str(tmp_path / "counts"))
+    for k in range(2):  # the second import finds every text counted
+        events = Engine(spark).import_logs(str(tmp_path / "logs"), counter=counter).where("kind = 'tool_call'").orderBy("ordinal").collect()
+        sizes = [json.loads(r.data_json)["argument_size"] for r in events]
+        assert [(s["tokens"], s["method"]) for s in sizes] == [(2, "local_tokenizer_estimate"), (2, "local_tokenizer_estimate"), (None, "no_verified_local_tokenizer")]
+        assert counter.encoded == 1
+    assert {k: sizes[0][k] for k in ("encoding", "mapping", "mapping_sha256")} == {"encoding": "tiny", "mapping": "explicit_local_model_map", "mapping_sha256": spec["sha256"]} and sizes[0]["package_version"]
+    assert set(sizes[2]) == {"bytes", "characters", "tokens", "method", "scope", "completeness", "flags"}  # unknown tokens are named, a tokenizer that isn't there isn't
 
 
 def test_measure_media(spark):
