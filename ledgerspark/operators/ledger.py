@@ -1,9 +1,10 @@
 """The usage ledger: facts that don't overlap, and gaps where nothing can be said.
 
-Cumulative counters without responses are one window pass (``window_ledger``).  Sessions that also
-have per-response records, or several copies of a counter, need a state that moves forward
-(``fold_ledger``), a grouped map per session.  Both give the same rows; ``build`` sends each session the way
-it needs.
+Cumulative counters without responses are one pass of running values (``window_ledger``).  Copies of a counter are
+laid over each other first (``overlap``), and sessions with per-response records are accounted by joins over
+running totals (``checkpoints``).  The definition of all this is a state that moves forward
+(``fold_ledger``), a grouped map per session; it is left for the sessions that those two name.  All ways give the
+same rows; ``build`` sends each session the way it needs.
 """
 
 from __future__ import annotations
@@ -11,16 +12,20 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable
-from difflib import SequenceMatcher
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.exprs import all_zero, key, valid
 from ledgerspark.functions.frames import frame
 from ledgerspark.schema import ACCOUNTING_VERSION, TOKEN_FIELDS
 
+from . import checkpoints
+from .overlap import lay_over, matching_blocks
+from .scan import HOT_ROWS, Running, Scan
 from .storage import materialize
 
 
@@ -48,13 +53,14 @@ def responses(copies: DataFrame, key: str = "native_id", compared: tuple[str, ..
     return rows.select(key, *[F.col("best")[c].alias(c) for c in rest], F.when(F.col("models") <= 1, F.col("best")["model"]).alias("model"), (F.col("versions") > 1).alias("conflict"), "copies", "refs")
 
 
-def window_ledger(observations: DataFrame, fields: dict[str, str], order: tuple[str, ...] = ("ordinal",)) -> DataFrame:
+def window_ledger(observations: DataFrame, fields: dict[str, str], order: tuple[str, ...] = ("ordinal",), segmented: bool = False) -> DataFrame:
     """Outcome of every cumulative observation of sessions without responses.
 
     ``fields`` maps token categories to the columns of running totals.  Columns added: ``outcome`` (a
     gap's code, a fact's method, or null where nothing is to be said), ``also_decrease`` (an
     observation may be both a decrease and something else), ``d_<category>`` (the fact's tokens), and
-    the previous observation's record and time.  Sorting by session is the only shuffle.
+    the previous observation's record and time.  Sorting by session is the only shuffle; ``segmented`` is for
+    sessions that may not fit a task (see ``scan``).
     """
     totals = {f: F.col(c) for f, c in fields.items()}
     get = lambda f: totals.get(f, F.lit(None).cast("bigint"))
@@ -62,18 +68,17 @@ def window_ledger(observations: DataFrame, fields: dict[str, str], order: tuple[
     for c in totals.values():
         known = known | c.isNotNull()
     rows = observations.withColumn("_valid", F.coalesce(F.col("has_total") if "has_total" in observations.columns else known, F.lit(False)) & valid(totals))
-    w = Window.partitionBy("session_id", "_valid").orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     more = [c for c in ("project", "refs", "mark") if c in observations.columns]
-    rows = rows.withColumn("_prev", F.lag(F.struct("record_id", "timestamp", "model", *more, *fields.values())).over(w)).withColumn("_n", F.row_number().over(w))
+    scan = Scan(rows, ("session_id", "_valid"), order, segmented).add(
+        _prev=Running("last", F.struct("record_id", "timestamp", "model", *more, *fields.values()), "before"), _n=Running("sum", F.lit(1).cast("bigint")))
     delta = {f: F.when(F.col("_prev").isNull(), c).otherwise(c - F.col("_prev")[fields[f]]) for f, c in totals.items()}
     drop, moved, unknown = F.lit(False), F.lit(False), F.lit(True)
     for d in delta.values():
         drop, moved, unknown = drop | F.coalesce(d < 0, F.lit(False)), moved | F.coalesce(d != 0, F.lit(False)), unknown & d.isNull()
     zero = all_zero(get("input_tokens"), get("output_tokens"), get("total_tokens"))
-    rows = rows.withColumns({f"d_{f}": d for f, d in delta.items()} | {"_drop": drop, "_moved": moved, "_unknown": unknown, "_zero": zero})
-    last = lambda flag: F.max(F.when(F.col(flag), F.col("_n"))).over(before)
-    rows = rows.withColumn("_uncertain", F.coalesce(last("_drop"), F.lit(0)) > F.coalesce(last("_zero"), F.lit(0)))
+    scan = scan.map(lambda r: r.withColumns({f"d_{f}": d for f, d in delta.items()} | {"_drop": drop, "_moved": moved, "_unknown": unknown, "_zero": zero}))
+    scan = scan.add(_last_drop=Running("max", F.when(F.col("_drop"), F.col("_n"))), _last_zero=Running("max", F.when(F.col("_zero"), F.col("_n"))))
+    rows = scan.rows.withColumn("_uncertain", F.coalesce("_last_drop", F.lit(0)) > F.coalesce("_last_zero", F.lit(0))).drop("_last_drop", "_last_zero")
     first = F.col("_prev").isNull()
     negative = valid({f: F.col(f"d_{f}") for f in fields})
     proven = F.coalesce(F.col("own_origin"), F.lit(False)) if "own_origin" in observations.columns else F.lit(False)
@@ -179,10 +184,10 @@ class SessionLedger:
         main = ranked[0]
         for other in ranked[1:]:
             paired = {}
-            for b in SequenceMatcher(None, [self.mark(r) for r in main], [self.mark(r) for r in other], autojunk=False).get_matching_blocks():
-                if b.size == 1 and not other[b.b].get("turn_id") and not _same_bytes(main[b.a], other[b.b]):
+            for ours, theirs, size in matching_blocks([self.mark(r) for r in main], [self.mark(r) for r in other]):
+                if size == 1 and not other[theirs].get("turn_id") and not _same_bytes(main[ours], other[theirs]):
                     continue
-                paired |= {b.b + k: b.a + k for k in range(b.size)}
+                paired |= {theirs + k: ours + k for k in range(size)}
             for theirs, ours in paired.items():
                 main[ours]["refs"] = main[ours]["refs"] + other[theirs]["refs"]
             times = [r["timestamp"] for r in main if r["timestamp"]]
@@ -274,7 +279,7 @@ def _same_bytes(a: dict, b: dict) -> bool:
 FACTS = "kind string, id string, session_id string, turn_id string, timestamp string, interval_start string, interval_end string, model string, project string, method string, coverage string, " + ", ".join(f"{f} bigint" for f in TOKEN_FIELDS) + ", refs array<bigint>, record_id bigint, code string, detail_json string"
 
 
-def plain_ledger(counters: DataFrame) -> DataFrame:
+def plain_ledger(counters: DataFrame, segmented: bool = False) -> DataFrame:
     """Facts and gaps (``FACTS`` rows) of sessions that have one counter and no responses, by windows.
 
     ``counters`` are merged counter rows, as ``build`` makes them.
@@ -285,7 +290,7 @@ def plain_ledger(counters: DataFrame) -> DataFrame:
     mark = key(F.col("turn_id"), F.col("timestamp"), F.to_json("d.total_token_usage"), F.to_json("d.last_token_usage"))
     rows = rows.select("session_id", "record_id", "ordinal", "turn_id", "timestamp", "model", "project", "refs", F.col("d.total_token_usage").isNotNull().alias("has_total"), own.alias("own_origin"),
         (F.coalesce(F.col("d.parent") != "", F.lit(False)) & ~own).alias("inherited"), mark.alias("mark"), (F.col("d.total_token_usage") == F.col("d.last_token_usage")).alias("last_is_total"), *[F.col(f"d.total_token_usage.{f}").alias(f) for f in TOKEN_FIELDS])
-    led = window_ledger(rows, {f: f for f in TOKEN_FIELDS}, ("ordinal", "record_id"))
+    led = window_ledger(rows, {f: f for f in TOKEN_FIELDS}, ("ordinal", "record_id"), segmented)
     loose = F.col("outcome") == "unallocated_historical"
     owned = lambda c: F.when(~loose, F.col(c)).alias(c)
     unknown = F.lit(False)
@@ -302,15 +307,81 @@ def plain_ledger(counters: DataFrame) -> DataFrame:
     return facts.unionByName(gaps).unionByName(gap(led.where("also_decrease"), F.lit("unresolved_counter_decrease"), detail))
 
 
-def build(observations: DataFrame) -> DataFrame:
+def _none(*names: str) -> list:
+    kinds = dict(c.split(" ", 1) for c in FACTS.split(", "))
+    return [F.lit(None).cast(kinds[n]).alias(n) for n in names]
+
+
+def _gaps(rows: DataFrame, code, detail) -> DataFrame:
+    return rows.select(F.lit("gap").alias("kind"), *_none("id"), "session_id", *_none("turn_id", "timestamp", "interval_start", "interval_end", "model", "project", "method", "coverage", *TOKEN_FIELDS, "refs"), "record_id", code.alias("code"), detail.alias("detail_json"))
+
+
+def _facts(rows: DataFrame, name, method, tokens, refs, since, loose) -> DataFrame:
+    own = lambda c: F.when(~loose, F.col(c)).alias(c)
+    partial = reduce(or_, [tokens[f].isNull() for f in TOKEN_FIELDS])
+    return rows.select(
+        F.lit("fact").alias("kind"), name.alias("id"), "session_id", own("turn_id"), own("timestamp"), since.alias("interval_start"), F.col("timestamp").alias("interval_end"), own("model"), own("project"), method.alias("method"),
+        F.when(partial, "partial_categories").otherwise("reported").alias("coverage"), *[tokens[f].alias(f) for f in TOKEN_FIELDS], F.array_sort(F.array_distinct(refs)).alias("refs"), *_none("record_id", "code", "detail_json"))
+
+
+def response_ledger(rows: DataFrame, segmented: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(facts and gaps, sessions that must be folded)`` of sessions with responses, or with two copies of a counter.
+
+    Of the second no row is in the first.
+    """
+    rows = checkpoints.parsed(rows)
+    counters, answers = rows.where("kind <> 'response_usage'"), checkpoints.answered(rows.where("kind = 'response_usage' and verdict is null"))
+    streams = counters.groupBy(F.col("session_id").alias("_ss")).agg(F.count_distinct(F.coalesce(F.col("generation_id").cast("string"), F.lit(""))).alias("_streams"))
+    counters = counters.withColumn("generation_id", F.coalesce(F.col("generation_id").cast("string"), F.lit(""))).join(streams, F.col("session_id").eqNullSafe(F.col("_ss"))).drop("_ss")
+    many = counters.where("_streams > 2").select("session_id")
+    one = counters.where("_streams = 1").drop("_streams").withColumn("o1", F.lit("")).withColumn("o2", F.col("ordinal"))
+    laid, ambiguous, search = lay_over(counters.where("_streams = 2").drop("_streams"), segmented)
+    laid = laid.withColumn("o1", F.coalesce("timestamp", F.lit(""))).withColumn("o2", F.col("ordinal"))
+    outcomes, covered, doubtful = checkpoints.account(one.unionByName(laid), answers.where("outcome is null"), segmented)
+    folded = materialize(many.unionByName(search).unionByName(doubtful).distinct(), "folded")
+    clear = lambda df: df.join(folded.select(F.col("session_id").alias("_f")), F.col("session_id").eqNullSafe(F.col("_f")), "left_anti")
+    no, told = F.lit("{}"), F.lit('{"method":"reported_response"}')
+    said = _facts(clear(answers.where("outcome is null")), key(F.col("session_id"), F.lit("reported_response"), F.col("native_id")), F.lit("reported_response"), F.col("d.usage"), F.col("refs"), F.lit(None).cast("string"), F.lit(False))
+    out = said.unionByName(_gaps(clear(answers.where("outcome is not null")), F.col("outcome"), told)).unionByName(_gaps(clear(rows.where("verdict is not null")), F.col("verdict"), no)).unionByName(_gaps(clear(ambiguous), F.lit("ambiguous_source_overlap"), no))
+    known = clear(outcomes)
+    behind = covered.groupBy(F.col("record_id").alias("_b")).agg(F.collect_list("answer").alias("answers"))
+    made = known.where(F.col("outcome").isin(*FACT_METHODS)).join(behind, F.col("record_id") == F.col("_b"), "left")
+    switched = F.col("prev").isNotNull() & (~F.col("model").eqNullSafe(F.col("prev.model")) | ~F.col("project").eqNullSafe(F.col("prev.project")))
+    made = made.withColumns({c: F.when(~switched, F.col(c)) for c in ("model", "project")})
+    none = F.array().cast("array<bigint>")
+    refs = F.concat("refs", F.coalesce("prev.refs", none), F.coalesce("answers", none))
+    out = out.unionByName(_facts(made, key(F.col("session_id"), F.col("outcome"), F.col("mark"), F.col("prev.mark")), F.col("outcome"), F.col("tokens"), refs, F.col("prev.timestamp"), F.col("outcome") == "unallocated_historical"))
+    out = out.unionByName(_gaps(known.where(F.col("outcome").isNotNull() & ~F.col("outcome").isin(*FACT_METHODS)), F.col("outcome"), no))
+    last = F.col("d.last_token_usage").isNotNull() & F.coalesce(checkpoints.same(F.col("d.last_token_usage"), F.col("d.total_token_usage")), F.lit(False))
+    detail = F.to_json(F.struct(last.alias("last_equals_total"), (~F.col("turn_id").eqNullSafe(F.col("prev.turn_id"))).alias("new_turn"), F.col("prev.record_id").alias("previous_record")))
+    return out.unionByName(_gaps(known.where("also_decrease"), F.lit("unresolved_counter_decrease"), detail)), folded
+
+
+def build(observations: DataFrame, most: int = HOT_ROWS) -> DataFrame:
     """Facts and gaps of all sessions (see ``fold_ledger``), each by the way that it needs.
 
-    Only sessions with responses, or with several copies of a counter, go through the fold.
+    Sessions of more than ``most`` rows are scanned in segments.  Only sessions with three or more copies of a
+    counter, with copies whose order has to be searched, or whose responses don't match in order are folded.
     """
     rows = settled(observations)
-    need = rows.groupBy(F.col("session_id").alias("_s")).agg((F.max((F.col("kind") == "response_usage").cast("int")) + (F.count_distinct(F.when(F.col("kind") != "response_usage", F.coalesce(F.col("generation_id").cast("string"), F.lit("")))) > 1).cast("int") > 0).alias("_fold"))
+    answer = F.col("kind") == "response_usage"
+    need = rows.groupBy(F.col("session_id").alias("_s")).agg((F.max(answer.cast("int")) + (F.count_distinct(F.when(~answer, F.coalesce(F.col("generation_id").cast("string"), F.lit("")))) > 1).cast("int") > 0).alias("_joined"), (F.count("*") > most).alias("_hot"))
     rows = materialize(rows.join(need, F.col("session_id").eqNullSafe(F.col("_s"))).drop("_s"), "settled")
-    return plain_ledger(rows.where("not _fold")).unionByName(rows.where("_fold").drop("_fold").groupBy("session_id").applyInPandas(_fold_group, FACTS))
+    parts = []
+    for hot in (False, True):
+        own = rows.where(F.col("_hot") == hot)
+        if hot and own.isEmpty():
+            continue
+        parts.append(plain_ledger(own.where("not _joined").drop("_joined", "_hot"), hot))
+        both = own.where("_joined").drop("_joined", "_hot")
+        if both.isEmpty():
+            continue
+        made, folded = response_ledger(both, hot)
+        parts.append(made)
+        if not folded.isEmpty():
+            left = both.join(folded.select(F.col("session_id").alias("_f")), F.col("session_id").eqNullSafe(F.col("_f")), "left_semi")
+            parts.append(left.groupBy("session_id").applyInPandas(_fold_group, FACTS))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_ledger(observations: DataFrame) -> DataFrame:

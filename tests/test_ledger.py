@@ -2,11 +2,14 @@
 
 import json
 import random
+from difflib import SequenceMatcher
 
+import hypothesis
 import pytest
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import ledger
+from ledgerspark.operators import ledger, overlap, scan
 
 DDL = "record_id bigint, kind string, session_id string, turn_id string, timestamp string, model string, project string, native_id string, data_json string, generation_id bigint, ordinal bigint, superseded int, source_id bigint, byte_start bigint, digest string, parser_version int"
 
@@ -29,9 +32,21 @@ def response(n, used, native="r1", thread=None, **more):
     return row(n, "response_usage", {"usage": used, "thread_token_usage": thread}, native=native, **more)
 
 
+def frame(spark, rows):
+    return spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in DDL.split(", ")) for r in rows], DDL)
+
+
+def shown(r):
+    """A row without its id and details, whose texts differ between the ways."""
+    d = r.asDict()
+    return str({k: v for k, v in d.items() if k not in ("id", "detail_json")})
+
+
 def run(spark, rows):
-    df = spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in DDL.split(", ")) for r in rows], DDL)
+    """Facts and gaps by the fold, which is the definition; the joins must give the same."""
+    df = frame(spark, rows)
     out = ledger.fold_ledger(df).collect()
+    assert sorted(map(shown, ledger.build(df).collect())) == sorted(map(shown, out))
     return [r for r in out if r.kind == "fact"], [r for r in out if r.kind == "gap"]
 
 
@@ -136,6 +151,96 @@ def test_counter_with_offset(spark):
     assert total(facts) == [150, 40, 60, 8] and not gaps
 
 
+def sessions_with_responses(seed, n_sessions=60):
+    """Responses and counters that lag, begin with an offset, repeat, go back, or lack times and categories."""
+    g = random.Random(seed)
+    rows, n = [], 0
+    for s in range(n_sessions):
+        own, session, second = [], f"s{s:02d}", 0
+        i = o = g.choice([0, 0, 50])
+        thread_i = thread_o = 0
+        waiting = []
+        if i:
+            own.append(("c", i, o, 0))
+        for k in range(g.randrange(1, 8)):
+            second += g.randrange(0, 3)
+            di, do = g.randrange(0, 4), g.randrange(0, 3)
+            thread_i, thread_o, i, o = thread_i + di, thread_o + do, i + di, o + do
+            shown_thread = None if g.random() < 0.15 else usage(thread_i, thread_o, 0, 0)
+            own.append(("r", usage(di, do, 0, 0) if g.random() > 0.05 else usage(di, None, 0, 0), shown_thread, second))
+            waiting.append((i, o))
+            while waiting and g.random() < 0.6:
+                second += g.randrange(0, 2)
+                own.append(("c", *waiting.pop(0), second))
+            if g.random() < 0.05:
+                own.append(("c", 0, 0, second))
+                i = o = 0
+            if g.random() < 0.08:
+                own.append(("c", i + g.randrange(-3, 9), o, second))
+        for kind, *x in own:
+            n += 1
+            more = dict(session=session, second=x[-1], turn=g.choice(["t", "t", "u", None]), model=g.choice(["a", "a", "b"]))
+            if g.random() < 0.02:
+                more["timestamp"] = None
+            if kind == "r":
+                rows.append(response(n, x[0], f"{session}-{n}" if g.random() > 0.03 else f"{session}-same", x[1], **more))
+            else:
+                rows.append(counter(n, None if g.random() < 0.03 else usage(x[0], x[1], 0, 0), **more, **({"parent": "p", "own_counter_origin": g.random() < 0.5} if g.random() < 0.05 else {})))
+    return rows
+
+
+@pytest.mark.parametrize("seed,segmented", [(0, False), (1, False), (2, True)])
+def test_joins_equal_fold(spark, seed, segmented, monkeypatch):
+    rows = sessions_with_responses(seed)
+    df = frame(spark, rows)
+    monkeypatch.setattr(scan.Scan.__init__, "__defaults__", (False, 40))
+    made = ledger.build(df, most=8 if segmented else 10**6)
+    assert sorted(map(shown, made.collect())) == sorted(map(shown, ledger.fold_ledger(df).collect()))
+    _, folded = ledger.response_ledger(ledger.settled(df))
+    assert folded.count() < 40  # the joins do most of the work
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_copies_of_counters(spark, seed):
+    """Two histories of each session: parts of one, shifted, cut, with repeats and with rows of their own."""
+    g = random.Random(seed)
+    rows, n = [], 0
+    for s in range(40):
+        i, ours = 0, []
+        for k in range(g.randrange(2, 9)):
+            i += g.randrange(0, 3)
+            ours.append((i, k, g.choice(["t", None, ""])))
+        low = g.randrange(len(ours))
+        theirs = ours[low : low + g.randrange(1, 6)]
+        if g.random() < 0.3:
+            theirs = [x for x in theirs if g.random() < 0.6] or theirs
+        if g.random() < 0.15:
+            g.shuffle(theirs)
+        theirs += [(i + 2 + k, 20 + k, "t") for k in range(g.randrange(0, 3))]
+        for gen, side in ((1, ours), (2, theirs)):
+            for o, (v, second, turn) in enumerate(side):
+                n += 1
+                rows.append(counter(n, usage(v, 0, 0, 0), session=f"s{s}", gen=gen, second=second, turn=turn, ordinal=o, superseded=int(s % 3 == 0 and gen == 1)))
+        if g.random() < 0.3:
+            rows.append(response(n := n + 1, usage(1, 0, 0, 0), f"r{s}", usage(1, 0, 0, 0), session=f"s{s}", second=1))
+    run(spark, rows)
+    _, folded = ledger.response_ledger(ledger.settled(frame(spark, rows)))
+    assert folded.count() < 25
+
+
+@hypothesis.settings(max_examples=300, deadline=None)
+@hypothesis.given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
+def test_matching_blocks(a, b):
+    want = [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    assert overlap.matching_blocks(a, b) == want
+
+
+def test_matching_blocks_of_many_equal_marks():
+    """Repeated marks cost no more than different ones."""
+    a, b = [1] * 20000, [1] * 15000
+    assert overlap.matching_blocks(a, b) == [(0, 0, 15000)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_window_equals_fold(spark, seed):
     g = random.Random(seed)
