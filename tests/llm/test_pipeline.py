@@ -27,7 +27,7 @@ def test_stages(spark, sf):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "SimHash near-dedup", "secret scan", "source mixing", "best-fit packing"]
 
 

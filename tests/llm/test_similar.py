@@ -51,3 +51,33 @@ def test_every_similar_pair_is_found(kept):
 def test_only_similar_documents_go(kept):
     got, want = kept
     assert got == want
+
+
+def test_pairs_of_a_bucket(spark, monkeypatch):
+    """Every pair of different roots that sketches allow comes up, also where a bucket is cut into chunks."""
+    import numpy as np
+
+    from ledgerspark.llm import similar
+
+    g = np.random.default_rng(7)
+    base = g.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.append(base[: 60 - k % 9], g.integers(0, 2**63, k % 7, dtype=np.uint64))) for k in range(80)]
+    rows = [(k, len(s), similar.odd_sketch(s).tobytes()) for k, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "key long, n long, sketch binary")
+    open_ = spark.createDataFrame([(5, k, k % 11) for k in range(80)] + [(6, k, k % 3) for k in range(20)], "h long, key long, root long")
+    for size in (4096, 9):
+        monkeypatch.setattr(similar, "BUCKET_ROWS", size)
+        got = {tuple(sorted((r.a, r.b))) for r in similar.bucket_pairs(open_, nodes, False).collect()}
+        near = {(a, b) for a in range(80) for b in range(a) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b])) and a % 11 != b % 11}
+        assert {(b, a) for a, b in near} <= got and len(got) < 80 * 79 // 2
+        forest = {(r.a % 11, r.b % 11) for r in similar.bucket_pairs(open_.where("h = 5"), nodes, True).collect()}
+        assert len(forest) >= 10 and (size > 80) == (len(forest) == 10)
+
+
+def test_equal_texts_in_many_partitions(spark):
+    """Copies of one text, in any number of partitions, and long groups of near copies become one document each."""
+    words = [f"v{k}" for k in range(60)]
+    rows = [(k, "same text of more than five words " * 4) for k in range(700)]
+    rows += [(1000 + k, " ".join([*words[:30], f"x{k}", *words[30:]])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 1000]
