@@ -411,7 +411,60 @@ def _(spark, d):
     rows = seen.unionByName(later)
     rows = rows.select("*", F.lit(None).cast("string").alias("turn_id"), F.date_format(F.timestamp_seconds(F.lit(1_780_000_000) + F.col("ordinal") % 1_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(None).cast("string").alias("project"), F.lit(0).alias("superseded"),
         F.lit(None).cast("bigint").alias("source_id"), F.lit(None).cast("bigint").alias("byte_start"), F.lit(None).cast("string").alias("digest"), F.lit(6).alias("parser_version"))
-    return ledger.fold_ledger(rows).select("kind", "session_id", "method", "code", "record_id", *TOKEN_FIELDS)
+    return ledger.build(rows).select("kind", "session_id", "method", "code", "record_id", *TOKEN_FIELDS)
+
+
+def _observed(rows: DataFrame) -> DataFrame:
+    """Columns of observations that a fixture doesn't set."""
+    rest = {"turn_id": "string", "project": "string", "native_id": "string", "source_id": "bigint", "byte_start": "bigint", "digest": "string", "superseded": "int", "parser_version": "int"}
+    return rows.withColumns({c: F.lit(0 if c in ("superseded", "parser_version") else None).cast(t) for c, t in rest.items() if c not in rows.columns})
+
+
+def _at(seconds: F.Column) -> F.Column:
+    return F.date_format(F.timestamp_seconds(F.lit(1_780_000_000) + seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+OFFSET = 1_000_000_000
+OFFSETS = f"""select session_id, 'unallocated_historical' as method, cast(null as varchar) code, {OFFSET} total_tokens, 1 tokens_of from (select distinct session_id from fx_responses where generation_id = 1)
+ union all select session_id, 'reported_response', null, total_tokens, 1 from fx_responses where generation_id = 1"""
+
+
+@query("ledger_offset", OFFSETS)
+def _(spark, d):
+    """Counters that began before responses did: the second counter shows by how much, and from then on each
+    counter comes after the response that follows the one it tells of.  No step is counted twice, none is a gap."""
+    base = load(spark, d, "fx_responses").where("generation_id = 1")
+    w = ds.Window.partitionBy("session_id").orderBy("record_id")
+    base = base.withColumn("k", F.row_number().over(w)).withColumn("run", F.sum("total_tokens").over(w))
+    vector = lambda n: F.struct(n.cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"), n.cast("bigint").alias("total_tokens"))
+    said = base.select("record_id", F.lit("response_usage").alias("kind"), "session_id", "native_id", "model", F.to_json(F.struct(vector(F.col("total_tokens")).alias("usage"), vector(F.col("run")).alias("thread_token_usage"))).alias("data_json"), F.col("k").cast("bigint").alias("ordinal"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("turn_id"), _at(10 * F.col("k")).alias("timestamp"))
+    late = F.when(F.col("k") == 1, 15).otherwise(10 * (F.col("k") + 1) + 5)
+    shown = lambda rows, n, k, at: rows.select((F.col("record_id") + at).alias("record_id"), F.lit("cumulative_usage").alias("kind"), "session_id", "model", F.to_json(F.struct(vector(F.lit(OFFSET) + n).alias("total_token_usage"))).alias("data_json"), k.cast("bigint").alias("ordinal"), F.lit("c").alias("turn_id"))
+    counters = shown(base, F.col("run"), F.col("k"), 5_000_000).join(base.select((F.col("record_id") + 5_000_000).alias("record_id"), _at(late).alias("timestamp")), "record_id")
+    begin = shown(base.where("k = 1"), F.lit(0), F.lit(0), 9_000_000).withColumn("timestamp", _at(F.lit(0)))
+    rows = _observed(said.unionByName(counters.unionByName(begin), allowMissingColumns=True).withColumn("generation_id", F.lit(1).cast("bigint")))
+    return ledger.build(rows).select("session_id", "method", "code", "total_tokens", F.lit(1).alias("tokens_of"))
+
+
+TWO_STREAMS = f"""with {LEDGER}, p as (select *, case when row_number() over (partition by session_id order by ordinal) = 1 then record_id else record_id + 10000000 end rid from o)
+ select 'fact' as kind, session_id, outcome as method, cast(null as varchar) code, cast(null as bigint) record_id, di input_tokens, do_ output_tokens from p where outcome in ('unallocated_historical', 'reported_cumulative_delta')
+ union all select 'gap', session_id, null, outcome, rid, null, null from p where outcome is not null and outcome not in ('unallocated_historical', 'reported_cumulative_delta')
+ union all select 'gap', session_id, null, 'unresolved_counter_decrease', rid, null, null from p where also_decrease"""
+
+
+@query("ledger_two_streams", TWO_STREAMS)
+def _(spark, d):
+    """Two copies of every counter, of which one lacks the first row and the other the last: laid over each other
+    they are the whole history, once."""
+    w = ds.Window.partitionBy("session_id")
+    base = load(spark, d, "fx_observations").withColumn("k", F.row_number().over(w.orderBy("ordinal"))).withColumn("n", F.count("*").over(w))
+    vector = F.struct("input_tokens", "output_tokens")
+    data = F.struct(F.when(F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(), vector).alias("total_token_usage"), F.when(F.col("inherited"), F.lit("p")).alias("parent"))
+    base = base.select("k", "n", "record_id", "session_id", "ordinal", "model", F.lit("t").alias("turn_id"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.to_json(data).alias("data_json"), F.lit("cumulative_usage").alias("kind"))
+    first = base.where("k < n or n = 1").withColumn("generation_id", F.lit(1).cast("bigint"))
+    second = base.where("k > 1").withColumn("record_id", F.col("record_id") + 10_000_000).withColumn("generation_id", F.lit(2).cast("bigint"))
+    found = ledger.build(_observed(first.unionByName(second).drop("k", "n")))
+    return found.select("kind", "session_id", "method", "code", "record_id", "input_tokens", "output_tokens")
 
 
 @query("physical_merge", "select source_id, byte_start, digest, arg_max(record_id, parser_version * 100000000 + record_id) record_id, max(parser_version) parser_version, arg_max(owner, parser_version * 100000000 + record_id) as owner, count(*) copies from fx_record_copies group by 1, 2, 3")
