@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import usable
-from .shared import components, cut, hot_join, spanning, with_least, with_total
+from .shared import components, cut, hot_join, spanning, with_least
 
 COSINE = 0.98
 #: Vectors of a graph at most; queries of a task.
@@ -32,9 +32,7 @@ LEAST_SHARDS, PAIR_ROWS = 2, 256
 #: Neighbours that a node chooses and that choose it; beams for building and asking; queries audited.
 DEGREE, BACK, BUILD_BEAM, BEAM, AUDIT = 12, 12, 40, 40, 256
 #: Nearest neighbours that an audit looks for, and the part of them that it must find.
-NEAREST, REACH = 4, 0.85
-#: Distinct vectors of a component that are counted once more, and of a cell that compares them.
-EXACT_ROWS, CELL_ROWS = 2000, 250
+NEAREST, REACH = 4, 0.9
 BATCH = 256
 
 
@@ -233,17 +231,6 @@ def links_to(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, names: t
     return a, b, np.bincount(i, times[j], len(q)).astype(np.int64), (beam, len(truth), seen, best.size, near)
 
 
-def count_links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """``node, n``: rows of linked vectors, itself not counted.  side: 1 counted for, 2 counted, 3 both."""
-    out = []
-    for _, part in rows.groupby("root", sort=False):
-        x, node, times, side = unit(np.stack(part.v.to_numpy())), part.node.to_numpy(), part.times.to_numpy(), part.side.to_numpy()
-        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        hit = (x[left] @ x[right].T >= cosine) & (node[left][:, None] != node[right])
-        out.append(pd.DataFrame({"node": node[left], "n": hit @ times[right]}))
-    return pd.concat(out) if out else pd.DataFrame({"node": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -272,10 +259,9 @@ class Search:
         nodes = used.groupBy("group", "v").agg(F.count("*").alias("times"), F.min("vec_id").alias("low"))
         nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         edges, hit = self._links(nodes, cosine)
-        joined = cut(with_total(components(edges), "root", F.count("*").alias("size"), "node"), "joined")
-        linked = nodes.join(joined.withColumnRenamed("node", "_node"), nodes.node == F.col("_node"), "left").drop("_node")
+        linked = nodes.join(components(edges).withColumnRenamed("node", "_node"), nodes.node == F.col("_node"), "left").drop("_node")
         linked = cut(linked.withColumn("root", F.coalesce("root", "node")), "linked")
-        counted = self._count(linked, cosine).unionByName(hit.join(linked.where(F.col("size") > EXACT_ROWS).select("node"), "node", "left_semi")).groupBy("node").agg(F.sum("n").alias("n"))
+        counted = hit.groupBy("node").agg(F.sum("n").alias("n"))
         named = with_least(linked.select("group", "v", "times", "low", "node", "root"), "root", "low", "node").join(counted, "node", "left")
         named = cut(named.select(F.col("group").alias("_group"), F.col("v").alias("_v"), "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("least").alias("component_id")), "named")
         part = hot_join(used, named, [("group", "_group"), ("v", "_v")], "times").select("vec_id", "n_links", "component_id")
@@ -325,18 +311,6 @@ class Search:
         pairs = lambda x, y: every.select(F.explode(F.arrays_zip(x, y)).alias("e")).select(f"e.{x}", f"e.{y}")
         return pairs("a", "b"), pairs("nodes", "n").withColumnRenamed("nodes", "node")
 
-    def _count(self, linked: DataFrame, cosine: float) -> DataFrame:
-        """``node, n`` parts of the exact numbers of linked rows in components of up to EXACT_ROWS vectors."""
-        member = cut(linked.where(F.col("size") <= EXACT_ROWS).withColumn("k", F.ceil(F.col("size") / CELL_ROWS).cast("int")).select("node", "times", "v", "root", "k"), "members")
-        own = F.pmod(F.xxhash64(F.lit("cell"), "node"), F.col("k")).cast("int")
-        spread = max(linked.sparkSession.sparkContext.defaultParallelism, member.count() // 1000)
-        small = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(spread)).alias("cell"), F.lit(3).alias("side")))
-        cell = lambda i, j: F.xxhash64(F.lit("pair"), "root", i, j)
-        large = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.when(j == F.col("own"), F.array(F.struct(cell(j, j).alias("cell"), F.lit(3).alias("side")))).otherwise(
-            F.array(F.struct(cell(F.col("own"), j).alias("cell"), F.lit(1).alias("side")), F.struct(cell(j, F.col("own")).alias("cell"), F.lit(2).alias("side"))))))
-        cells = member.withColumn("own", own).withColumn("e", F.explode(F.when(F.col("k") == 1, small).otherwise(large))).select("e.cell", "e.side", "root", "node", "times", "v")
-        return cells.groupBy("cell").applyInPandas(lambda p: count_links(p, cosine), "node long, n long")
-
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

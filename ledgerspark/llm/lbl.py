@@ -49,13 +49,15 @@ class Counts:
         # words are taken by classes of counts, the most frequent first, as long as all of a class fit, so
         # that tasks send no more than the head between them
         level = F.floor(F.log2("c") * 16)
-        size, least = 0, None
+        size, kept = 0, F.lit(False)
         for r in sorted(table.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
             size += r["count"]
-            if size > head:
+            if size > head:  # of the class that doesn't fit a share, by hash
+                part = 1 - (size - head) / r["count"]
+                kept = kept | (level == r.level) & (F.pmod(F.xxhash64(F.lit("head"), "word"), F.lit(1 << 20)) < int(part * (1 << 20)))
                 break
-            least = r.level
-        rows = [] if least is None else table.where((level >= least) & (F.col("word") != END)).collect()
+            kept = kept | (level == r.level)
+        rows = table.where(kept & (F.col("word") != END)).collect()
         rows.sort(key=lambda r: (-r.c, r.word))
         end = table.where(F.col("word") == END).first()
         self.words = [END, *(r.word for r in rows)]
@@ -176,13 +178,19 @@ def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray,
     return out, np.flatnonzero(real)
 
 
-def fit(docs: DataFrame, counts: Counts, text: str = "text", size: int = VOCABULARY, width: int = WIDTH, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> Model:
-    """Train on all of ``docs``, once; the result doesn't depend on how the table is partitioned."""
+def fit(docs: DataFrame, counts: Counts, text: str = "text", doc_id: str = "doc_id", size: int = VOCABULARY, width: int = WIDTH, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """Train on all of ``docs``, once; the result doesn't depend on how the table is partitioned.
+
+    Rounds grow with the logarithm of the corpus, from ``rounds`` on, so that shards of a larger one are averaged
+    more often.  Rows are dealt by id (if there is one) and text, so copies of a text spread over shards.
+    """
     spark, classes = docs.sparkSession, counts.classes(size)
     prob, shared = classes.prob, docs.sparkSession.sparkContext.broadcast(classes)
     model, gather = Model.start(prob, width, classes=classes), np.full(2 * len(prob) * width + len(prob) + 2 * width, 1e-4)
+    rounds = max(rounds, (counts.tokens // (rounds * shard_tokens)).bit_length())
     shards = max(1, -(-counts.tokens // (rounds * shard_tokens)))
-    key = F.xxhash64(F.lit("shard"), F.coalesce(F.col(text), F.lit("")))
+    own = F.col(doc_id).cast("long") if doc_id in docs.columns else F.lit(None).cast("long")
+    key = F.xxhash64(F.lit("shard"), F.coalesce(own, F.lit(-1)), F.coalesce(F.col(text), F.lit("")))
     dealt = docs.select(F.pmod(key, F.lit(rounds)).cast("int").alias("round"), F.pmod(F.shiftright(key, 8), F.lit(shards)).cast("long").alias("shard"), F.col(text).alias("text"))
 
     def train(texts: Iterator[pa.Array], start: Model, seen_before: np.ndarray, seed: int) -> np.ndarray:

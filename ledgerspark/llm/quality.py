@@ -184,15 +184,16 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     ``labels`` are the rows to learn from: ids with 0 or 1, null labels ignored; an id that has both
     counts as 1 if most of its rows do.  About ``most`` labelled documents are used, all
-    if there are no more.  Null and empty
+    if there are no more; rows that share a labelled id are one of them.  Null and empty
     texts have a score too; without labels every score is 0.5.  Rows with equal or null ids are scored
     each by itself; other columns are ignored; an empty table gives no rows.
     """
     features = pooled(docs, word_vectors(docs, text), doc_id, text, row)
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("_id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y"))
     chosen = share(cut(known, "known"), "_id", most)
-    rows = features.join(chosen, features.doc_id == chosen._id).select("doc_id", "features", "y").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.features)))
+    # rows that share a labelled id are one example, so that the chosen ids bound what is collected
+    rows = features.join(chosen, features.doc_id == chosen._id).groupBy("doc_id", "y").agg(F.min("features").alias("features")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     x = np.frombuffer(b"".join(r.features for r in rows), "<f4").reshape(-1, 2 * WIDTH + 1).astype(float)
     net = docs.sparkSession.sparkContext.broadcast(Network(x, np.array([r.y for r in rows], float)))
 

@@ -229,7 +229,7 @@ SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_ids", pa.in
 READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_tokens(docs: DataFrame, vocab: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", each: int = 5000) -> DataFrame:
+def write_tokens(docs: DataFrame, vocab: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", each: int = 5000, each_bytes: int = 32_000_000) -> DataFrame:
     """Encode whole texts and write shards in ascending ``doc_id`` order; returns the written table.
 
     Null texts count as empty; each document ends with ``end_id``; null ids come first; rows with
@@ -237,7 +237,8 @@ def write_tokens(docs: DataFrame, vocab: str, end_id: int = 0, doc_id: str = "do
     ``part, shard, n_ids, blob``: parts follow one another in id order, shards within a part too.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-count // each), -(-size // each_bytes))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -268,7 +269,8 @@ def write_tokens(docs: DataFrame, vocab: str, end_id: int = 0, doc_id: str = "do
         if held:
             yield flush()
 
-    placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text is part of the range, so that rows with one id (or none) needn't meet in one task
+    placed = rows.repartitionByRange(n, "doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
     return cut(placed.mapInArrow(task, "part int, shard int, n_ids long, blob binary"), "tokens")
 
 

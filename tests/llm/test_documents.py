@@ -445,3 +445,68 @@ def test_chat_awkward_inputs(spark):
     trees = spark.createDataFrame(tie, "node bigint, parent bigint, role string, text string, score double")
     first, again = ([r.leaf for r in chat.format_trees(trees).collect()] for _ in range(2))
     assert first == again and len(first) == 1
+
+
+# --- 5, plainly ---------------------------------------------------------------------------------------
+
+
+def test_quality_by_hand(spark):
+    """Word vectors, pooling, the curve and the temperature against a plain recomputation."""
+    texts = ["Alpha beta, alpha", "beta GAMMA gamma!", "alpha", "", None, "(delta) 12 beta"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    n, m = quality.WORD_PLACES, quality.SHAPE_PLACES
+    seen = []
+    for t in texts:
+        w = (t or "").split()
+        own = [zlib.crc32(x.strip(quality._PUNCTUATION).lower().encode()) % n for x in w]
+        look = [zlib.crc32(quality.shape(x).encode()) % (m // 2) + (m // 2) * (k > 0 and w[k - 1] == x) for k, x in enumerate(w)]
+        seen.append((own, look))
+    vectors = []
+    for side, size, seed in ((0, n, 17), (1, m, 18)):
+        where, sign = quality.index_vectors(size, seed)
+        index = np.zeros((size, quality.WIDTH))
+        np.add.at(index, (np.arange(size)[:, None], where), sign)
+        around = np.zeros((size, quality.WIDTH))
+        for pair in seen:
+            ids = pair[side]
+            for a, b in zip(ids, ids[1:]):
+                around[a] += index[b]
+                around[b] += index[a]
+        vectors.append((around / np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9) + index).astype(np.float32))
+    made = quality.word_vectors(df)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(made, vectors, strict=True))
+    got = {r.doc_id: np.frombuffer(r.features, "<f4") for r in quality.pooled(df, made).collect()}
+    for i, (own, look) in enumerate(seen):
+        want = np.concatenate([v[ids].mean(0) if ids else np.zeros(quality.WIDTH) for v, ids in zip(vectors, (own, look), strict=True)] + [[math.log1p(len(own))]])
+        assert np.allclose(got[i], want, atol=1e-5)
+    g = np.random.default_rng(0)
+    x = g.normal(size=(300, 5))
+    y = (x[:, 0] + 0.5 * g.normal(size=300) > 0).astype(float)
+    net = quality.Network(x, y)
+    z = np.tanh((x - net.mean) / net.scale @ net.p[0] + net.p[1]) @ net.p[2] + net.p[3]
+    assert np.allclose(net.probability(x), 1 / (1 + np.exp(-z / net.temperature)))
+    held = np.arange(300) % quality.CALIBRATE == 0
+    loss = lambda t: -np.mean(np.where(y[held] > 0, np.log(1 / (1 + np.exp(-z[held] / t))), np.log(1 - 1 / (1 + np.exp(-z[held] / t)))))
+    assert loss(net.temperature) <= min(loss(net.temperature * 1.1), loss(net.temperature / 1.1)) + 1e-9
+    assert np.mean((net.probability(x) >= 0.5) == (y > 0)) > 0.8
+
+
+def test_quality_of_a_repeated_labelled_id(spark):
+    """Rows that share a labelled id are one example, and each is scored by itself."""
+    df = spark.createDataFrame([(1, "good words here"), (1, "bad bad bad"), (1, "good words here"), (2, "more words")], "doc_id long, text string")
+    got = quality.classify(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 1, 2] and len({r.score for r in got if r.doc_id == 1}) == 2
+
+
+def test_frequent_words_of_one_count(spark):
+    """Where more words than the head are equally frequent, a share of them is taken."""
+    counts = lbl.Counts(spark.createDataFrame([(f"w{k}", 3) for k in range(2000)] + [("", 10)], "word string, c long"), head=500)
+    assert 350 < len(counts.words) < 650 and counts.tokens == 6010 and counts.distinct == 2001
+
+
+def test_training_spreads_copies(spark):
+    """Copies of one text are dealt over shards by their ids, whatever the partitions."""
+    df = spark.createDataFrame([(k, "same words in each of the texts") for k in range(400)], "doc_id long, text string")
+    counts = lbl.Counts(lbl.count_words(df))
+    one, other = (lbl.fit(df.repartition(n), counts, size=32, width=4, shard_tokens=200) for n in (1, 7))
+    assert np.allclose(one.flat, other.flat)
