@@ -93,16 +93,18 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "run":
             return _run(a, spark, config, logs)
         databases, unsupported = engine.read_databases(found)
+        store = Store(spark, str(config.data / "store"), a.retry_window)
+        if a.command == "export" and not a.logs and store.snapshot()["version"] >= 0:
+            # what `run` keeps is there already; databases and labels are read as they are now
+            engine.tables = store.tables(databases, runs.labels(spark, config.data))
+            return _export(a, engine, output)
         events = engine.import_logs(logs, a.salt, tuple(a.finalized_source), runs.counter(runs.tokenizer_map(config.data), str(config.data / "token_counts")), marks(config.data, logs) if a.finalized_source else None)
         for s in found:
             if s["kind"] == "session_index" and s["disposition"] == "eligible":
                 events = events.unionByName(engine.import_index(s["canonical_path"]))
         tables = engine.rebuild(events, retry_seconds=a.retry_window, databases=databases, labels=runs.labels(spark, config.data), salt=a.salt)
         if a.command == "export":
-            filters = {f: getattr(a, f) for f in FILTERS if getattr(a, f)}
-            said = engine.export(a.dataset, a.format, filters, str(output) if output else None)
-            sys.stdout.write(said or json.dumps({"output": str(output)}) + "\n")
-            return 0
+            return _export(a, engine, output)
         if a.command == "audit":
             made = engine.audit_sources(tables.records)
             sources = made["sources"].cache()
@@ -115,6 +117,13 @@ def main(argv: list[str] | None = None) -> int:
         return _say(result, output) or int(bool(unsupported))
 
 
+def _export(a, engine: Engine, output) -> int:
+    filters = {f: getattr(a, f) for f in FILTERS if getattr(a, f)}
+    said = engine.export(a.dataset, a.format, filters, str(output) if output else None)
+    sys.stdout.write(said or json.dumps({"output": str(output)}) + "\n")
+    return 0
+
+
 def _run(a, spark: SparkSession, config: Config, logs: str) -> int:
     store = Store(spark, str(config.data / "store"), a.retry_window)
 
@@ -125,7 +134,7 @@ def _run(a, spark: SparkSession, config: Config, logs: str) -> int:
     runs.heartbeat(config.data, {"status": "running"})
     counter = runs.counter(runs.tokenizer_map(config.data), str(config.data / "token_counts"))
     options = {"discoverySeconds": str(a.discovery_interval), "verifySeconds": str(a.reconcile_interval)} | ({} if a.available_now else {"maxBytesPerTrigger": str(256 << 20)})
-    worker.start(logs, spark, rebuild, str(config.data / "state"), a.salt, a.poll_interval, store.edges, a.available_now, counter, **options).awaitTermination()
+    worker.start(logs, spark, rebuild, str(config.data / "state"), a.salt, a.poll_interval, None, a.available_now, counter, **options).awaitTermination()
     runs.heartbeat(config.data, {"status": "stopped"})
     return 0
 

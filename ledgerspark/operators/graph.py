@@ -76,17 +76,44 @@ def ancestors(edges: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def related(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``session``: everything linked to the seeds in either direction."""
-    both = edges.select("parent_id", "child_id").unionByName(edges.select(F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id")))
-    return reach(both, seeds.select(F.col("session").alias("root"))).select(F.col("node").alias("session")).distinct()
+    return expand(components(edges), seeds)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def expand(labels: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``session``: the seeds and all that share a component with one, by labels ``(session, component)``."""
+    own = seeds.select("session").where("session is not null").distinct()
+    hit = labels.join(own, "session", "left_semi").select("component").distinct()
+    return own.unionByName(labels.join(hit, "component", "left_semi").select("session")).distinct()
+
+
+def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``session, component`` rows that new edges change or add; labels that no edge touches stay as they are.
+
+    Edges become edges between components, of which there are no more than new edges, and only components that
+    these join are renamed.
+    """
+    links = edges.select(F.col("parent_id").alias("a"), F.col("child_id").alias("b")).where("a is not null and b is not null").distinct()
+    known = lambda c: labels.select(F.col("session").alias(f"_{c}"), F.col("component").alias(f"_l{c}"))
+    named = links.join(known("a"), F.col("a") == F.col("_a"), "left").join(known("b"), F.col("b") == F.col("_b"), "left")
+    named = materialize(named.select("a", "b", F.coalesce("_la", "a").alias("la"), F.coalesce("_lb", "b").alias("lb"), F.col("_la").isNull().alias("new_a"), F.col("_lb").isNull().alias("new_b")), "named")
+    joined = components(named.select(F.col("la").alias("parent_id"), F.col("lb").alias("child_id"))).select(F.col("session").alias("_old"), F.col("component").alias("_new"))
+    moved = labels.join(joined, F.col("component") == F.col("_old")).where("_new <> component").select("session", F.col("_new").alias("component"))
+    added = named.where("new_a").select(F.col("a").alias("session")).unionByName(named.where("new_b").select(F.col("b").alias("session"))).distinct()
+    return moved.unionByName(added.join(joined, F.col("session") == F.col("_old")).select("session", F.col("_new").alias("component")))
+
+
+def components(edges: DataFrame, most: int = SENT_EDGES) -> DataFrame:
     """``session, component``: the smallest session id linked in either direction.
 
-    Labels fall to the smallest neighbour's and then follow their own label, so the number of rounds
-    is logarithmic; every step is a join or a partial minimum, safe for hubs.
+    Up to ``most`` edges are joined in one place.  Beyond that labels fall to the smallest neighbour's and then
+    follow their own label, so the number of rounds is logarithmic; every step is a join or a partial
+    minimum, safe for hubs.
     """
-    both = materialize(edges.select(F.col("parent_id").alias("a"), F.col("child_id").alias("b")).union(edges.select("child_id", "parent_id")).where("a is not null and b is not null").distinct(), "edges")
+    pairs = edges.select(F.col("parent_id").alias("a"), F.col("child_id").alias("b")).where("a is not null and b is not null")
+    sent = pairs.limit(most + 1).toArrow() if most else None
+    if sent is not None and sent.num_rows <= most:
+        return _joined(edges.sparkSession, sent)
+    both = materialize(pairs.union(pairs.select("b", "a")).distinct(), "edges")
     label = materialize(both.groupBy(F.col("a").alias("session")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "label")
     while True:
         near = both.join(label, both.b == label.session).select(F.col("a").alias("session"), "component")
@@ -96,3 +123,18 @@ def components(edges: DataFrame) -> DataFrame:
         if new.join(label.withColumnRenamed("component", "old"), "session").where("component <> old").isEmpty():
             return new
         label = new
+
+
+def _joined(spark, links: pa.Table) -> DataFrame:
+    up: dict[str, str] = {}
+
+    def top(v: str) -> str:
+        while up.setdefault(v, v) != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    names = list(up)
+    return spark.createDataFrame(pa.table({"session": pa.array(names, pa.string()), "component": pa.array([top(v) for v in names], pa.string())}))

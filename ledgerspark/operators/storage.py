@@ -40,3 +40,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if it isn't there."""
+    jvm, where = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that readers see the old text or the new one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    made, where = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}-{uuid.uuid4().hex}", path))
+    fs = made.getFileSystem(conf)
+    stream = fs.create(made, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    made, where = fs.makeQualified(made), fs.makeQualified(where)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), conf).rename(made, where, over)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path; none if it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()] if fs.exists(where) else []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerspark import __main__ as cli
 from ledgerspark import runs
 from ledgerspark.engine import Engine, numbered
-from ledgerspark.operators import enrich, inspect_sources, ledger, merge, records
+from ledgerspark.operators import enrich, graph, inspect_sources, ledger, merge, records
 from ledgerspark.operators.filters import Filters
 from ledgerspark.sources import inventory, jsonl, sqlite
 from ledgerspark.streaming import worker
@@ -149,7 +149,7 @@ def test_store_equals_rebuild(spark, tmp_path):
     at.mkdir()
 
     def go():
-        worker.start(str(at), spark, store.rebuild, str(tmp_path / "state"), edges=store.edges, available_now=True).awaitTermination()
+        worker.start(str(at), spark, store.rebuild, str(tmp_path / "state"), available_now=True).awaitTermination()
 
     for half in (0, 1):
         for name, text in LOGS.items():
@@ -168,6 +168,85 @@ def test_store_equals_rebuild(spark, tmp_path):
     assert ("e", 9 + 4) in {(r.session_id, r.total_tokens) for r in store.read("facts").collect()}
 
 
+def events_of(spark, rows):
+    kinds = dict(c.split() for c in records.EVENTS.split(", "))
+    base = {"source_id": "f", "generation": 1, "byte_start": 0, "byte_end": 1, "digest": "d", "timestamp": "2026-09-01T12:00:00Z"}
+    return spark.createDataFrame([tuple((base | r).get(c) for c in kinds) for r in rows], records.EVENTS)
+
+
+def usage_event(session, n, value, **more):
+    data = {"usage": {"input_tokens": value, "output_tokens": 0, "total_tokens": value}}
+    return {"ordinal": n, "byte_start": n, "kind": "response_usage", "session_id": session, "native_id": f"{session}-{n}", "data_json": json.dumps(data)} | more
+
+
+def take(spark, store, number, rows):
+    events = events_of(spark, rows)
+    store.rebuild(events.selectExpr("session_id as session").distinct(), events, number)
+
+
+def held(store):
+    return sorted((r.session_id, r.total_tokens) for r in store.read("facts").collect())
+
+
+def test_store_commits_at_once(spark, tmp_path, monkeypatch):
+    """A batch that dies between two tables leaves the snapshot before it; done again it counts once."""
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    take(spark, store, 0, [usage_event("a", 1, 5), usage_event("b", 2, 7)])
+    opened = store.read("facts")
+    write = Store._write
+
+    def dies(self, draft, number, name, *rest):
+        if name == "calls":
+            raise RuntimeError("killed")
+        write(self, draft, number, name, *rest)
+
+    monkeypatch.setattr(Store, "_write", dies)
+    with pytest.raises(RuntimeError):
+        take(spark, store, 1, [usage_event("a", 3, 11)])
+    assert held(store) == [("a", 5), ("b", 7)] and store.snapshot()["version"] == 0 and store.events().count() == 2
+    monkeypatch.setattr(Store, "_write", write)
+    for _ in range(2):  # the second time it was committed
+        take(spark, store, 1, [usage_event("a", 3, 11)])
+        assert held(store) == [("a", 5), ("a", 11), ("b", 7)]
+    assert sorted((r.session_id, r.total_tokens) for r in opened.collect()) == [("a", 5), ("b", 7)]  # a reader of the old snapshot reads on
+    take(spark, store, 2, [usage_event("b", 4, 1)])
+    assert held(store) == [("a", 5), ("a", 11), ("b", 1), ("b", 7)]
+
+
+def test_store_of_a_file_that_tells_of_others(spark, tmp_path):
+    """A file that begins anew and names other sessions supersedes what it said of the old ones."""
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    count = lambda session, n, total, gen: {"ordinal": n, "byte_start": n, "generation": gen, "kind": "cumulative_usage", "session_id": session, "data_json": json.dumps({"total_token_usage": {"input_tokens": total, "output_tokens": 0, "total_tokens": total}})}
+    other = {"source_id": "g", "generation": 1}
+    take(spark, store, 0, [count("a", 1, 5, 1), count("a", 2, 9, 1), count("a", 1, 5, 1) | other])
+    take(spark, store, 1, [count("z", 1, 3, 2)])
+    rows = {(r.session_id, r.superseded) for r in Store._latest(store.events().drop("superseded"), store.read("files")).select("session_id", "superseded").collect()}
+    assert rows == {("a", 1), ("a", 0), ("z", 0)}
+    assert {s for s, _ in held(store)} == {"a", "z"} and ("a", 5) in held(store)
+
+
+def test_labels_follow_edges(spark):
+    """Components that grow by batches of edges are those of all edges; only joined ones change."""
+    import random
+
+    g, names = random.Random(3), [f"n{k:02d}" for k in range(40)]
+    kind = "parent_id string, child_id string"
+    labels, every = spark.createDataFrame([], "session string, component string"), []
+    for _ in range(4):
+        batch = [(g.choice(names), g.choice(names)) for _ in range(9)]
+        every += batch
+        changed = graph.merge_components(labels, spark.createDataFrame(batch, kind))
+        moved = {r.session: r.component for r in changed.collect()}
+        old = {r.session: r.component for r in labels.collect()}
+        assert all(old.get(s) != c for s, c in moved.items())
+        labels = spark.createDataFrame(list((old | moved).items()), "session string, component string")
+    edges = spark.createDataFrame(every, kind)
+    want = {r.session: r.component for r in graph.components(edges).collect()}
+    assert {r.session: r.component for r in labels.collect()} == want == {r.session: r.component for r in graph.components(edges, 0).collect()}
+    seeds = spark.createDataFrame([("n00",), ("lonely",)], "session string")
+    assert {r.session for r in graph.related(edges, seeds).collect()} == {s for s, c in want.items() if c == want.get("n00")} | {"n00", "lonely"}
+
+
 def test_context_over_batches_equals_one_batch(spark, tmp_path):
     """A file that replays its parent, cut after every record."""
     text = head(0, "child", parent_thread_id="parent", subagent_history_start_ordinal=6) + head(1, "parent") + counter(2, 5) + line("turn_context", 3, model="late", turn_id="t9") + counter(4, 8, 3) + call(5, "c")
