@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import datasets, enrich, export, graph, inspect_sources, ledger, merge, preview, records, tools
+from ledgerspark.operators import datasets, enrich, export, graph, inspect_sources, ledger, merge, pages, preview, provenance, records, tools
 from ledgerspark.operators.datasets import Tables
 from ledgerspark.operators.filters import Filters, project_keys
+from ledgerspark.operators.scan import hot
 from ledgerspark.operators.storage import materialize
 from ledgerspark.operators.token_counts import TokenCounter
 from ledgerspark.schema import PARSER_VERSION
@@ -116,7 +117,7 @@ class Engine:
         logs = seen.where("session_id is not null").groupBy(F.col("session_id").alias("id")).agg(F.min_by(F.col("project"), F.when(F.col("project").isNotNull(), F.col("record_id"))).alias("cwd"))
         paths = facts.select("project").unionByName(calls.select("project")).select(F.col("project").alias("path"))
         self.tables = Tables(
-            usage_facts=facts, tool_calls=calls, gaps=gaps, edges=edges, patterns=materialize(tools.retries(calls, retry_seconds), "patterns"),
+            usage_facts=facts, tool_calls=calls, gaps=gaps, edges=edges, patterns=materialize(tools.retries(calls, retry_seconds, hot(calls, ("session_id",))), "patterns"),
             events=timed(seen).withColumn("id", F.col("record_id")), records=seen, sessions=materialize(enrich.sessions(logs, held), "sessions"), projects=projects, project_keys=materialize(project_keys(projects, paths), "keys"),
             labels=self.spark.createDataFrame([], "session_id string, label string") if labels is None else labels, sources=sources,
             fact_sources=facts.selectExpr("id as fact_id", "explode(refs) as record_id"), tool_sources=calls.selectExpr("id as tool_id", "explode(refs) as record_id"), extra={"turns": enrich.turns(held)})
@@ -165,15 +166,18 @@ class Engine:
         """The ledger against an independent reading of the same events: by source, and by response id."""
         return {"sources": inspect_sources.audit_sources(events, self.tables.usage_facts), "responses": inspect_sources.audit_responses(events, self.tables.usage_facts, self.tables.fact_sources, self.tables.records)}
 
+    def verify(self, records: DataFrame | None = None) -> DataFrame:
+        """Where records stand (all, or those of ``record_id`` rows), and whether their bytes are still those that were read."""
+        rows = self.tables.records
+        return provenance.verify(rows if records is None else rows.join(records.select("record_id"), "record_id", "left_semi"))
+
     def provenance(self, record_id: int) -> list[dict]:
-        """Where a record stands, and whether its bytes are still those that were read."""
-        rows = self.tables.records.where(F.col("record_id") == record_id).select("record_id", "source_id", "generation", "byte_start", "byte_end", "digest", "kind").collect()
-        out = []
-        for r in rows:
-            found = r.asDict()
-            table = r.source_id in ("thread_items", "thread_realtime_items")
-            out.append(found | {"verification": "database_row_locator; revision checked during ingestion" if table else preview.verify(r.source_id, r.byte_start, r.byte_end, r.digest)[0]})
-        return out
+        """The same for one record."""
+        return [r.asDict() for r in provenance.verify(self.tables.records.where(F.col("record_id") == record_id)).collect()]
+
+    def pages(self, name: str, by: list[pages.By], filters: Filters | dict | None = None) -> pages.Pages:
+        """A dataset in an order that is kept, for readers that go from page to page."""
+        return pages.Pages(self.dataset(name, filters, None), by)
 
     def command_preview(self, found: list[dict]) -> dict:
         return preview.command_preview(found)

@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back; the table goes when the application ends."""
+def materialize(df: DataFrame, name: str, folders_by: str | None = None) -> DataFrame:
+    """Write (in a folder for each value of ``folders_by``, if given) and read back; the table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(folders_by) if folders_by else df.write).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.exprs import display_name, elapsed_ms, key, sum_or_unknown
 
 from .graph import ancestors
 from .ledger import physical_merge
+from .scan import Running, Scan
 
 #: Completed items that are tool invocations.
 TOOL_TYPES = ("commandExecution", "mcpToolCall", "dynamicToolCall", "fileChange", "webSearch", "imageView", "collabAgentToolCall", "sleep", "imageGeneration", "functionCallOutput")
@@ -104,14 +105,14 @@ def occurrences(calls: DataFrame) -> DataFrame:
     return rows.where("pattern_hash is not null").dropDuplicates(["id", "pattern_hash"])
 
 
-def retries(calls: DataFrame, window_seconds: float = 600) -> DataFrame:
+def retries(calls: DataFrame, window_seconds: float = 600, segmented: bool = False) -> DataFrame:
     """``pattern_hash, tool_id, kind, likely_retry, previous_tool_id``.
 
     A likely retry repeats, in its session and within the window, a call that failed; unknown times
-    don't count.
+    don't count.  ``segmented`` is for repeats of one call that may not fit a task (see ``scan``).
     """
-    w = Window.partitionBy("session_id", "pattern_hash").orderBy(F.coalesce(F.col("timestamp").cast("string"), F.lit("")), "id")
-    rows = occurrences(calls).withColumn("before", F.lag(F.struct("id", "status", "timestamp")).over(w))
+    rows = occurrences(calls).withColumn("_at", F.coalesce(F.col("timestamp").cast("string"), F.lit("")))
+    rows = Scan(rows, ("session_id", "pattern_hash"), ("_at", "id"), segmented).add(before=Running("last", F.struct("id", "status", "timestamp"), "before")).rows
     gap = elapsed_ms(F.col("before.timestamp"), F.col("timestamp"))
     retry = F.coalesce((F.col("before.status") == "failed") & (gap <= window_seconds * 1000), F.lit(False)).cast("int")
     return rows.select("pattern_hash", F.col("id").alias("tool_id"), "kind", retry.alias("likely_retry"), F.col("before.id").alias("previous_tool_id"), "session_id")

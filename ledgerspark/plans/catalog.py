@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import exprs
 from ledgerspark.operators import datasets as ds
-from ledgerspark.operators import enrich, export, graph, inspect_sources, ledger, merge, records, tools
+from ledgerspark.operators import enrich, export, graph, inspect_sources, ledger, merge, pages, records, tools
 from ledgerspark.operators.filters import Filters, project_keys
 from ledgerspark.schema import ROUGH_METHOD, TOKEN_FIELDS
 
@@ -537,10 +537,21 @@ def _(spark, d):
     return load(spark, d, "events").select("event_id", kind.alias("pattern_kind"), value.alias("pattern_hash"))
 
 
-@query("tool_display_name", "select * from (values (1, 'functions.exec'), (2, 'exec_command'), (3, 'srv.lookup'), (4, 'srv.lookup'), (5, 'apply_patch'), (6, 'webSearch'), (7, 'unknown_tool')) t(id, name)")
+SHOWN_NAMES = """with q as (select *, cast(json_extract_string(props, '$.k') as bigint) k from events),
+ c as (select event_id, case when k % 8 = 0 then 'srv.' || event_type when k % 4 = 0 then event_type end as name, case when k % 3 = 0 then 'tool' || k end tool,
+  case k % 5 when 0 then 'exec_command' when 1 then 'apply_patch' when 2 then 'webSearch' end typed, case k % 6 when 0 then 'srv' when 1 then '' when 2 then 'functions' end ns from q),
+ p as (select event_id, ns, coalesce(name, tool, typed, 'unknown_tool') plain from c)
+ select event_id, case when ns <> '' and not starts_with(plain, ns || '.') then ns || '.' || plain else plain end as name from p"""
+
+
+@query("tool_display_name", SHOWN_NAMES)
 def _(spark, d):
-    rows = [(1, "exec", None, None, "functions"), (2, None, None, "commandExecution", None), (3, None, "lookup", "mcpToolCall", "srv"), (4, "srv.lookup", None, None, "srv"), (5, None, None, "fileChange", None), (6, None, None, "webSearch", ""), (7, None, None, None, None)]
-    return spark.createDataFrame(rows, "id int, name string, tool string, type string, ns string").select("id", exprs.display_name(F.col("name"), F.col("tool"), F.col("type"), F.col("ns")).alias("name"))
+    """Names of calls of which only some have a name, a tool, a type or a namespace."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = load(spark, d, "events").withColumn("k", k).withColumns({
+        "name": F.expr("case when k % 8 = 0 then concat('srv.', event_type) when k % 4 = 0 then event_type end"), "tool": F.expr("case when k % 3 = 0 then concat('tool', k) end"),
+        "type": F.expr("case k % 5 when 0 then 'commandExecution' when 1 then 'fileChange' when 2 then 'webSearch' end"), "ns": F.expr("case k % 6 when 0 then 'srv' when 1 then '' when 2 then 'functions' end")})
+    return rows.select("event_id", exprs.display_name(F.col("name"), F.col("tool"), F.col("type"), F.col("ns")).alias("name"))
 
 
 # --- scalar functions -----------------------------------------------------------------------------
@@ -591,10 +602,19 @@ def _(spark, d):
     return load(spark, d, "fx_tool_calls").select("id", exprs.key(F.col("session_id"), F.col("model")).alias("made"))
 
 
-@query("canonical_paths", r"select * from (values (1, 'c:\work\repo'), (2, 'c:\work\repo'), (3, '\\server\share\dir'), (4, '/home/a/b'), (5, '/home/a/b'), (6, '/')) t(id, path)")
+PATHS = r"""with q as (select page_id, regexp_replace(url, '^[a-z]+:/', '') p from pages)
+ select page_id, case page_id % 4 when 0 then rtrim('c:' || lower(replace(p, '/', '\')), '\') when 1 then rtrim('c:' || lower(replace(p, '/', '\')), '\')
+  when 2 then rtrim('\' || lower(replace(p, '/', '\')), '\') else rtrim(regexp_replace('/' || p || '/', '/+', '/', 'g'), '/') end as path from q"""
+
+
+@query("canonical_paths", PATHS)
 def _(spark, d):
-    rows = [(1, "\\\\?\\C:\\Work\\Repo"), (2, "C:/work/Repo/"), (3, "\\\\?\\UNC\\Server\\Share\\Dir"), (4, "/home//a/b/"), (5, "/home/a/b"), (6, "/")]
-    return spark.createDataFrame(rows, "id int, path string").select("id", exprs.canonical_path(F.col("path")).alias("path"))
+    """Paths of pages as Windows writes them (with a long-path prefix, slashes, or a share) and as others do."""
+    p = F.regexp_replace("url", "^[a-z]+:/", "")
+    back = F.replace(p, F.lit("/"), F.lit("\\"))
+    kind = F.col("page_id") % 4
+    made = F.when(kind == 0, F.concat(F.lit("\\\\?\\C:"), back)).when(kind == 1, F.concat(F.lit("C:"), p, F.lit("/"))).when(kind == 2, F.concat(F.lit("\\\\?\\UNC"), back)).otherwise(F.concat(F.lit("/"), p, F.lit("/")))
+    return load(spark, d, "pages").select("page_id", exprs.canonical_path(made).alias("path"))
 
 
 @query("strict_int_projection", "with q as (select event_id, props from events union all select * from (values (-1, '{\"k\": 1.0}'), (-2, '{\"k\": true}'), (-3, '{\"k\": \"7\"}'), (-4, '{\"k\": 7}'), (-5, 'no json')) t(event_id, props)) select event_id, case when event_id = -4 or event_id >= 0 then cast(json_extract_string(props, '$.k') as bigint) end k from q")
@@ -712,14 +732,14 @@ def _(spark, d):
     return rows.select("id", "name", "status", "result_characters", exprs.rough_tokens("result_characters").alias("rough_result_tokens"), F.col("record_id").cast("string").alias("provenance_ids"))
 
 
-@query("enrichment_sessions", """with c as (select concat('s', c_custkey % 60) id, min(c_name) cwd, concat('proj', min(c_nationkey)) project_id, min(c_custkey) n from customer where c_custkey <= 150 group by 1),
+@query("enrichment_sessions", """with c as (select concat('s', c_custkey % 60) id, min(c_name) cwd, concat('proj', min(c_nationkey)) project_id, min(c_custkey) n from customer group by 1),
  k as (select 'm' || r_regionkey id, case when r_regionkey % 2 = 0 then 'local' else 'remote' end host_kind from region)
  select coalesce(c.id, s.id) id, coalesce(c.cwd, s.cwd) cwd, c.project_id, strftime(make_timestamp((1780000000 + c.n) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') created_at, c.n reported_state_tokens, coalesce(k.host_kind, 'local') host_kind,
   case when k.host_kind = 'remote' then 'remote_metadata_only' else 'unknown' end coverage
  from fx_sessions s full join c on c.id = s.id left join k on k.id = s.id""")
 def _(spark, d):
     """Sessions that logs name, with what a state database and a catalogue with its hosts say."""
-    state = load(spark, d, "customer").where("c_custkey <= 150").groupBy(F.concat(F.lit("s"), F.col("c_custkey") % 60).alias("id")).agg(F.min("c_name").alias("cwd"), F.concat(F.lit("proj"), F.min("c_nationkey")).alias("project_id"), F.min("c_custkey").alias("n"))
+    state = load(spark, d, "customer").groupBy(F.concat(F.lit("s"), F.col("c_custkey") % 60).alias("id")).agg(F.min("c_name").alias("cwd"), F.concat(F.lit("proj"), F.min("c_nationkey")).alias("project_id"), F.min("c_custkey").alias("n"))
     state = state.select("id", "cwd", "project_id", (F.lit(1_780_000_000) + F.col("n")).alias("created_at"), F.lit(None).cast("bigint").alias("updated_at"), F.lit(0).alias("archived"), F.col("n").alias("tokens_used"))
     region = load(spark, d, "region")
     threads = region.select(F.concat(F.lit("h"), "r_regionkey").alias("host_id"), F.concat(F.lit("m"), "r_regionkey").alias("thread_id"), F.lit(None).cast("string").alias("cwd"), F.lit(None).cast("string").alias("project_id"))
@@ -825,10 +845,31 @@ def _(spark, d):
     return records.forward_context(rows, ["said"], "header").select("session_id", "record_id", F.col("said").alias("model"), "epoch")
 
 
-@query("item_adapter", "select * from (values (1, 'commandExecution', 1500.0, 3), (2, 'mcpToolCall', null, 2), (3, 'webSearch', 7.0, null), (4, 'userMessage', null, null)) t(id, type, duration_ms, result_bytes)")
+ITEMS = """with q as (select *, cast(json_extract_string(props, '$.k') as bigint) k from events)
+ select event_id, case event_id % 4 when 0 then 'commandExecution' when 1 then 'mcpToolCall' when 2 then 'webSearch' else 'userMessage' end as type,
+  cast(case event_id % 4 when 0 then k * 1000 + 500 when 2 then k end as decimal(12, 1)) duration_ms, case when event_id % 4 < 2 then cast(strlen(event_type) as bigint) end result_bytes from q"""
+
+
+@query("item_adapter", ITEMS)
+def _(spark, d):
+    """Items in either spelling, with durations as structs and numbers, and results under several names."""
+    k, name = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_type")
+    json_of = lambda *pairs: F.to_json(F.struct(*[v.alias(n) for n, v in pairs]))
+    kind = F.col("event_id") % 4
+    item = (
+        F.when(kind == 0, json_of(("type", F.lit("CommandExecution")), ("duration", F.struct(k.alias("secs"), F.lit(500_000_000).alias("nanos"))), ("aggregated_output", name)))
+        .when(kind == 1, json_of(("type", F.lit("mcpToolCall")), ("result", name))).when(kind == 2, json_of(("type", F.lit("WebSearch")), ("duration_ms", k), ("result", name))).otherwise(json_of(("type", F.lit("UserMessage")), ("result", name))))
+    rows = records.item_metrics(load(spark, d, "events").select("event_id", item.alias("item_json")))
+    return rows.select("event_id", "type", F.col("duration_ms").cast("decimal(12,1)").alias("duration_ms"), "result_bytes")
+
+
+@query("results_keyset_page3", _tools_sql("result_bytes desc nulls last, id", "limit 25 offset 50"))
 def _(spark, d):
-    rows = [(1, '{"type":"CommandExecution","duration":{"secs":1,"nanos":500000000},"aggregated_output":"abc"}'), (2, '{"type":"mcpToolCall","result":"hi"}'), (3, '{"type":"WebSearch","duration_ms":7}'), (4, '{"type":"UserMessage"}')]
-    return records.item_metrics(spark.createDataFrame(rows, "id int, item_json string")).select("id", "type", F.col("duration_ms").cast("decimal(5,1)").alias("duration_ms"), "result_bytes").withColumn("result_bytes", F.col("result_bytes").cast("int"))
+    """The third page by two cursors over an order that is kept."""
+    kept = pages.Pages(ds.results(tables(spark, d), limit=None), [pages.By("result_bytes", True), pages.By("id")])
+    _, cursor = kept.after(None, 25)
+    _, cursor = kept.after(cursor, 25)
+    return kept.frame(cursor, 25)
 
 
 from . import sources_demo  # noqa: E402

@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import records
-from ledgerspark.operators.storage import shared_dir
+from ledgerspark.operators import provenance, records
+from ledgerspark.operators.storage import materialize, shared_dir
 from ledgerspark.sources import jsonl, sqlite
 
 from .fixtures import load
@@ -132,5 +132,28 @@ def stream_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return _halves(spark, d, True).withColumn("again", F.col("generation") > 1)
 
 
-QUERIES = {f.__name__: f for f in (jsonl_tail_batch, normalize_records, sqlite_ro_scan, stream_append, stream_rewrite)}
-ORACLE = {"jsonl_tail_batch": RECORDS, "normalize_records": EVENTS, "sqlite_ro_scan": DATABASE, "stream_append": RECORDS, "stream_rewrite": REWRITE}
+#: Every seventh session's file gets another byte in its middle.
+VERIFIED = f"""with {LINES}, t as (select *, max(stop) over (partition by session_id) total from lines)
+  select session_id, ord as ordinal, case when cast(substr(session_id, 2) as int) % 7 = 0 and stop - strlen(line) - 1 <= total // 2 and total // 2 < stop then 'source_changed' else 'digest_matches' end verification from t"""
+
+
+def provenance_verified(spark: SparkSession, d: str) -> DataFrame:
+    """All records of all logs, verified where they stand after some files were changed by one byte."""
+    path = _log(spark, d)
+    rows = _raw(spark, path).select(F.col("path").alias("source_id"), "generation", "byte_start", "byte_end", "digest", F.col("ordinal").alias("record_id"), F.lit("record").alias("kind"))
+    rows = materialize(rows, "places")
+    logs = [p for p in jsonl.listed(path) if (n := p.split(os.sep)[-2].partition("=s")[2]).isdigit() and int(n) % 7 == 0]
+
+    def touch(log: str) -> None:
+        at = os.path.getsize(log) // 2
+        with open(log, "r+b") as f:
+            f.seek(at)
+            f.write(b"~")  # no log has this sign, and a task that is repeated writes the same
+
+    spark.sparkContext.parallelize(logs, max(1, len(logs))).foreach(touch)
+    found = provenance.verify(rows)
+    return found.select(F.regexp_extract("source_id", "session_id=([^/]+)", 1).alias("session_id"), F.col("record_id").alias("ordinal"), "verification")
+
+
+QUERIES = {f.__name__: f for f in (jsonl_tail_batch, normalize_records, sqlite_ro_scan, stream_append, stream_rewrite, provenance_verified)}
+ORACLE = {"jsonl_tail_batch": RECORDS, "normalize_records": EVENTS, "sqlite_ro_scan": DATABASE, "stream_append": RECORDS, "stream_rewrite": REWRITE, "provenance_verified": VERIFIED}
