@@ -70,8 +70,9 @@ def test_pairs_of_a_bucket(spark, monkeypatch):
         got = {tuple(sorted((r.a, r.b))) for r in similar.bucket_pairs(open_, nodes, False).collect()}
         near = {(a, b) for a in range(80) for b in range(a) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b])) and a % 11 != b % 11}
         assert {(b, a) for a, b in near} <= got and len(got) < 80 * 79 // 2
-        forest = {(r.a % 11, r.b % 11) for r in similar.bucket_pairs(open_.where("h = 5"), nodes, True).collect()}
-        assert len(forest) >= 10 and (size > 80) == (len(forest) == 10)
+        tree = similar.bucket_pairs(open_.where("h = 5"), nodes, True).collect()
+        assert {tuple(sorted((r.a, r.b))) for r in tree} <= got and len({r.a % 11 for r in tree} | {r.b % 11 for r in tree}) == 11
+        assert len(tree) == 10 if size > 80 else len(tree) >= 10
 
 
 def test_equal_texts_in_many_partitions(spark):
