@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.exprs import measure_value
+from ledgerspark.functions.exprs import measure_value, measured_text
 from ledgerspark.operators import records, tools
 
 DDL = "record_id bigint, kind string, native_id string, session_id string, turn_id string, timestamp string, data_json string, model string, project string, source_id string, byte_start bigint, digest string, parser_version int"
@@ -87,7 +87,7 @@ def test_sizes(spark):
     def size(value, count=None):
         v = F.try_parse_json("raw")
         is_json = F.coalesce(F.schema_of_variant(v) != "STRING", F.lit(False))
-        return spark.createDataFrame([(None if value is None else json.dumps(value),)], "raw string").select(measure_value(records.serialized(v), is_json, count).alias("m")).first().m
+        return spark.createDataFrame([(None if value is None else json.dumps(value),)], "raw string").select(measure_value(records.serialized(v), is_json, count and count(measured_text(records.serialized(v), is_json))).alias("m")).first().m
 
     assert size("héllo")["bytes"] == 6 and size("héllo")["characters"] == 5
     media = size([{"type": "input_image", "url": "xxx"}, {"type": "text", "text": "hi"}, {"type": "text", "text": "you"}])
