@@ -31,8 +31,8 @@ from .text import partial_sums, remainder, total, word_blocks
 
 #: Classes (a quarter of them for the words that have none of their own), and components of a vector.
 VOCABULARY, WIDTH = 2048, 16
-#: Rounds of training, and tokens of a shard.
-ROUNDS, SHARD_TOKENS = 3, 500_000
+#: Rounds of training at least, tokens of a shard, and tokens of which each doubling adds a round.
+ROUNDS, SHARD_TOKENS, ROUND_TOKENS = 3, 500_000, 50_000_000
 #: Words whose counts are sent to every task.
 HEAD = 50_000
 NOISE, BATCH, RATE = 64, 2048, 0.05
@@ -49,15 +49,16 @@ class Counts:
         # words are taken by classes of counts, the most frequent first, as long as all of a class fit, so
         # that tasks send no more than the head between them
         level = F.floor(F.log2("c") * 16)
-        size, kept = 0, F.lit(False)
+        size, least, more = 0, None, F.lit(False)
         for r in sorted(table.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
             size += r["count"]
             if size > head:  # of the class that doesn't fit a share, by hash
                 part = 1 - (size - head) / r["count"]
-                kept = kept | (level == r.level) & (F.pmod(F.xxhash64(F.lit("head"), "word"), F.lit(1 << 20)) < int(part * (1 << 20)))
+                more = (level == r.level) & (F.pmod(F.xxhash64(F.lit("head"), "word"), F.lit(1 << 20)) < int(part * (1 << 20)))
                 break
-            kept = kept | (level == r.level)
-        rows = table.where(kept & (F.col("word") != END)).collect()
+            least = r.level
+        whole = F.lit(False) if least is None else level >= least
+        rows = table.where((whole | more) & (F.col("word") != END)).collect()
         rows.sort(key=lambda r: (-r.c, r.word))
         end = table.where(F.col("word") == END).first()
         self.words = [END, *(r.word for r in rows)]
@@ -187,7 +188,7 @@ def fit(docs: DataFrame, counts: Counts, text: str = "text", doc_id: str = "doc_
     spark, classes = docs.sparkSession, counts.classes(size)
     prob, shared = classes.prob, docs.sparkSession.sparkContext.broadcast(classes)
     model, gather = Model.start(prob, width, classes=classes), np.full(2 * len(prob) * width + len(prob) + 2 * width, 1e-4)
-    rounds = max(rounds, (counts.tokens // (rounds * shard_tokens)).bit_length())
+    rounds = max(rounds, (counts.tokens // ROUND_TOKENS).bit_length())
     shards = max(1, -(-counts.tokens // (rounds * shard_tokens)))
     own = F.col(doc_id).cast("long") if doc_id in docs.columns else F.lit(None).cast("long")
     key = F.xxhash64(F.lit("shard"), F.coalesce(own, F.lit(-1)), F.coalesce(F.col(text), F.lit("")))
