@@ -52,9 +52,8 @@ class Engine:
         return inventory.as_table(self.spark, inventory.discover(config))
 
     def read_logs(self, path: str, finalized: tuple[str, ...] = (), marks: dict | None = None) -> DataFrame:
-        jsonl.register(self.spark)
-        options = {"path": path, "finalizedPaths": os.pathsep.join(finalized)} | ({"finalizedMarks": json.dumps(marks)} if marks is not None else {})
-        return self.spark.read.format("agent_jsonl").options(**options).load()
+        options = {"finalizedPaths": os.pathsep.join(finalized)} | ({"finalizedMarks": json.dumps(marks)} if marks is not None else {})
+        return jsonl.load(self.spark, path, **options)
 
     def read_database(self, path: str, kind: str) -> tuple[dict[str, DataFrame], list[str]]:
         return sqlite.adapter(self.spark, path, {"state": sqlite.STATE, "catalog": sqlite.CATALOG, "history": sqlite.HISTORY}[kind])

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import provenance, records
-from ledgerspark.operators.storage import materialize, shared_dir
-from ledgerspark.sources import jsonl, sqlite
+from ledgerspark.operators.storage import exists, materialize, shared_dir
+from ledgerspark.sources import content, jsonl, sqlite
+from ledgerspark.streaming import worker
 
 from .fixtures import load
 
@@ -63,8 +64,7 @@ DATABASE = "select id, cwd, cast(null as varchar) project_id, cast(1 as bigint)
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
-    jsonl.register(spark)
-    return spark.read.format("agent_jsonl").option("path", path).load()
+    return jsonl.load(spark, path)
 
 
 def jsonl_tail_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -90,14 +90,21 @@ def sqlite_ro_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, path: str, steps) -> DataFrame:
-    """Records that a tail gives over several appends or rewrites."""
+    """Records that a tail gives over several appends or rewrites, numbered and kept by batch."""
     out, state = (f"{shared_dir(spark)}/{k}-{uuid.uuid4().hex}" for k in ("out", "state"))
-    jsonl.register(spark)
+
+    def batch(df: DataFrame, number: int) -> None:
+        read = materialize(df.drop("raw"), "raw")
+        known = None
+        if exists(spark, out):
+            known = spark.read.parquet(out).where(F.col("batch") < number).groupBy("path", "generation").agg(F.max("ordinal").alias("ordinal"))
+        content.numbered(read, known=known).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     for step in steps:
         step()
-        raw = spark.readStream.format("agent_jsonl").option("path", path).load().drop("path", "raw")
-        raw.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+        raw = worker.tail(spark, path, counted="false")
+        raw.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("path", "batch")
 
 
 def _halves(spark: SparkSession, d: str, rewrite: bool) -> DataFrame:

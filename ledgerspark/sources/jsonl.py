@@ -1,8 +1,10 @@
 """Append-only JSONL logs as a Spark data source, in batches and as a tail that follows appends.
 
 Spark's own text reader knows no byte positions and its file stream sees new files only, so a Python
-data source yields ``path, generation, byte_start, byte_end, ordinal, digest, raw, error``.  A file
-is read in order by one task.  The stream's offset holds, for each file, how far it was read and
+data source yields ``path, generation, byte_start, byte_end, ordinal, digest, raw, error, span``.  Files
+are cut at multiples of ``rangeBytes``, and a range is a task: a line belongs to the range in which it ends, so
+every task finds its first line by itself.  ``ordinal`` numbers the records of a range, which begins at ``span``; ``load``
+makes them numbers of the file.  The stream's offset holds, for each file, how far it was read and
 hashes of what was read; a file that was replaced, cut or rewritten starts a new generation.
 """
 
@@ -18,20 +20,24 @@ from collections.abc import Iterator
 from contextlib import suppress
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ledgerspark.operators.storage import materialize
+
 from . import inventory
 
-SCHEMA = "path string, generation int, byte_start bigint, byte_end bigint, ordinal bigint, digest string, raw string, error string"
+SCHEMA = "path string, generation int, byte_start bigint, byte_end bigint, ordinal bigint, digest string, raw string, error string, span bigint"
 #: Longer records are recorded but not parsed; bytes hashed at either end of what was read.
 MAX_RECORD, EDGE = 32 << 20, 4096
 BLOCK = 1 << 20
+#: Bytes that one task reads of a file.
+RANGE = 128 << 20
 
 
 @dataclass
 class Span(InputPartition):
-    """Bytes of one file that one task reads."""
+    """Bytes of one file that one task reads; lines that end in them are its own, wherever they begin."""
 
     path: str
     begin: int
@@ -41,6 +47,15 @@ class Span(InputPartition):
     take_tail: bool = False
 
 
+def cut(span: Span, step: int) -> Iterator[Span]:
+    """A span in parts that end at multiples of ``step``; only the last may take an unfinished line."""
+    at = span.begin
+    while at < span.end:
+        stop = min(span.end, (at // step + 1) * step)
+        yield Span(span.path, at, stop, span.ordinal, span.generation, span.take_tail and stop == span.end)
+        at = stop
+
+
 def frames(stream, begin: int, end: int, largest: int) -> Iterator[tuple[int, int, bytes | None, str, bool]]:
     """(start, stop, bytes or None if too long, sha256, ended by a line feed) of each line.
 
@@ -67,10 +82,34 @@ def frames(stream, begin: int, end: int, largest: int) -> Iterator[tuple[int, in
         yield at, at + size, b"".join(held) if kept else None, hasher.hexdigest(), False
 
 
+def first_start(path: str, begin: int, end: int, take_tail: bool = False) -> int | None:
+    """Where the first line that ends between ``begin`` and ``end`` starts; None if no line ends there.
+
+    The bytes before ``begin`` are looked at only if one does, so a line over many ranges is sought once.
+    """
+    if begin == 0:
+        return 0
+    if not take_tail and last_line_end(path, begin, end) == begin:
+        return None
+    return last_line_end(path, 0, begin)
+
+
+def records_in(path: str, begin: int, end: int) -> int:
+    """How many records end in a range, as ``read_span`` has them."""
+    start = first_start(path, begin, end)
+    if start is None:
+        return 0
+    with open(path, "rb") as f:
+        return sum(bool(whole and (raw is None or raw.strip())) for _, _, raw, _, whole in frames(f, start, end, MAX_RECORD))
+
+
 def read_span(span: Span, largest: int = MAX_RECORD) -> Iterator[tuple]:
+    begin = first_start(span.path, span.begin, span.end, span.take_tail)
+    if begin is None:
+        return
     with open(span.path, "rb") as f:
         ordinal = span.ordinal
-        for start, stop, raw, digest, whole in frames(f, span.begin, span.end, largest):
+        for start, stop, raw, digest, whole in frames(f, begin, span.end, largest):
             if not whole and not (span.take_tail and raw is not None and is_object(raw)):
                 return
             if not (raw is None or raw.strip()):
@@ -83,7 +122,7 @@ def read_span(span: Span, largest: int = MAX_RECORD) -> Iterator[tuple]:
                     error = None if isinstance(json.loads(text), dict) else "malformed_record"
                 except ValueError:
                     text, error = None, "malformed_record"
-            yield span.path, span.generation, start, stop, ordinal, digest, text, error
+            yield span.path, span.generation, start, stop, ordinal, digest, text, error, span.begin
 
 
 def is_object(raw: bytes) -> bool:
@@ -163,29 +202,32 @@ def change(path: str, mark: dict, full: bool = False) -> str | None:
     return None
 
 
-def advance(path: str, mark: dict | None, full: bool = False, most: int = 0) -> dict:
+def advance(path: str, mark: dict | None, full: bool = False, most: int = 0, counted: bool = True, rewritten: int = 0) -> dict:
     """The mark of a file as it is now, after the one before; at most about ``most`` bytes further (0: all).
 
-    A file whose identity, size and time are those of its mark was not touched, so it isn't opened.
+    A file whose identity, size and time are those of its mark was not touched, so it isn't opened.  Of one that was,
+    the ends and the last line feed are read; ``counted`` reads all that is new, to number and hash it.
+    ``rewritten`` is a generation whose content is known to have changed.
     """
     stat = os.stat(path)
     same = mark is not None and (mark["file_id"], mark["size"], mark["mtime_ns"]) == (file_id(stat), stat.st_size, stat.st_mtime_ns)
-    if same and not full and not mark.get("more"):
+    stale = bool(mark and rewritten and mark["generation"] <= rewritten)
+    if same and not full and not stale and not mark.get("more"):
         return mark
-    why = change(path, mark, full) if mark else None
+    why = ("content_rewrite" if stale else change(path, mark, full)) if mark else None
     start = {"offset": 0, "ordinal": 0, "generation": (mark["generation"] + 1) if why else 1, "content": ""} if why or not mark else mark
     last = last_line_end(path, start["offset"], stat.st_size)
     end = last_line_end(path, start["offset"], min(stat.st_size, start["offset"] + most)) if most else last
     if end < last and end == start["offset"]:  # a line longer than the limit is taken whole
         end = first_line_end(path, end, last)
     n = min(EDGE, end)
-    content, count = chained(path, start["offset"], end, start["content"])
+    content, count = chained(path, start["offset"], end, start["content"]) if counted else ("", 0)
     return {"file_id": file_id(stat), "size": stat.st_size, "mtime_ns": stat.st_mtime_ns, "offset": end, "ordinal": start["ordinal"] + count, "generation": start["generation"], "head": sha(path, 0, n),
             "tail": sha(path, end - n, n), "content": content, "pending": stat.st_size - end, "more": end < last, "why": why}
 
 
 class JsonlReader(DataSourceReader):
-    """Whole files.  ``finalizedPaths`` are files whose last record may lack its line feed; with
+    """Whole files, up to their size (or the one that ``sizes``, a JSON object, has).  ``finalizedPaths`` are files whose last record may lack its line feed; with
     ``finalizedMarks`` (a JSON object of sizes and times at an earlier import) only if they didn't change."""
 
     def __init__(self, options: dict):
@@ -193,6 +235,8 @@ class JsonlReader(DataSourceReader):
         self.largest = int(options.get("maxRecordBytes", MAX_RECORD))
         self.final = set(filter(None, options.get("finalizedPaths", "").split(os.pathsep)))
         self.marks = json.loads(options["finalizedMarks"]) if options.get("finalizedMarks") else None
+        self.step = int(options.get("rangeBytes", RANGE))
+        self.sizes = json.loads(options.get("sizes", "{}"))
 
     def settled(self, path: str) -> bool:
         if path not in self.final or self.marks is None:
@@ -204,7 +248,7 @@ class JsonlReader(DataSourceReader):
         found = []
         for p in self.paths:
             with suppress(OSError):  # a file may go between listing and reading
-                found.append(Span(p, 0, os.path.getsize(p), 0, 1, self.settled(p)))
+                found += cut(Span(p, 0, self.sizes.get(p, os.path.getsize(p)), 0, 1, self.settled(p)), self.step)
         return found
 
     def read(self, partition: Span) -> Iterator[tuple]:
@@ -218,6 +262,10 @@ class JsonlStream(DataSourceStreamReader):
     ``discoverySeconds``, and contents verified every ``verifySeconds`` (on every trigger with ``verify=full``,
     never with 0).  A file that can't be read keeps its mark and is left alone for ``errorSeconds``.  A trigger takes about
     ``maxBytesPerTrigger`` bytes (0: all).
+
+    With ``counted=false`` the driver reads no more than ends of files: records are numbered by range (``content.numbered``
+    makes them numbers of the file) and contents aren't verified here.  ``rewritten`` then is a folder of notes on
+    files whose content others found changed, and a batch comes every ``verifySeconds`` in which they may look.
     """
 
     def __init__(self, options: dict):
@@ -225,7 +273,8 @@ class JsonlStream(DataSourceStreamReader):
         self.always = options.get("verify", "quick") == "full"
         get = lambda name, default: float(options.get(name, default))
         self.verify_seconds, self.discovery_seconds, self.error_seconds = get("verifySeconds", 300), get("discoverySeconds", 0), get("errorSeconds", 30)
-        self.most = int(options.get("maxBytesPerTrigger", 0))
+        self.most, self.step = int(options.get("maxBytesPerTrigger", 0)), int(options.get("rangeBytes", RANGE))
+        self.counted, self.notes, self.ticks = options.get("counted", "true") == "true", options.get("rewritten"), 0
         self.known: dict = {}
         self.paths: list[str] = []
         self.listed_at = self.verified_at = -math.inf
@@ -241,36 +290,60 @@ class JsonlStream(DataSourceStreamReader):
         full = self.always or bool(self.verify_seconds and self.known and now - self.verified_at >= self.verify_seconds)
         if full or self.verified_at == -math.inf:
             self.verified_at = now
+        if not self.counted:
+            self.ticks, full = self.ticks + full, False
+        rewritten = read_notes(self.notes) if self.notes else {}
         left = self.most
         for p in self.paths:
             if now - self.failed.get(p, -math.inf) < self.error_seconds or self.most and left <= 0:
                 continue
             before = self.known.get(p)
             try:
-                self.known[p] = mark = advance(p, before, full, left if self.most else 0)
+                self.known[p] = mark = advance(p, before, full, left if self.most else 0, self.counted, rewritten.get(p, 0))
             except OSError:  # a file that is gone keeps its mark, so that what was read of it stays
                 self.failed[p] = now
                 continue
             self.failed.pop(p, None)
             left -= mark["offset"] - (before["offset"] if before and before["generation"] == mark["generation"] else 0)
-        return {"files": json.dumps(self.known, sort_keys=True)}
+        return {"files": json.dumps(self.known, sort_keys=True)} | ({} if self.counted else {"ticks": str(self.ticks)})
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         old, new = json.loads(start["files"]), json.loads(end["files"])
         self.known = new | self.known
+        self.ticks = max(self.ticks, int(end.get("ticks", 0)))
         spans = []
         for p, m in sorted(new.items()):
             o = old.get(p)
             same = o is not None and o["generation"] == m["generation"]
             begin, ordinal = (o["offset"], o["ordinal"]) if same else (0, 0)
             if m["offset"] > begin:
-                spans.append(Span(p, begin, m["offset"], ordinal, m["generation"]))
+                whole = Span(p, begin, m["offset"], ordinal, m["generation"])
+                spans += [whole] if self.counted else cut(whole, self.step)
         return spans
 
     def read(self, partition: Span) -> Iterator[tuple]:
         return read_span(partition, self.largest)
 
 
+def note_rewritten(folder: str, path: str, generation: int) -> None:
+    """Say that what was read of a file's generation isn't its content any more."""
+    os.makedirs(folder, exist_ok=True)
+    at = os.path.join(folder, hashlib.sha256(path.encode()).hexdigest())
+    with open(f"{at}.new", "w") as f:
+        json.dump({"path": path, "generation": generation}, f)
+    os.replace(f"{at}.new", f"{at}.json")
+
+
+def read_notes(folder: str) -> dict[str, int]:
+    """The newest generation that is known to have changed, for each file with a note."""
+    found = {}
+    for at in glob.glob(os.path.join(glob.escape(folder), "*.json")):
+        with suppress(OSError, ValueError), open(at) as f:
+            note = json.load(f)
+            found[note["path"]] = note["generation"]
+    return found
+
+
 def listed(where: str) -> list[str]:
     """Files of a path, a folder (recursively), a pattern or all that are discovered."""
     if where.startswith(inventory.DISCOVER):
@@ -297,3 +370,24 @@ class AgentLogs(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(AgentLogs)
+
+
+def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Records of whole files, numbered through each file, however many tasks read it.
+
+    Files of more than one range have the records of their ranges counted first, by tasks.
+    """
+    from . import content
+
+    register(spark)
+    step, sizes = int(options.get("rangeBytes", RANGE)), {}
+    for p in listed(path):
+        with suppress(OSError):
+            if (size := os.path.getsize(p)) > step:
+                sizes[p] = size
+    raw = spark.read.format("agent_jsonl").options(path=path, **options)
+    if not sizes:
+        return raw.load().drop("span")
+    files = spark.createDataFrame([(p, 1, 0, n) for p, n in sizes.items()], "path string, generation int, begin bigint, size bigint")
+    counts = materialize(content.measured(content.ranges(files, step), digest=False), "counts")
+    return content.numbered(raw.option("sizes", json.dumps(sizes)).load(), counts)
