@@ -333,16 +333,21 @@ def response_ledger(rows: DataFrame, segmented: bool = False) -> tuple[DataFrame
     counters, answers = rows.where("kind <> 'response_usage'"), checkpoints.answered(rows.where("kind = 'response_usage' and verdict is null"))
     streams = counters.groupBy(F.col("session_id").alias("_ss")).agg(F.count_distinct(F.coalesce(F.col("generation_id").cast("string"), F.lit(""))).alias("_streams"))
     counters = counters.withColumn("generation_id", F.coalesce(F.col("generation_id").cast("string"), F.lit(""))).join(streams, F.col("session_id").eqNullSafe(F.col("_ss"))).drop("_ss")
+    counters = materialize(counters, "counters")  # read by each kind of session
     many = counters.where("_streams > 2").select("session_id")
     one = counters.where("_streams = 1").drop("_streams").withColumn("o1", F.lit("")).withColumn("o2", F.col("ordinal"))
-    laid, ambiguous, search = lay_over(counters.where("_streams = 2").drop("_streams"), segmented)
-    laid = laid.withColumn("o1", F.coalesce("timestamp", F.lit(""))).withColumn("o2", F.col("ordinal"))
-    outcomes, covered, doubtful = checkpoints.account(one.unionByName(laid), answers.where("outcome is null"), segmented)
+    two, ambiguous, search = counters.where("_streams = 2").drop("_streams"), None, many.limit(0)
+    if not two.isEmpty():
+        two, ambiguous, search = lay_over(two, segmented)
+        one = one.unionByName(two.withColumn("o1", F.coalesce("timestamp", F.lit(""))).withColumn("o2", F.col("ordinal")))
+    outcomes, covered, doubtful = checkpoints.account(one, answers.where("outcome is null"), segmented)
     folded = materialize(many.unionByName(search).unionByName(doubtful).distinct(), "folded")
     clear = lambda df: df.join(folded.select(F.col("session_id").alias("_f")), F.col("session_id").eqNullSafe(F.col("_f")), "left_anti")
     no, told = F.lit("{}"), F.lit('{"method":"reported_response"}')
     said = _facts(clear(answers.where("outcome is null")), key(F.col("session_id"), F.lit("reported_response"), F.col("native_id")), F.lit("reported_response"), F.col("d.usage"), F.col("refs"), F.lit(None).cast("string"), F.lit(False))
-    out = said.unionByName(_gaps(clear(answers.where("outcome is not null")), F.col("outcome"), told)).unionByName(_gaps(clear(rows.where("verdict is not null")), F.col("verdict"), no)).unionByName(_gaps(clear(ambiguous), F.lit("ambiguous_source_overlap"), no))
+    out = said.unionByName(_gaps(clear(answers.where("outcome is not null")), F.col("outcome"), told)).unionByName(_gaps(clear(rows.where("verdict is not null")), F.col("verdict"), no))
+    if ambiguous is not None:
+        out = out.unionByName(_gaps(clear(ambiguous), F.lit("ambiguous_source_overlap"), no))
     known = clear(outcomes)
     behind = covered.groupBy(F.col("record_id").alias("_b")).agg(F.collect_list("answer").alias("answers"))
     made = known.where(F.col("outcome").isin(*FACT_METHODS)).join(behind, F.col("record_id") == F.col("_b"), "left")
