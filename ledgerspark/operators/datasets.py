@@ -225,10 +225,22 @@ def overview_totals(t: Tables, f: Filters = NONE) -> DataFrame:
 
 def overview_days(t: Tables, f: Filters = NONE) -> DataFrame:
     """Tokens of each local day (unknown times first) and bar heights relative to the largest day."""
-    days = _facts(t, f).groupBy(local_day(F.col("timestamp"), f.timezone).alias("day")).agg(F.sum("total_tokens").alias("total_tokens"))
+    return _bars(_days(t, f)).orderBy("day")
+
+
+def daily_bars(t: Tables, f: Filters = NONE) -> DataFrame:
+    """Bar heights of known days, relative to the largest of them; unknown times have no bar and no say."""
+    return _bars(_days(t, f).where("day is not null")).select("day", "height").orderBy("day")
+
+
+def _days(t: Tables, f: Filters) -> DataFrame:
+    return _facts(t, f).groupBy(local_day(F.col("timestamp"), f.timezone).alias("day")).agg(F.sum("total_tokens").alias("total_tokens"))
+
+
+def _bars(days: DataFrame) -> DataFrame:
     tokens = F.coalesce("total_tokens", F.lit(0))
     largest = F.greatest(F.max(tokens).over(Window.partitionBy(F.lit(0))), F.lit(1))
-    return days.withColumn("height", 140 * tokens / largest).orderBy("day")
+    return days.withColumn("height", 140 * tokens / largest)
 
 
 def overview_sources(t: Tables) -> DataFrame:

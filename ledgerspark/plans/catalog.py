@@ -254,7 +254,7 @@ def _(spark, d):
 
 @query("daily_bars", DAYS + " select day, 140 * coalesce(total_tokens, 0) / greatest(max(coalesce(total_tokens, 0)) over (), 1) height from q where day is not null")
 def _(spark, d):
-    return ds.overview_days(tables(spark, d), Filters(timezone="Europe/London")).where("day is not null").select("day", "height")
+    return ds.daily_bars(tables(spark, d), Filters(timezone="Europe/London"))
 
 
 @query("overview_attribution", "select coalesce(model, 'unknown') model, method, count(*) facts, sum(total_tokens)::bigint total_tokens from fx_usage_facts group by fx_usage_facts.model, method")
