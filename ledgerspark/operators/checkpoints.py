@@ -93,28 +93,29 @@ def answered(answers: DataFrame) -> DataFrame:
 def account(counters: DataFrame, answers: DataFrame, segmented: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(outcomes, covered, doubtful)``.
 
-    ``counters`` are parsed rows of one stream a session, with ``o1, o2`` for their order before ``record_id``;
+    ``counters`` are parsed rows of one stream a session, with ``o1, o2`` for their order before ``record_id`` and
+    a ``row`` that no two share (record ids may be shared);
     ``answers`` parsed responses that count.  ``outcomes`` has a row for each counter: ``outcome`` (a gap's code,
     a fact's method, or null), ``also_decrease``, ``tokens`` and the previous row's ``prev``.  ``covered``
-    (``record_id, answer``) are the responses behind facts, ``doubtful`` the sessions that must be folded.
+    (``row, answer``) are the responses behind facts, ``doubtful`` the sessions that must be folded.
     """
     counters = counters.withColumn("ok", consistent(F.col("d.total_token_usage")))
     invalid = counters.where("not ok")
     time = F.coalesce("timestamp", F.lit(""))
     # one order of responses and counters: how many responses there were, and what they add up to, at each row
-    left = answers.select("session_id", time.alias("t"), F.lit(0).alias("side"), "record_id", F.lit(1).cast("long").alias("one"), F.col("d.usage").alias("usage"), F.struct("d.thread_token_usage").alias("shown"), "turn_id")
-    right = counters.where("ok").select("session_id", time.alias("t"), F.lit(1).alias("side"), "record_id", F.lit(None).cast("long").alias("one"), F.lit(None).cast(VECTOR).alias("usage"), F.lit(None).cast(f"struct<thread_token_usage:{VECTOR}>").alias("shown"), "turn_id")
+    left = answers.select("session_id", time.alias("t"), F.lit(0).alias("side"), "record_id", F.lit(None).cast("long").alias("row"), F.lit(1).cast("long").alias("one"), F.col("d.usage").alias("usage"), F.struct("d.thread_token_usage").alias("shown"), "turn_id")
+    right = counters.where("ok").select("session_id", time.alias("t"), F.lit(1).alias("side"), "record_id", "row", F.lit(None).cast("long").alias("one"), F.lit(None).cast(VECTOR).alias("usage"), F.lit(None).cast(f"struct<thread_token_usage:{VECTOR}>").alias("shown"), "turn_id")
     answer = F.col("side") == 0
     line = Scan(left.unionByName(right), ("session_id",), ("t", "side", "record_id"), segmented).add(
         k=Running("sum", F.col("one")), shown_last=Running("last", F.col("shown")), first_at=Running("min", F.when(answer, F.col("t")), "all"),
         **{f"s_{c}": Running("sum", F.when(answer, F.coalesce(F.col("usage")[c], F.lit(0)))) for c in TOKEN_FIELDS}, **{f"u_{c}": Running("sum", F.when(answer, F.col("usage")[c].isNull().cast("long"))) for c in TOKEN_FIELDS})
-    line = line.rows.select("session_id", "side", "record_id", "t", "turn_id", F.coalesce("k", F.lit(0)).alias("k"), sums("").alias("sum"), F.col("shown_last.thread_token_usage").alias("thread"), "shown", "first_at")
+    line = line.rows.select("session_id", "side", "record_id", "row", "t", "turn_id", F.coalesce("k", F.lit(0)).alias("k"), sums("").alias("sum"), F.col("shown_last.thread_token_usage").alias("thread"), "shown", "first_at")
     line = materialize(line, "line")
     points = line.where(answer).select(F.col("session_id").alias("_as"), F.col("k").alias("at"), F.col("t").alias("at_time"), F.col("turn_id").alias("at_turn"), F.col("sum").alias("at_sum"), name(F.col("shown.thread_token_usage")).alias("at_name"), F.col("record_id").alias("answer")).where(F.col("shown.thread_token_usage").isNotNull())
     # with equal totals of two responses a match isn't one
     twice = points.groupBy("_as", "at_name").count().where("count > 1").select(F.col("_as").alias("session_id"))
-    seen = line.where("side = 1").select(F.col("record_id").alias("_r"), "k", "sum", F.col("thread").alias("hi_thread"), "first_at")
-    rows = counters.where("ok").join(seen, F.col("record_id") == F.col("_r")).drop("_r").withColumn("total", F.col("d.total_token_usage"))
+    seen = line.where("side = 1").select(F.col("row").alias("_r"), "k", "sum", F.col("thread").alias("hi_thread"), "first_at")
+    rows = counters.where("ok").join(seen, F.col("row") == F.col("_r")).drop("_r").withColumn("total", F.col("d.total_token_usage"))
     own = F.coalesce("d.own_counter_origin", F.lit(False))
     rows = rows.withColumn("own", own).withColumn("inherited", F.coalesce(F.col("d.parent") != "", F.lit(False)) & ~own).withColumn("has", F.col("first_at").isNotNull())
     # a response without a time has the least one; then no interval is known
@@ -163,11 +164,11 @@ def account(counters: DataFrame, answers: DataFrame, segmented: bool = False) ->
         .when(F.col("covers") & ~consistent(F.col("rest")), "response_interval_mismatch").when(~(moves(F.col("rest")) | new), none)
         .when(~consistent(F.col("rest")), "invalid_usage_categories").when(unknown(F.col("rest")), "unknown_usage_categories").otherwise(method))
     rows = rows.withColumn("outcome", outcome).withColumnRenamed("drop", "also_decrease").withColumnRenamed("rest", "tokens")
-    outcomes = rows.select("session_id", "record_id", "turn_id", "timestamp", "model", "project", "refs", "mark", "d", "outcome", "also_decrease", "tokens", "prev", "covers", "from", "to")
-    lost = invalid.select("session_id", "record_id", "turn_id", "timestamp", "model", "project", "refs", "mark", "d", F.lit("null_or_invalid_cumulative").alias("outcome"), F.lit(False).alias("also_decrease"))
+    outcomes = rows.select("session_id", "row", "record_id", "turn_id", "timestamp", "model", "project", "refs", "mark", "d", "outcome", "also_decrease", "tokens", "prev", "covers", "from", "to")
+    lost = invalid.select("session_id", "row", "record_id", "turn_id", "timestamp", "model", "project", "refs", "mark", "d", F.lit("null_or_invalid_cumulative").alias("outcome"), F.lit(False).alias("also_decrease"))
     outcomes = materialize(outcomes.unionByName(lost, allowMissingColumns=True), "outcomes")
     facts = outcomes.where("covers and outcome = 'reported_interval_residual' or covers and outcome = 'unallocated_historical'")
-    span = facts.select("record_id", "session_id", F.explode(F.sequence(F.col("from") + 1, F.col("to"))).alias("k"))
+    span = facts.select("row", "session_id", F.explode(F.sequence(F.col("from") + 1, F.col("to"))).alias("k"))
     numbered = line.where(answer).select(F.col("session_id").alias("_as"), F.col("k").alias("_k"), F.col("record_id").alias("answer"))
-    covered = span.join(numbered, F.col("session_id").eqNullSafe(F.col("_as")) & (F.col("k") == F.col("_k"))).select("record_id", "answer")
+    covered = span.join(numbered, F.col("session_id").eqNullSafe(F.col("_as")) & (F.col("k") == F.col("_k"))).select("row", "answer")
     return outcomes, covered, doubtful

@@ -439,9 +439,9 @@ def _(spark, d):
     vector = lambda n: F.struct(n.cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"), n.cast("bigint").alias("total_tokens"))
     said = base.select("record_id", F.lit("response_usage").alias("kind"), "session_id", "native_id", "model", F.to_json(F.struct(vector(F.col("total_tokens")).alias("usage"), vector(F.col("run")).alias("thread_token_usage"))).alias("data_json"), F.col("k").cast("bigint").alias("ordinal"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("turn_id"), _at(10 * F.col("k")).alias("timestamp"))
     late = F.when(F.col("k") == 1, 15).otherwise(10 * (F.col("k") + 1) + 5)
-    shown = lambda rows, n, k, at: rows.select((F.col("record_id") + at).alias("record_id"), F.lit("cumulative_usage").alias("kind"), "session_id", "model", F.to_json(F.struct(vector(F.lit(OFFSET) + n).alias("total_token_usage"))).alias("data_json"), k.cast("bigint").alias("ordinal"), F.lit("c").alias("turn_id"))
-    counters = shown(base, F.col("run"), F.col("k"), 5_000_000).join(base.select((F.col("record_id") + 5_000_000).alias("record_id"), _at(late).alias("timestamp")), "record_id")
-    begin = shown(base.where("k = 1"), F.lit(0), F.lit(0), 9_000_000).withColumn("timestamp", _at(F.lit(0)))
+    shown = lambda rows, n, k, at, time: rows.select((F.col("record_id") + at).alias("record_id"), F.lit("cumulative_usage").alias("kind"), "session_id", "model", F.to_json(F.struct(vector(F.lit(OFFSET) + n).alias("total_token_usage"))).alias("data_json"), k.cast("bigint").alias("ordinal"), F.lit("c").alias("turn_id"), _at(time).alias("timestamp"))
+    counters = shown(base, F.col("run"), F.col("k"), 5_000_000, late)
+    begin = shown(base.where("k = 1"), F.lit(0), F.lit(0), 9_000_000, F.lit(0))
     rows = _observed(said.unionByName(counters.unionByName(begin), allowMissingColumns=True).withColumn("generation_id", F.lit(1).cast("bigint")))
     return ledger.build(rows).select("session_id", "method", "code", "total_tokens", F.lit(1).alias("tokens_of"))
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pytest
 
 from ledgerspark.plans import catalog
 from ledgerspark.plans.fixtures import TABLES
@@ -30,3 +31,10 @@ def test_daily_bars_of_mostly_unknown_times(spark, sf, tmp_path):
     """Facts without a time that outweigh every day don't shorten the days' bars."""
     more = "select * from {} union all select 900000 + range, 0, 'system', repeat('x', 4000) from range(50)"
     assert not differs(spark, sf, tmp_path, "daily_bars", "conversations", more)
+
+
+@pytest.mark.parametrize("name", ["ledger_offset", "ledger_with_responses"])
+def test_records_of_sessions_that_share_ids(spark, sf, tmp_path, name):
+    """Conversations of more than a hundred turns have the record ids of the next one."""
+    more = "select * from {0} union all select conv_id - 1, 100 + turn, role, text from {0} where conv_id % 2 = 1"
+    assert not differs(spark, sf, tmp_path, name, "conversations", more)
