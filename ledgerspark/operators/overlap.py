@@ -1,7 +1,8 @@
 """Ordered overlap of copies of a counter.
 
 Two histories of one session are laid over each other by the blocks that both have in the same order: the
-longest common block first (the earliest of several), then what lies left and right of it.  Marks that occur
+longest common block first (the earliest of several), then what lies left and right of it.  Copies of which one
+is the other, shifted by at most a row, are told by their places, also where marks repeat (``shifts``).  Marks that occur
 once in each history, in the same order in both, need no search: their blocks are the runs of one diagonal, found
 by a join and running values (``lay_over``).  Anything else is searched with a suffix automaton
 (``matching_blocks``), which finds a longest common block in time proportional to both lengths, however
@@ -11,6 +12,8 @@ often marks repeat.
 from __future__ import annotations
 
 from collections.abc import Hashable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,11 +95,35 @@ def matching_blocks(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[tuple[
     return out
 
 
+def shifts(placed: DataFrame, segmented: bool = False) -> DataFrame:
+    """``_s, _shift, _ours``: sessions whose copies agree wherever they overlap if the other one is moved by ``_shift``
+    rows (at most one), and rows of the main copy.
+
+    That overlap is the longest common block, as it is longer than all that any other shift has in common (beyond one
+    row: could have), and nothing lies left or right of it in both copies.
+    """
+    mark = lambda main: F.max(F.when(F.col("is_main") == main, F.col("mark")))
+    cells = placed.groupBy("session_id", "at").agg(mark(True).alias("m"), mark(False).alias("o"))
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("mark")))
+    cells = Scan(cells, ("session_id",), ("at",), segmented).add(om=Running("last", known("m"), "before"), oo=Running("last", known("o"), "before")).rows
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    last = lambda c: F.when(F.col(c)["at"] == F.col("at") - 1, F.col(c)["mark"])
+    found = cells.groupBy(F.col("session_id").alias("_s")).agg(
+        F.count("m").alias("a"), F.count("o").alias("b"), count(F.col("m") == F.col("o")).alias("n0"), count(F.col("m") == last("oo")).alias("n1"), count(F.col("o") == last("om")).alias("n2"))
+    a, b = F.col("a"), F.col("b")
+    room = {0: F.least(a, b), 1: F.least(a - 1, b), -1: F.least(a, b - 1)}
+    beyond = F.greatest(F.least(a - 2, b), F.least(a, b - 2))
+    seen = {0: F.col("n0"), 1: F.col("n1"), -1: F.col("n2")}
+    whole = lambda k: reduce(and_, [seen[k] == room[k], room[k] > 1, beyond < room[k], *(seen[x] < room[k] for x in seen if x != k)])
+    shift = F.when(whole(0), 0).when(whole(1), 1).when(whole(-1), -1)
+    return found.select("_s", shift.alias("_shift"), a.alias("_ours")).where("_shift is not null")
+
+
 def lay_over(counters: DataFrame, segmented: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sessions with two copies of a counter: ``(one stream, ambiguous rows, sessions that need a search)``.
 
-    ``counters`` has ``session_id, generation_id, ordinal, record_id, timestamp, turn_id, superseded, mark, refs``
-    and the place of a record's bytes.  The main copy is the one that isn't superseded, then the longer, then
+    ``counters`` has ``row`` (no two share it), ``session_id, generation_id, ordinal, record_id, timestamp, turn_id,
+    superseded, mark, refs`` and the place of a record's bytes.  The main copy is the one that isn't superseded, then the longer, then
     the newer; rows of the other that it has too only add their references, rows before or after all its time
     are added, the rest is ambiguous.
     """
@@ -106,12 +133,25 @@ def lay_over(counters: DataFrame, segmented: bool = False) -> tuple[DataFrame, D
     placed = Scan(counters, ("session_id", "generation_id"), ("ordinal", "record_id"), segmented).add(at=Running("sum", F.lit(1).cast("long"))).rows
     placed = placed.join(main, F.col("session_id").eqNullSafe(F.col("_s"))).withColumn("is_main", F.col("generation_id").eqNullSafe(F.col("_main.generation_id"))).drop("_s")
     placed = materialize(placed, "placed")
+    drop = ("at", "_main", "is_main")
+    outside = F.coalesce((F.col("timestamp") != "") & ((F.col("timestamp") < F.col("_main.low")) | (F.col("timestamp") > F.col("_main.high"))), F.lit(False))
+    shifted = materialize(shifts(placed, segmented), "shifts")
+    moved = placed.join(shifted, F.col("session_id").eqNullSafe(F.col("_s"))).withColumn("place", F.col("at") + F.when(F.col("is_main"), 0).otherwise(F.col("_shift")))
+    more = moved.where("not is_main").select(F.col("session_id").alias("_t"), F.col("place").alias("_place"), F.col("refs").alias("more"))
+    stream = moved.where("is_main").join(more, F.col("session_id").eqNullSafe(F.col("_t")) & (F.col("place") == F.col("_place")), "left").drop("_t", "_place")
+    stream = stream.withColumn("refs", F.concat("refs", F.coalesce("more", F.array().cast("array<bigint>")))).drop("more")
+    rest = moved.where(~F.col("is_main") & ~F.col("place").between(1, F.col("_ours")))
+    gone = (*drop, "_s", "_shift", "_ours", "place")
+    stream, ambiguous = stream.unionByName(rest.where(outside)).drop(*gone), rest.where(~outside).drop(*gone)
+    placed = placed.join(shifted, F.col("session_id").eqNullSafe(F.col("_s")), "left_anti")
+    if placed.isEmpty():
+        return stream, ambiguous, placed.select("session_id")
     often = placed.groupBy("session_id", "generation_id", "mark").count().where("count > 1").select("session_id")
     same = ("source_id", "digest", "byte_start")
-    ours = placed.where("is_main").select(F.col("session_id").alias("_s"), F.col("mark").alias("_m"), F.col("at").alias("i"), *(F.col(c).alias(f"_{c}") for c in same), F.col("record_id").alias("to"))
+    ours = placed.where("is_main").select(F.col("session_id").alias("_s"), F.col("mark").alias("_m"), F.col("at").alias("i"), *(F.col(c).alias(f"_{c}") for c in same), F.col("row").alias("to"))
     theirs = placed.where("not is_main")
     both = theirs.join(ours, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("mark") == F.col("_m"))).withColumn("bytes", F.col("source_id").isNotNull() & F.col("source_id").eqNullSafe(F.col("_source_id")) & F.col("digest").eqNullSafe(F.col("_digest")) & F.col("byte_start").eqNullSafe(F.col("_byte_start")))
-    pairs = both.select("session_id", "i", F.col("at").alias("j"), "to", "record_id", "turn_id", "refs", "bytes")
+    pairs = both.select("session_id", "i", F.col("at").alias("j"), "to", "row", "turn_id", "refs", "bytes")
     # a run ends where the diagonal changes or a row is left out on either side
     run = Scan(pairs, ("session_id",), ("i", "j"), segmented).add(before=Running("last", F.struct("i", "j"), "before"))
     run = run.map(lambda r: r.withColumn("crosses", F.coalesce(F.col("j") <= F.col("before.j"), F.lit(False))).withColumn("begins", F.when(F.coalesce((F.col("i") - F.col("before.i") == 1) & (F.col("j") - F.col("before.j") == 1), F.lit(False)), 0).otherwise(1).cast("long")))
@@ -120,10 +160,8 @@ def lay_over(counters: DataFrame, segmented: bool = False) -> tuple[DataFrame, D
     clear = lambda df: df.join(search.select(F.col("session_id").alias("_x")), F.col("session_id").eqNullSafe(F.col("_x")), "left_anti")
     sizes = runs.groupBy(F.col("session_id").alias("_rs"), F.col("run").alias("_run")).agg(F.count("*").alias("size"))
     kept = clear(runs).join(sizes, F.col("session_id").eqNullSafe(F.col("_rs")) & (F.col("run") == F.col("_run"))).where((F.col("size") > 1) | F.coalesce(F.col("turn_id") != "", F.lit(False)) | F.col("bytes"))
-    kept = materialize(kept.select("to", "record_id", F.col("refs").alias("more")), "paired")
+    kept = materialize(kept.select("to", "row", F.col("refs").alias("more")), "paired")
     gained = kept.select(F.col("to").alias("_to"), "more")
-    stream = clear(placed.where("is_main")).join(gained, F.col("record_id") == F.col("_to"), "left").withColumn("refs", F.concat("refs", F.coalesce("more", F.array().cast("array<bigint>")))).drop("_to", "more")
-    rest = clear(placed.where("not is_main")).join(kept.select(F.col("record_id").alias("_r")), F.col("record_id") == F.col("_r"), "left_anti")
-    outside = F.coalesce((F.col("timestamp") != "") & ((F.col("timestamp") < F.col("_main.low")) | (F.col("timestamp") > F.col("_main.high"))), F.lit(False))
-    drop = ("at", "_main", "is_main")
-    return stream.unionByName(rest.where(outside)).drop(*drop), rest.where(~outside).drop(*drop), search
+    found = clear(placed.where("is_main")).join(gained, F.col("row") == F.col("_to"), "left").withColumn("refs", F.concat("refs", F.coalesce("more", F.array().cast("array<bigint>")))).drop("_to", "more")
+    rest = clear(placed.where("not is_main")).join(kept.select(F.col("row").alias("_r")), F.col("row") == F.col("_r"), "left_anti")
+    return stream.unionByName(found.unionByName(rest.where(outside)).drop(*drop)), ambiguous.unionByName(rest.where(~outside).drop(*drop)), search

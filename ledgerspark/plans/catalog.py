@@ -461,9 +461,10 @@ def _(spark, d):
     vector = F.struct("input_tokens", "output_tokens")
     data = F.struct(F.when(F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull(), vector).alias("total_token_usage"), F.when(F.col("inherited"), F.lit("p")).alias("parent"))
     base = base.select("k", "n", "record_id", "session_id", "ordinal", "model", F.lit("t").alias("turn_id"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.to_json(data).alias("data_json"), F.lit("cumulative_usage").alias("kind"))
-    first = base.where("k < n or n = 1").withColumn("generation_id", F.lit(1).cast("bigint"))
-    second = base.where("k > 1").withColumn("record_id", F.col("record_id") + 10_000_000).withColumn("generation_id", F.lit(2).cast("bigint"))
-    found = ledger.build(_observed(first.unionByName(second).drop("k", "n")))
+    # both copies in one pass
+    copies = base.withColumn("generation_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))).where("generation_id = 1 and (k < n or n = 1) or generation_id = 2 and k > 1")
+    copies = copies.withColumn("record_id", F.col("record_id") + F.when(F.col("generation_id") == 2, 10_000_000).otherwise(0))
+    found = ledger.build(_observed(copies.drop("k", "n")))
     return found.select("kind", "session_id", "method", "code", "record_id", "input_tokens", "output_tokens")
 
 
