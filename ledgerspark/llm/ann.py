@@ -10,6 +10,11 @@ product per sub-vector and code) score the codes there; only the best codes over
 part of the table, get an exact inner product.  Equal vectors share one entry, which keeps as many of
 their smallest ids as a result can hold.  Lists are dealt over shelves of bounded size (a long list over
 several), and a query goes once to each shelf that it needs, so no task has to take a whole list.
+
+What the audit's queries need isn't what every query needs, so an exact check follows.  An entry's code comes with
+how far it is from its vector, a list with its radius; both bound inner products.  Only lists, and in them entries,
+whose bound reaches a query's worst result so far can hold a better one, and those are looked at.  Codes are scored in
+single precision on scaled vectors (by powers of two), so large and small components neither overflow nor vanish.
 """
 
 from __future__ import annotations
@@ -68,25 +73,50 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Single precision's error of an estimate, of what its parts could add up to; and below its least number.
+ROUNDING, LEAST = 4e-6, 1e-35
+
+
 class Index:
-    """Coarse centroids and residual codebooks."""
+    """Coarse centroids and residual codebooks, of vectors scaled by ``2 ** -scale``."""
 
-    def __init__(self, sample: np.ndarray, lists: int, sub_width: int = SUB_WIDTH, codes: int = CODES, seed: int = 5):
-        self.dim = sample.shape[1]
+    def __init__(self, sample: np.ndarray, lists: int, sub_width: int = SUB_WIDTH, codes: int = CODES, seed: int = 5, scale: int = 0):
+        self.dim, self.scale = sample.shape[1], scale
+        sample = np.ldexp(sample, -scale)
         self.coarse = kmeans(sample, lists, seed)
         self.edges = np.append(np.arange(0, self.dim, sub_width), self.dim)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         rest = rest[np.random.default_rng(seed).permutation(len(rest))[: 32 * codes]]
         self.books = [kmeans(rest[:, a:b], codes, seed + 1 + k) for k, (a, b) in enumerate(zip(self.edges, self.edges[1:], strict=False))]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, code, distance from the centroid, and what an estimate may be wrong by, for a query of length 1."""
+        x = np.ldexp(x, -self.scale)
         own = nearest(x, self.coarse)
         rest = x - self.coarse[own]
-        return own, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.edges, self.edges[1:], self.books, strict=False)], 1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.edges, self.edges[1:], self.books, strict=False)], 1).astype(np.uint8)
+        coded = np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1)
+        size = lambda v: np.sqrt((v * v).sum(1))
+        return own, codes, size(rest) * (1 + ROUNDING), size(rest - coded) * (1 + ROUNDING) + ROUNDING * (size(self.coarse)[own] + size(coded)) + LEAST
+
+    @staticmethod
+    def ask(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries scaled so that their largest component is about 1, and the exponents by which."""
+        e = np.frexp(np.abs(q).max(1))[1]
+        return np.ldexp(q, -e[:, None]), e
 
     def order(self, q: np.ndarray) -> np.ndarray:
         """Lists by inner product with their centroid, largest first."""
-        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
+        return np.argsort(-(self.ask(q)[0] @ self.coarse.T), axis=1, kind="stable")
+
+    def reaching(self, q: np.ndarray, least: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
+        """Lists that may hold inner products of at least ``least``."""
+        few, e = self.ask(q)
+        most = few @ self.coarse.T + np.sqrt((few * few).sum(1))[:, None] * (radius + ROUNDING * np.sqrt((self.coarse * self.coarse).sum(1)) + LEAST)
+        return [np.flatnonzero(m) for m in most >= self.scaled(least, e)[:, None]]
+
+    def scaled(self, score: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.ldexp(score, -(self.scale + e))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, sub-vectors, codes) inner products."""
@@ -96,7 +126,8 @@ class Index:
         return out
 
     def estimates(self, q: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """(queries, entries) inner products as the lists ``own`` and the codes give them."""
+        """(queries, entries) inner products as the lists ``own`` and the codes give them, scaled for each query."""
+        q = self.ask(q)[0]
         t, out = self.tables(q), (q @ self.coarse.T).astype(np.float32)[:, own]
         for k in range(codes.shape[1]):
             out += np.take(t[:, k], codes[:, k], axis=1)
@@ -217,43 +248,55 @@ class Search:
         if not sample.num_rows:
             return
         fitted = matrix(sample["v"].combine_chunks())[np.argsort(sample["id"].to_numpy(), kind="stable")]
-        index = Index(fitted, lists)
+        largest = entries.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+        index = Index(fitted, lists, scale=int(np.frexp(largest)[1]))
         shared = spark.sparkContext.broadcast(index)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    own, codes = shared.value.encode(matrix(b.column(0)))
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "list", "code"])
+                    own, codes, off, reach = shared.value.encode(matrix(b.column(0)))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(reach)], ["v", "ids", "list", "code", "off", "reach"])
 
-        coded = cut(entries.mapInArrow(encode, "v array<double>, ids array<long>, list int, code binary"), "codes")
+        coded = cut(entries.mapInArrow(encode, "v array<double>, ids array<long>, list int, code binary, off double, reach double"), "codes")
         asked = rows.where("ask").select(F.col("vec_id").alias("query_id"), "v")
         self.settings = s = settings or audit(coded, asked, index, shared, top, n)
         on = cut(shelves(coded, len(index.coarse)), "shelves")
         chunk = F.pmod(F.xxhash64(F.lit("chunk"), "v"), F.col("chunks")).cast("int")
         shelved = coded.join(F.broadcast(on.select("list", "chunks").distinct()), "list").withColumn("chunk", chunk).drop("chunks")
-        shelved = cut(shelved.join(F.broadcast(on.drop("chunks")), ["list", "chunk"]).select("shelf", "list", "v", "ids", "code"), "shelved")
+        shelved = cut(shelved.join(F.broadcast(on.drop("chunks")), ["list", "chunk"]).select("shelf", "list", "v", "ids", "code", "reach"), "shelved")
         places = spark.sparkContext.broadcast({r["list"]: r["shelves"] for r in on.groupBy("list").agg(F.collect_set("shelf").alias("shelves")).collect()})
 
+        radius = np.zeros(len(index.coarse))
+        for r in coded.groupBy("list").agg(F.max("off").alias("off")).collect():  # a row for each list at most
+            radius[r["list"]] = r["off"]
+        radius = spark.sparkContext.broadcast(radius)
+
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """One row for each query and shelf: the lists to look into."""
+            """One row for each query and shelf: the lists to look into, nearest ones or those that may hold the least score wanted."""
             for b in batches:
                 if b.num_rows:
-                    first, out = shared.value.order(matrix(b.column(1)))[:, : s.probes], []
-                    for k, own in enumerate(first.tolist()):
+                    q, out = matrix(b.column(1)), []
+                    lists = shared.value.order(q)[:, : s.probes] if b.num_columns == 2 else shared.value.reaching(q, b.column(2).to_numpy(), radius.value)
+                    for k, own in enumerate(lists):
                         to: dict[int, list[int]] = {}
-                        for one in own:
+                        for one in own.tolist():
                             for shelf in places.value.get(one, ()):
                                 to.setdefault(shelf, []).append(one)
                         out += [(k, shelf, sorted(some)) for shelf, some in sorted(to.items())]
                     k, shelf, some = zip(*out, strict=True) if out else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k, pa.int64())), b.column(1).take(pa.array(k, pa.int64())), pa.array(shelf, pa.int32()), pa.array(some, pa.list_(pa.int32()))], ["query_id", "v", "shelf", "lists"])
+                    made = [c.take(pa.array(k, pa.int64())) for c in b.columns]
+                    yield pa.RecordBatch.from_arrays([*made, pa.array(shelf, pa.int32()), pa.array(some, pa.list_(pa.int32()))], [*b.schema.names, "shelf", "lists"])
+
+        def meeting(ask: DataFrame, columns: str) -> tuple[DataFrame, DataFrame]:
+            """Entries and the queries that look at them, by shelf and block."""
+            sent = cut(ask.mapInArrow(probe, f"{columns}, shelf int, lists array<int>"), "probes")
+            blocks = small(sent.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+            block = F.pmod(F.xxhash64(F.lit("block"), "query_id", "v"), F.col("blocks")).cast("int")
+            left = shelved.join(blocks, "shelf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+            return left, sent.join(blocks, "shelf").withColumn("block", block).drop("blocks")
 
-        sent = cut(asked.mapInArrow(probe, "query_id long, v array<double>, shelf int, lists array<int>"), "probes")
-        blocks = small(sent.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-        block = F.pmod(F.xxhash64(F.lit("block"), "query_id", "v"), F.col("blocks")).cast("int")
-        right = sent.join(blocks, "shelf").withColumn("block", block).drop("blocks")
-        left = shelved.join(blocks, "shelf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        left, right = meeting(asked, "query_id long, v array<double>")
 
         def estimate(own: pd.DataFrame, ask: pd.DataFrame) -> Iterator[tuple]:
             """Queries of a part, their estimates and which entries of the shelf they look at."""
@@ -286,13 +329,18 @@ class Search:
         right = right.join(best, ["query_id", "number"])
 
         def rerank(key, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-            """Exact products of the entries whose estimates reach the query's bar; the top ones of the shelf."""
+            """Exact products of the entries whose estimates reach the query's bar, or may reach its least score; the top ones of the shelf."""
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if len(own) and len(ask):
-                x, who, least = np.stack(own.v.to_numpy()), ask.query_id.to_numpy(), ask.bar.to_numpy(np.float32)
+                x, who, ix = np.stack(own.v.to_numpy()), ask.query_id.to_numpy(), shared.value
                 for part, q, est in estimate(own, ask):
-                    r, c = np.nonzero(est >= least[part, None])
-                    exact = np.einsum("kd,kd->k", q[r], x[c])
+                    if "bar" in ask:
+                        r, c = np.nonzero(est >= ask.bar.to_numpy(np.float32)[part, None])
+                    else:
+                        few, e = ix.ask(q)
+                        most = est + np.sqrt((few * few).sum(1))[:, None] * own.reach.to_numpy()
+                        r, c = np.nonzero((most >= ix.scaled(ask.least.to_numpy()[part], e)[:, None]) & (est > -np.inf))
+                    exact = np.concatenate([np.zeros(0), *(np.einsum("kd,kd->k", q[r[a : a + 100_000]], x[c[a : a + 100_000]]) for a in range(0, len(r), 100_000))])
                     ids = own.ids.to_numpy()[c]
                     n = np.array([len(i) for i in ids], np.int64)
                     asker, score = np.repeat(who[part][r], n), np.repeat(exact, n)
@@ -306,9 +354,15 @@ class Search:
             a, b, c = (np.concatenate(z) for z in zip(*found, strict=True))
             return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
-        pairs = left.groupBy("shelf", "block").cogroup(right.groupBy("shelf", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        self.result = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+        def results(left: DataFrame, right: DataFrame) -> DataFrame:
+            pairs = left.groupBy("shelf", "block").cogroup(right.groupBy("shelf", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+            return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+        worst = results(left, right).where(F.col("rank") == top).select("query_id", F.col("score").alias("least"))
+        again = asked.join(worst, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        self.result = results(*meeting(again.select("query_id", "v", "least"), "query_id long, v array<double>, least double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

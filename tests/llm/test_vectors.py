@@ -177,3 +177,18 @@ def test_long_lists(spark, monkeypatch):
         monkeypatch.setattr(ann, name, value)
     two = sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, settings=ann.Settings(0, 0, 99, 999, 1.0)).collect()))
     assert [(a[0], a[1], a[2]) for a in one] == [(b[0], b[1], b[2]) for b in two]
+
+
+def test_nearest_neighbours_of_uneven_rows(spark):
+    """Rare groups, lengths of every size and components beyond single precision's products: all of the nearest are found."""
+    g = np.random.default_rng(5)
+    groups = g.normal(size=(100, 16))[g.zipf(1.3, 1200) % 100] + g.normal(size=(1200, 16)) * 0.1
+    for x in (groups, g.normal(size=(600, 16)) * g.lognormal(0, 2, (600, 1)), g.normal(size=(400, 16)) * 1e25, g.normal(size=(400, 16)) * 1e-25):
+        ids, found = np.arange(len(x)), {}
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+            found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        for q in ids[::20]:
+            s = x @ x[q]
+            s[q] = -np.inf
+            assert [v for _, v in sorted(found[q])] == ids[np.lexsort((ids, -s))[:20]].tolist()
