@@ -41,7 +41,7 @@ def pair_keys(seq: np.ndarray, top: int) -> np.ndarray:
 def pair_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs and how often each occurs."""
     keys = np.sort(keys)
-    edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    edge = np.flatnonzero(np.append(len(keys) > 0, keys[1:] != keys[:-1]))
     return keys[edge], np.diff(np.append(edge, len(keys)))
 
 
@@ -50,18 +50,19 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.n
 
     Each round counts all pairs, makes a rule of every pair that occurs at least ``least`` times, and
     replaces occurrences; where two overlap, the more frequent pair wins, then the earlier place.  It ends
-    when no pair is that frequent.
+    when no pair is that frequent.  After the first round only places are counted whose pair was frequent
+    or has a new symbol; no other pair can have become frequent.
     """
     seq, rules = ids.astype(np.uint32), []
-    made = 0
+    made, at = 0, np.arange(len(seq) - 1, dtype=np.int32)
     while len(seq) >= 2 * least:
-        keys = pair_keys(seq, base + made)
+        keys = pair_keys(seq, base + made)[at]
         pairs, count = pair_counts(keys)
         often = count >= least
         pairs, count = pairs[often], count[often]
         if not len(pairs):
             break
-        seq, used = _replace(seq, keys, pairs, count, base + made)
+        seq, used, at = _replace(seq, at, keys, pairs, count, base + made)
         pairs = pairs[used].astype(np.uint64)
         bits = np.uint64(16 if base + made <= 0x10000 else 32)
         rules.append(np.stack([pairs >> bits, pairs & ((np.uint64(1) << bits) - np.uint64(1))], 1).astype(np.uint32))
@@ -76,15 +77,21 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.uint32)
 
 
-def _replace(seq: np.ndarray, keys: np.ndarray, pairs: np.ndarray, count: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+def _replace(seq: np.ndarray, at: np.ndarray, keys: np.ndarray, pairs: np.ndarray, count: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence with symbols from ``first`` on for pairs, which pairs have one, and the places to count next.
+
+    ``at`` and ``keys``: the places that may hold one of ``pairs``, in order, and what they hold.
+    """
     table = np.full(1 << 18, -1, np.int32)  # of pairs that share a place the most frequent stays for this round
     order = np.argsort(count, kind="stable")
     table[_slots(pairs[order])] = order
+    count = count.astype(np.int32)
     which = table[_slots(keys)]
-    at = np.flatnonzero(which >= 0)
-    which = which[at]
-    hit = pairs[which] == keys[at]
-    at, which = at[hit], which[hit]
+    held = np.flatnonzero(which >= 0)
+    again = np.zeros(len(seq), bool)
+    again[at[held]] = True  # all places of frequent pairs, also of those without a slot
+    held = held[pairs[which[held]] == keys[held]]
+    at, which = at[held], which[held]
     rank = count[which]
     for _ in range(3):  # neighbours overlap; the stronger of two stays
         touch = at[1:] == at[:-1] + 1
@@ -110,7 +117,11 @@ def _replace(seq: np.ndarray, keys: np.ndarray, pairs: np.ndarray, count: np.nda
     out[at] = symbol[which]
     stay = np.ones(len(seq), bool)
     stay[at + 1] = False
-    return out[stay], used
+    out, again = out[stay], again[stay]
+    new = out >= first
+    again |= new
+    again[:-1] |= new[1:]
+    return out, used, np.flatnonzero(again[:-1]).astype(np.int32)
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -150,11 +161,9 @@ def expand(seq: np.ndarray, rules: np.ndarray, size: np.ndarray, base: int) -> n
     rule = np.flatnonzero(which >= 0)
     n = np.ones(len(seq), np.int64)
     n[rule] = size[which[rule]]
-    start = np.cumsum(n) - n
-    out = np.empty(int(n.sum()), np.uint32)
-    out[start] = seq
-    out[ragged(start[rule], n[rule])] = pool[ragged(begin[which[rule]], n[rule])]
-    return out
+    start = len(pool) + np.arange(len(seq))
+    start[rule] = begin[which[rule]]
+    return np.concatenate([pool, seq.astype(np.uint32)])[ragged(start, n)]
 
 
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -181,6 +190,8 @@ class Shard:
 
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
         """Ids ``begin`` to ``end`` of the shard; expands only the symbols that hold them."""
+        if begin == 0 and end is None:
+            return expand(self.seq, self.rules, self.sizes, self.base)
         symbols = self.seq.astype(np.int64)
         size = np.ones(len(symbols), np.int64)
         rule = symbols >= self.base

@@ -194,6 +194,28 @@ def test_encoder_on_marked_texts(text):
     assert np.concatenate([ids for _, ids, _ in e.encode_all(pa.array(["x y", text]))]).tolist() == library_ids("x y") + library_ids(text)
 
 
+def test_encoder_asks_the_library_for_groups():
+    """New words of a block go to the library's model many at a time, with the ids that each has alone."""
+    e = tokens.Encoder(tokens.vocabulary())
+    model, asked = e.merge, []
+    e.merge = lambda shown: asked.append(shown) or model(shown)
+    words = [f"{a}{b}{c}" for a in ("qu", "Zu", "é", "ß") for b in "abcdefghijklmnopqrst" for c in ("x", "ing", "ó", "ł", "1", ".", ",", ".,", "\nA", "À.")]
+    texts = [" ".join(words), " ".join(["the first À ÿ", *words[::-1], "\x00 a\x00b ª º. µ × ÷, . , 中文. end."])]
+    got = [ids.tolist() for _, ids, _ in e.encode_all(pa.array(texts))]
+    assert len(got) == 1 and got[0] == [i for t in texts for i in library_ids(t)]
+    assert len(asked) < len(words) / 8
+    e.pretokens.clear()
+    e.between = None  # a vocabulary that has no separator
+    assert np.concatenate([ids for _, ids, _ in e.encode_all(pa.array(texts))]).tolist() == got[0]
+
+
+def test_separator_merges_with_nothing():
+    model = {"vocab": {chr(tokens.byte_alphabet()[b]): b for b in range(256)}, "merges": ["a b", ["b", "\u00c0"]]}
+    assert tokens.separator(model, tokens.byte_alphabet()) == "\u00c1"
+    assert tokens.separator(model | {"ignore_merges": True}, tokens.byte_alphabet()) is None
+    assert tokens.separator(model | {"vocab": {}}, tokens.byte_alphabet()) is None
+
+
 def test_marked_documents_in_files_and_sequences(spark):
     """The registered operators on texts that hold the added token's string."""
     docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id bigint, text string")
@@ -237,6 +259,34 @@ def test_grammar_makes_text_smaller():
     assert len(seq) < len(ids) / 10 and (repair.expand(seq, rules, repair.lengths(rules, 100), 100) == ids).all()
 
 
+def test_grammar_counts_what_changed(monkeypatch):
+    """The rules are those of counting every place in every round, and late rounds count few places."""
+    for seed, base in ((0, 400), (1, 65_500), (2, 70_000)):
+        g = np.random.default_rng(seed)
+        phrases = [g.integers(0, 400, k) for k in range(2, 60)]
+        noise = lambda: np.minimum(g.zipf(1.3, 40), 399)
+        ids = np.concatenate([x for k in g.integers(0, 58, 900) for x in (phrases[k], noise())]).astype(np.uint32)
+        rules, seq, made, plain = [], ids, 0, []
+        while True:
+            keys = repair.pair_keys(seq, base + made)
+            plain.append(len(keys))
+            pairs, n = repair.pair_counts(keys)
+            pairs, n = pairs[n >= 8], n[n >= 8]
+            if not len(pairs):
+                break
+            seq, used, _ = repair._replace(seq, np.arange(len(seq) - 1), keys, pairs, n, base + made)
+            bits = 16 if base + made <= 0x10000 else 32
+            rules += [(int(p) >> bits, int(p) & ((1 << bits) - 1)) for p in pairs[used]]
+            made += len(used)
+        counted, count = [], repair.pair_counts
+        monkeypatch.setattr(repair, "pair_counts", lambda keys, count=count, counted=counted: counted.append(len(keys)) or count(keys))
+        found, left = repair.compress(ids, base)
+        monkeypatch.setattr(repair, "pair_counts", count)
+        assert [tuple(r) for r in found.tolist()] == rules and (left == seq).all()
+        assert len(counted) == len(plain) > 4 and sum(counted[2:]) < sum(plain[2:]) / 2
+        assert (repair.expand(left, found, repair.lengths(found, base), base) == ids).all()
+
+
 def test_packing(spark, docs):
     got = packing.pack_documents(docs, tokens.vocabulary(), capacity=64).collect()
     whole = collections.Counter()
